@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import chat_format, near_dedup, packing, substring_dedup, toxicity
-from meterlake.llm._spark import read
+from meterlake.llm import chat_format, fingerprints, line_dedup, mixing, near_dedup, packing, substring_dedup, toxicity
+from meterlake.llm._spark import read, shuffle_partitions
+
+
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edits(read(spark, sf_dir, "documents"), min(8 * shuffle_partitions(spark), 8192))
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,19 +34,28 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.drop_boilerplate(line_dedup.page_lines(read(spark, sf_dir, "pages")), "host", "text")
+    return cut.select("page_id", "host", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "copies")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(read(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op2_chat_formatting, op4_toxicity, op5_near_dedup, op7_substring_dedup, op10_packing)
+    made = (op1_fingerprints, op2_chat_formatting, op4_toxicity, op5_near_dedup, op6_line_dedup, op7_substring_dedup, op9_mixing, op10_packing)
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": chat_format.ORACLE}
+    return {"op2_chat_formatting": chat_format.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op9_mixing": mixing.oracle()}
