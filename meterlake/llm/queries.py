@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import chat_format, fingerprints, line_dedup, mixing, near_dedup, packing, substring_dedup, toxicity
+from meterlake.llm import chat_format, embedding_dedup, fingerprints, line_dedup, mixing, near_dedup, packing, resampling, substring_dedup, toxicity
 from meterlake.llm._spark import read, shuffle_partitions
 
 
@@ -22,6 +22,11 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(turns.unionByName(own)))
 
 
+def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sample = resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return sample.select("doc_id", "log_weight", "key", F.lit(True).alias("kept"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
@@ -44,6 +49,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "copies")
 
@@ -53,7 +62,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_fingerprints, op2_chat_formatting, op4_toxicity, op5_near_dedup, op6_line_dedup, op7_substring_dedup, op9_mixing, op10_packing)
+    made = (op1_fingerprints, op2_chat_formatting, op3_quality_resampling, op4_toxicity, op5_near_dedup, op6_line_dedup, op7_substring_dedup, op8_embedding_dedup, op9_mixing, op10_packing)
     return {f.__name__: f for f in made}
 
 
