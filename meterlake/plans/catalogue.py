@@ -1,4 +1,4 @@
-"""Queries over the driver's tables, with their DuckDB twins."""
+"""Queries over the driver's tables, with their DuckDB twins. Dates are given as text."""
 
 from __future__ import annotations
 
@@ -6,10 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meterlake.plans import reports, twins
+
+
+def _dated(report: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = report(spark, sf_dir)
+        return out.withColumns({c: out[c].cast("string") for c, kind in out.dtypes if kind == "date"})
+
+    run.__name__, run.__doc__ = report.__name__, report.__doc__
+    return run
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: _dated(getattr(reports, name)) for name in twins.BODIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: f"SELECT * REPLACE (d::varchar AS d) FROM ({text})" if name in twins.DATED else text for name, text in twins.twins().items()}
