@@ -97,7 +97,7 @@ def decode_price_table(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.withColumn("slots", slots).withColumn("tier", F.when(F.size(every) <= 4, F.get(F.filter(sizes, lambda x: x >= 1000), F.lit(0))))
     names = {"in": "input_cost_per_token", "out": "output_cost_per_token", "read": "cache_read_input_token_cost", "5m": "cache_creation_input_token_cost", "1h": "cache_creation_input_token_cost_above_1hr"}
     for short, field in names.items():
-        value = F.map_values(F.map_filter("slots", lambda k, v, f=field: k.startswith(f + "_above_") & (_threshold(k) == F.col("tier"))))
+        value = F.map_values(F.map_filter("slots", _slot_of(field)))
         rows = rows.withColumn(f"r_{short}", F.col(f"f.{field}") * 1e6).withColumn(f"t_{short}", F.get(value, F.lit(0)).try_cast("double") * 1e6)
     good = lambda c: F.col(c).between(0, 1e4)
     rows = rows.where(good("r_in") & good("r_out") & F.coalesce(good("r_read"), F.lit(True)))
@@ -110,6 +110,10 @@ def decode_price_table(spark: SparkSession, path: str) -> DataFrame:
     return best.select("price_model", "p.*")
 
 
+def _slot_of(field: str):
+    return lambda k, v: k.startswith(f"{field}_above_") & (_threshold(k) == F.col("tier"))
+
+
 def _threshold(key: Column) -> Column:
     digits = F.regexp_extract(key, "_above_([0-9]+)k?_tokens$", 1).try_cast("long")
     return F.when(key.rlike("k_tokens$"), digits * 1000).otherwise(digits)
