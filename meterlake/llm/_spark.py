@@ -8,16 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is absent (local tests) a temporary folder is made
-    and stored in the session's own configuration.
+    Only where that setting is absent (local tests) a temporary folder is made, one for
+    each application.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-work-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        application = spark.sparkContext.applicationId
+        folder = _LOCAL.setdefault(application, "") or tempfile.mkdtemp(prefix="spark-work-")
+        _LOCAL[application] = folder
     return folder.rstrip("/")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import chat_format, embedding_dedup, fingerprints, line_dedup, mixing, near_dedup, packing, resampling, substring_dedup, toxicity
+from meterlake.llm import chat_format, embedding_dedup, fingerprints, line_dedup, mixing, near_dedup, packing, resampling, substring_dedup, toxicity, twins
 from meterlake.llm._spark import read, shuffle_partitions
 
 
@@ -67,4 +67,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": chat_format.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op9_mixing": mixing.oracle()}
+    return {
+        "op2_chat_formatting": chat_format.ORACLE,
+        "op5_near_dedup": twins.NEAR,
+        "op6_line_dedup": line_dedup.ORACLE,
+        "op7_substring_dedup": twins.REPEATS,
+        "op8_embedding_dedup": twins.VECTORS,
+        "op9_mixing": mixing.oracle(),
+    }
