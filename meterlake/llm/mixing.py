@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ENTROPY, MAX_EPOCHS, DIGITS, STEPS = 0.95, 1.5, 3, 40
+BROADCAST_SOURCES = 100_000  # about 100 bytes each
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -95,6 +96,8 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, max_epochs: float = MAX_EPOCH
     cuts = inside.withColumn("upto", F.sum("n").over(running) + F.col("done")).where("upto <= rest").groupBy("s").agg(F.max("h").alias("cut"))
     edges = edges.join(cuts, F.col("es").eqNullSafe(F.col("s")), "left").select("es", F.coalesce("cut", "eb").alias("cut"))
     plan = plan.join(edges, F.col("s").eqNullSafe(F.col("es")), "left").select(F.col("s").alias("__s"), F.col("full").alias("__full"), F.coalesce("cut", F.lit("g")).alias("__cut"), F.col("rest").alias("__rest"))
+    if totals.count() <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
     joined = docs.join(plan, F.col("source").eqNullSafe(F.col("__s")), "left")
     extra = F.when((F.col("__rest") > 0) & (order("doc_id") <= F.col("__cut")), 1).otherwise(0)
     return joined.select(*[docs[c] for c in docs.columns], tokens(F.col("text")).alias("n_tokens"), (F.col("__full") + extra).cast("long").alias("copies"))
