@@ -4,7 +4,9 @@ A site's boilerplate is every line that stands on more than ``max_ratio`` of its
 (a line counts once for each page). Lines are compared without surrounding spaces and
 identified by two 64-bit hashes. A site cannot have more boilerplate lines than
 1 / max_ratio times the mean number of lines on its pages, so the list that joins the
-pages is short; whether it is broadcast is left to its measured size.
+pages is short. It is written and counted: up to ``BROADCAST_LINES`` lines are broadcast,
+and pages do not move; beyond that, pages and lists are joined by site and one of
+``SALTS`` salts, so a large site spreads over as many tasks.
 
 Defined cases: null text has no lines and stays null; blank lines stay; pages of a null
 site and of sites with fewer than ``min_pages`` pages are unchanged; rows repeating a
@@ -16,14 +18,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterlake.llm._spark import stage_table
+
 MAX_RATIO, MIN_PAGES = 0.1, 10
+BROADCAST_LINES, SALTS = 500_000, 32  # 16 bytes a line
 
 
 def _mark(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("h0"), F.xxhash64(F.lit(1), line).alias("h1"))
 
 
-def drop_boilerplate(pages: DataFrame, site: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, site: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """All columns of ``pages`` with boilerplate lines gone from ``text``, and n_lines, n_dropped."""
     pages = pages.drop("n_lines", "n_dropped")
     lines = F.split(F.col(text), "\n", -1)
@@ -33,8 +38,14 @@ def drop_boilerplate(pages: DataFrame, site: str, text: str, max_ratio: float =
     marks = own.select("__site", F.explode("bare").alias("line")).select("__site", _mark(F.col("line")).alias("mark"))
     counts = marks.groupBy("__site", "mark").agg(F.count("*").alias("n")).where("n > 1")
     often = counts.join(totals, "__site").where(F.col("n") > F.col("pages") * F.lit(max_ratio))
+    often = stage_table(often.select("__site", "mark"), "boilerplate")
     lists = often.groupBy("__site").agg(F.collect_list("mark").alias("__often"))
-    joined = pages.join(lists, F.col(site) == F.col("__site"), "left").drop("__site")
+    if often.count() <= broadcast_lines:
+        joined = pages.join(F.broadcast(lists), F.col(site) == F.col("__site"), "left").drop("__site")
+    else:
+        lists = lists.withColumn("__of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int")
+        joined = pages.withColumn("__salt", salt).join(lists, (F.col(site) == F.col("__site")) & (F.col("__salt") == F.col("__of")), "left").drop("__site", "__salt", "__of")
     kept = F.when(F.col("__often").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("__often", _mark(F.trim(x)))))
     made = joined.withColumn("__kept", kept).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
     made = made.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines")).cast("long"))
