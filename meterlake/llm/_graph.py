@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm._spark import shuffle_partitions, stage_table
+from meterlake.llm._spark import over_arrow, shuffle_partitions, stage_table
 
 CHUNK = 1 << 19
 
@@ -68,7 +68,7 @@ def components(links: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """
     star = links.where("u is not null and v is not null and u <> v").select(F.col("u").cast("long"), F.col("v").cast("long"))
     tasks = -(-max(1, star.count()) // chunk)
-    star = stage_table(star.coalesce(tasks).mapInArrow(_contract(chunk), "u long, v long"), "star")
+    star = stage_table(star.coalesce(tasks).transform(over_arrow, _contract(chunk), "u long, v long"), "star")
     while tasks > 1:
         # one row a node: its roots, and whether it is a child, a root or both
         ends = star.select(F.col("u").alias("x"), "v", F.lit(1).alias("child")).union(star.select("v", F.lit(None).cast("long"), F.lit(0)))
@@ -81,6 +81,6 @@ def components(links: DataFrame, chunk: int = CHUNK) -> DataFrame:
         up = hung.groupBy("u").agg(F.min("v").alias("up"))
         taken = hung.join(up.select(F.col("u").alias("v"), "up"), "v", "left").select("u", "v", "up")
         star = taken.select("u", F.coalesce("up", "v").alias("v")).union(taken.where("up is not null").select(F.col("v").alias("u"), F.col("up").alias("v"))).where("u <> v")
-        star = stage_table(star.repartition(shuffle_partitions(star.sparkSession), F.greatest("u", "v")).mapInArrow(_contract(chunk), "u long, v long").distinct(), "star")
+        star = stage_table(star.repartition(shuffle_partitions(star.sparkSession), F.greatest("u", "v")).transform(over_arrow, _contract(chunk), "u long, v long").distinct(), "star")
     nodes = star.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(star.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -46,3 +49,29 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+BATCH_ROWS = 2000
+
+
+def over_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` with small batches, and workers that hand back memory after a task.
+
+    Texts are long, so batches of Spark's default 10,000 rows would hold tens of megabytes
+    at both ends of the pipe. A session that sets its own batch size keeps it.
+    """
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(size, None) is None:
+        df.sparkSession.conf.set(size, str(BATCH_ROWS))
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library
+
+    return df.mapInArrow(lean, schema)

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.llm import _kernels as K
+from meterlake.llm._spark import over_arrow
 
 CONTROL = r"([<\[])(\\*)(\||/?INST\]|/?s>|</?SYS>>|/SYS>>)"
 ESCAPED = r"([<\[])\\(\\*)(\||/?INST\]|/?s>|</?SYS>>|/SYS>>)"
@@ -108,7 +109,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
     dealt = clean.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "role", "text").mapInArrow(_format, PARTS)
+    return dealt.select("conv_id", "role", "text").transform(over_arrow, _format, PARTS)
 
 
 TURN = re.compile(r"<\|turn\|>(.*?)\n(.*?)<\|end\|>\n", re.DOTALL)
@@ -158,7 +159,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_back(parts: DataFrame) -> DataFrame:
     """Digests of each conversation, read from the output of :func:`format_conversations` alone."""
-    return parts.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return parts.transform(over_arrow, _digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 ORACLE = r"""

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.llm._graph import components
-from meterlake.llm._spark import stage_table
+from meterlake.llm._spark import over_arrow, stage_table
 
 COSINE, BLOCK, GRID = 0.98, 8, 3
 
@@ -113,7 +113,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     classes = stage_table(classes, "classes")
     names = ["id", "label", "block", "budget", "g0", "g1", "g2", "home", *[f"x{k}" for k in range(BLOCK)]]
     kinds = ", ".join(f"{n} {'boolean' if n == 'home' else 'double' if n[0] == 'x' or n == 'budget' else 'long'}" for n in names)
-    cells = stage_table(classes.select("rep", "label", "vec").mapInArrow(_cells(cosine), kinds), "cells")
+    cells = stage_table(classes.select("rep", "label", "vec").transform(over_arrow, _cells(cosine), kinds), "cells")
     a, b = cells.where("home").alias("a"), cells.alias("b")
     same = F.expr(" AND ".join(f"a.{k} = b.{k}" for k in ("label", "block", "g0", "g1", "g2")))
     apart = " + ".join(f"(a.x{k} - b.x{k}) * (a.x{k} - b.x{k})" for k in range(BLOCK))
@@ -121,7 +121,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     pairs = met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
     by = classes.select("rep", "vec")
     full = pairs.join(by.select(F.col("rep").alias("a"), F.col("vec").alias("p")), "a").join(by.select(F.col("rep").alias("b"), F.col("vec").alias("q")), "b")
-    links = stage_table(full.select("a", "b", "p", "q").mapInArrow(_cosines(cosine), "u long, v long"), "links")
+    links = stage_table(full.select("a", "b", "p", "q").transform(over_arrow, _cosines(cosine), "u long, v long"), "links")
     ends = links.select(F.col("u").alias("rep"), F.col("v").alias("other")).union(links.select("v", "u"))
     counts = ends.join(classes.select(F.col("rep").alias("other"), "many"), "other").groupBy("rep").agg(F.sum("many").alias("linked"))
     comps = components(links).select(F.col("node").alias("rep"), "component")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.llm import _kernels as K
-from meterlake.llm._spark import stage_table
+from meterlake.llm._spark import over_arrow, stage_table
 
 LENGTH, QUANTUM, END_ID = 2048, 64, 1
 PER_WINDOW = LENGTH // QUANTUM
@@ -166,7 +166,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     else:
         queue = F.pmod(F.xxhash64(source), F.lit(MAX_QUEUES))
     rows = docs.select("doc_id", queue.cast("int").alias("queue"), "text", F.xxhash64(F.lit(17), "doc_id", "text").alias("order"))
-    tokens = rows.mapInArrow(_tokenize(tokenizer), "doc_id long, queue int, order long, n long, ids binary")
+    tokens = rows.transform(over_arrow, _tokenize(tokenizer), "doc_id long, queue int, order long, n long, ids binary")
     tokens = tokens.withColumn("block", F.pmod("order", F.lit(BLOCKS)).cast("int"))
     before = Window.partitionBy("queue", "block").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = tokens.select("doc_id", "queue", "block", (F.sum("n").over(before) - F.col("n")).alias("at"), "n", "ids")
@@ -182,7 +182,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     dense = {q: i for i, q in enumerate(used)}
     renamed = F.create_map(*[F.lit(x) for q in used for x in (q, dense[q])])[F.col("queue")] if used else F.lit(0)
     placed = placed.select("doc_id", renamed.cast("int").alias("queue"), "block", "at", "n", "ids")
-    return placed.mapInArrow(_cut(plan, {dense[q]: starts[q] for q in used}), PIECES)
+    return placed.transform(over_arrow, _cut(plan, {dense[q]: starts[q] for q in used}), PIECES)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

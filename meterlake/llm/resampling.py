@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.llm import _kernels as K
-from meterlake.llm._spark import stage_table
+from meterlake.llm._spark import over_arrow, stage_table
 
 BITS, LENGTH, TARGET_ROWS, FEW, BINS = 14, 200, 20_000, 1000, 2048
 U = np.uint64
@@ -65,7 +65,7 @@ def ratios(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS) -
     good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows).withColumn("target", F.lit(True))
     # at most target_rows rows of one number
     marked = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    counts = marked.mapInArrow(_counts, "cell long, raw long, target long").groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counts = marked.transform(over_arrow, _counts, "cell long, raw long, target long").groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     found = counts.toPandas()  # at most 2**BITS rows
     raw, target = np.ones(1 << BITS), np.ones(1 << BITS)
     raw[found["cell"]] += found["raw"]
@@ -89,7 +89,7 @@ def _weights(held):
 def weigh(docs: DataFrame, table: np.ndarray, seed: int = 1) -> DataFrame:
     """doc_id, log_weight and the Gumbel-perturbed key of every document."""
     held = docs.sparkSession.sparkContext.broadcast(table)
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_weights(held), "doc_id long, log_weight double")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(over_arrow, _weights(held), "doc_id long, log_weight double")
     drawn = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + 0.5) / float(1 << 53)
     return out.withColumn("key", F.col("log_weight") - F.log(-F.log(drawn)))
 

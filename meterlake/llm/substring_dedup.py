@@ -5,7 +5,7 @@ A window is 50 consecutive words. Its anchor is the least hash among its 26 runs
 with one anchor form a segment; a document has one posting (anchor, segment hash,
 place) for each segment, about one for thirteen words.
 
-Index: every batch's postings become an immutable run, sorted by anchor. A new batch
+Index: every batch's postings become an immutable run of files sorted by anchor. A new batch
 is merge-joined with the runs on the anchor:
 
 * segments equal to one of an earlier document are repeated as a whole;
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.llm import _kernels as K
-from meterlake.llm._spark import shuffle_partitions, stage_table
+from meterlake.llm._spark import over_arrow, shuffle_partitions, stage_table
 
 WINDOW, GRAM = 50, 25
 SPAN = WINDOW - GRAM + 1
@@ -158,7 +158,7 @@ class WindowIndex:
 
         ``corpus`` holds the texts (doc_id, text, tk) of the batch and of all earlier batches.
         """
-        new = batch.mapInArrow(_postings, "fp long, seg long, doc_id long, tk int, at int, n int")
+        new = batch.transform(over_arrow, _postings, "fp long, seg long, doc_id long, tk int, at int, n int")
         new = self._write(new)
         every = new
         for run in self.runs:
@@ -171,7 +171,7 @@ class WindowIndex:
         mixed = segs.groupBy("fp").agg(F.count("*").alias("k"), F.min("d").alias("lo"), F.max("top").alias("hi")).where("k > 1 and lo < hi").select("fp")
         asked = segs.join(mixed, "fp").groupBy(F.col("d").alias("doc_id"), "tk").agg(F.collect_set("fp").alias("fps"))
         windows = corpus.join(asked, ["doc_id", "tk"]).select("doc_id", "text", "tk", "fps")
-        windows = stage_table(windows.mapInArrow(_verify, "h1 long, h2 long, doc_id long, tk int, at int"), "windows")
+        windows = stage_table(windows.transform(over_arrow, _verify, "h1 long, h2 long, doc_id long, tk int, at int"), "windows")
         least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("d"), F.max("doc_id").alias("top")).where("d < top").drop("top")
         single = windows.join(least, ["h1", "h2"]).where("d < doc_id").select("doc_id", "tk", "at", F.lit(1).alias("n"))
         here = batch.select("doc_id", "tk").distinct() if len(self.runs) > 1 else None
@@ -183,7 +183,8 @@ class WindowIndex:
 
     def _write(self, postings: DataFrame) -> DataFrame:
         parts = shuffle_partitions(postings.sparkSession)
-        return stage_table(postings.repartition(parts, "fp").sortWithinPartitions("fp", "seg", "doc_id"), "run")
+        # files are sorted by anchor; a common anchor's postings spread over files by document
+        return stage_table(postings.repartition(parts, "fp", "doc_id").sortWithinPartitions("fp", "seg", "doc_id"), "run")
 
     def compact(self) -> None:
         """Merges all runs into one; of postings equal but for the document all are kept."""
@@ -213,4 +214,4 @@ def remove_repeats(docs: DataFrame, batches: int = 2, fan: int = 4) -> DataFrame
         spans = found if spans is None else spans.union(found)
     gathered = spans.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
     full = corpus.join(gathered, ["doc_id", "tk"], "left").select("doc_id", "text", "spans")
-    return full.mapInArrow(_rewrite, "doc_id long, text string, n_words long, n_removed long")
+    return full.transform(over_arrow, _rewrite, "doc_id long, text string, n_words long, n_removed long")

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from meterlake.llm import _kernels as K
+from meterlake.llm._spark import over_arrow
 
 GRAM, CELLS, DISCOUNT, WINDOW = 7, 1 << 23, 4, 16
 PER_CLASS = 4000
@@ -141,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     # at most 2 * per_class rows of three numbers
     chosen = F.broadcast(rows[0].union(rows[1]).dropDuplicates(["doc_id"]))
     texts = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic", "fold").repartition(4, F.xxhash64("text"))
-    counts = texts.where("fold <> 3").select("text", "toxic").mapInArrow(_counts, "cell int, n0 int, n1 int")
+    counts = texts.where("fold <> 3").select("text", "toxic").transform(over_arrow, _counts, "cell int, n0 int, n1 int")
     counts = counts.groupBy("cell").agg(F.sum("n0").cast("int").alias("n0"), F.sum("n1").cast("int").alias("n1"))
     d = F.lit(DISCOUNT)
     whole = counts.agg(*[F.sum(c).alias(c) for c in ("n0", "n1")], *[F.sum(F.least(c, d)).alias(f"d{c}") for c in ("n0", "n1")]).first()
@@ -163,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
                 best, sizes = differences(t, held.value)
                 yield pa.record_batch([pa.array(best), pa.array(sizes.astype(float)), rows_.column(1).cast(pa.float64())], ["best", "size", "toxic"])
 
-    seen = texts.where("fold = 3").select("text", "toxic").mapInArrow(judge, "best double, size double, toxic double").toPandas()  # at most 2 * per_class rows
+    seen = texts.where("fold = 3").select("text", "toxic").transform(over_arrow, judge, "best double, size double, toxic double").toPandas()  # at most 2 * per_class rows
     held.unpersist()
     if seen["toxic"].nunique() < 2:
         return nothing
@@ -186,4 +187,4 @@ def score(docs: DataFrame, model: Model, output: str = "toxicity") -> DataFrame:
                 p = 1 / (1 + np.exp(-np.clip(a + b * best + c * np.log1p(sizes), -30, 30)))
                 yield pa.record_batch([*rows.columns, pa.array(p)], [*names, output])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(output, DoubleType())]))
+    return docs.transform(over_arrow, run, StructType([*docs.schema.fields, StructField(output, DoubleType())]))
