@@ -11,12 +11,11 @@ on the full sets). The links found make components, and only pairs of a document
 another of its pivots that lie in different components are compared next: within a group
 of near copies nearly all of them fall away, so every document moves about once.
 
-What is still apart is compared within its buckets: in full in buckets of up to ``SMALL``
-members; in larger ones with four more members of each bucket (chosen by hash) and with
-all others that are apart too, after splitting by further bands where those are many.
-No bucket is cut short. What this can miss, beside the banding's own 2e-5, is a document
-of a large bucket that is linked with none of up to 28 * 5 members compared, yet with
-another member.
+What is still apart is compared with all members of its buckets that are in another
+component: by rows in buckets of up to ``SMALL`` members; in larger ones block by block,
+by signatures first. The likeliest partners are verified first, and once their links are
+contracted, all pairs whose ends are still apart. Others that are apart too are met after
+splitting by further bands where those are many.
 
 Defined cases: a null, empty or wordless text has an empty set and links with nothing;
 rows repeating a doc_id are one document; a null doc_id links with nothing.
@@ -39,6 +38,7 @@ LANES, ROWS = 112, 4
 BANDS = LANES // ROWS
 SMALL = 48
 SPLITS = ((1, 3, 7, 12), (2, 5, 9, 13))
+BLOCK = 512  # rows of a side that meet at once
 SLACK = 0.2  # below the threshold, for estimates
 BROADCAST_IDS = 500_000  # 8 bytes each
 U = np.uint64
@@ -110,6 +110,32 @@ def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.minimum(equal, bound)), pa.array(bound)], ["a", "b", "sim", "bound"])
 
 
+def _across(best: bool, least: float):
+    """For the rows (strange, d, c, n, sig) of a cell: pairs of a strange row and another of it.
+
+    Their components c differ, and by estimate they can be linked. With ``best`` only the
+    likeliest partner of each strange row is given.
+    """
+
+    def run(cell: pa.Table) -> pa.Table:
+        strange, d, c, n = (cell.column(x).to_numpy() for x in ("strange", "d", "c", "n"))
+        sig = np.frombuffer(K.raw(cell.column("sig").combine_chunks().cast(pa.large_binary()))[0], np.uint8).reshape(-1, LANES)
+        other = np.flatnonzero(strange == 0)
+        theirs, d_o, c_o, n_o = sig[other], d[other], c[other], n[other]
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i in np.flatnonzero(strange == 1):
+            bound = np.minimum(n[i], n_o) / np.maximum(np.maximum(n[i], n_o), 1)
+            equal = ((theirs == sig[i]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+            take = np.flatnonzero((c_o != c[i]) & (bound >= least) & (equal >= least - SLACK))
+            if best and len(take):
+                take = take[[np.argmax(equal[take])]]
+            a.append(np.minimum(d[i], d_o[take]))
+            b.append(np.maximum(d[i], d_o[take]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return run
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, held = None, np.empty(0, U)
     for batch in batches:
@@ -179,9 +205,24 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
         known = comps.select(F.col("node").alias("d"), F.col("component").alias("c"))
         return rows.join(known, "d", "left").withColumn("c", F.coalesce("c", "d"))
 
+    def crossed(wide: DataFrame, comps: DataFrame, best: bool) -> DataFrame:
+        """Pairs (a, b) of each row of wide(key, d, size) with all other members of its bucket.
+
+        Both sides of a bucket are dealt into blocks, and each block meets each of the other side.
+        """
+        keys = wide.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("n_i"), F.ceil(F.max("size") / BLOCK).alias("n_j"))
+        rows = wide.select("key", "d", F.lit(1).alias("strange")).union(met.select("key", "d", F.lit(0)).join(keys, "key", "left_semi").join(wide.select("key", "d"), ["key", "d"], "left_anti"))
+        whole = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+        mine = lambda n: F.array(F.pmod(F.xxhash64("d", F.lit(n)), F.col(n)))
+        is_strange = F.col("strange") == 1
+        rows = marked(rows, comps).join(signatures, "d").join(keys, "key")
+        rows = rows.withColumn("i", F.explode(F.when(is_strange, mine("n_i")).otherwise(whole("n_i"))))
+        rows = rows.withColumn("j", F.explode(F.when(is_strange, whole("n_j")).otherwise(mine("n_j"))))
+        cells = rows.select("key", "i", "j", "strange", "d", "c", "n", "sig").groupBy("key", "i", "j")
+        return cells.applyInArrow(_across(best, least), "a long, b long").distinct()
+
     members = reps.select(F.col("doc_id").alias("d"), F.posexplode("bands").alias("band", "key")).select("d", F.col("band").cast("byte").alias("band"), "key")
-    more = [F.min_by("d", F.xxhash64(F.lit(i), "d")).alias(f"e{i}") for i in range(4)]
-    shared = members.groupBy("key").agg(F.min("d").alias("pivot"), F.count("*").alias("size"), *more).where("size > 1")
+    shared = members.groupBy("key").agg(F.min("d").alias("pivot"), F.count("*").alias("size")).where("size > 1")
     shared = stage_table(shared, "shared")
     met = stage_table(members.join(shared.select("key", "pivot"), "key").where("d > pivot").select("band", "key", "pivot", "d"), "members")
 
@@ -199,8 +240,6 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
     few = strange.where(F.col("size") <= SMALL).select("key").distinct()
     pairs = within(stage_table(marked(met.join(few, "key", "left_semi").select("key", "d"), comps), "few"))
     wide = strange.where(F.col("size") > SMALL)
-    extra = wide.select(F.col("d").alias("x"), F.explode(F.array("e0", "e1", "e2", "e3")).alias("y")).where("x <> y")
-    pairs = pairs.union(extra.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
     rows = marked(wide.select("band", "key", "d"), comps)
     bands = sets.select(F.col("doc_id").alias("d"), "bands").dropDuplicates(["d"])
     for offsets in (*SPLITS, ()):
@@ -213,7 +252,18 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
         others_ = F.explode(F.array(*[F.element_at("bands", F.pmod(F.col("band") + o, F.lit(BANDS)).cast("int") + 1) for o in offsets]))
         rows = rows.join(bands, "d").select("d", "band", "key", others_.alias("other"), "c").select("d", "band", "c", F.xxhash64("key", "other").alias("key"))
     done = votes.select("a", "b")
-    links = links.union(judged(apart(pairs.distinct().join(done, ["a", "b"], "left_anti"), comps)))
+    # large buckets: first the likeliest partners, whose links spare most others; then all that are still apart
+    for best in (True, True, False):
+        wide = stage_table(wide.select("key", "pivot", "d", "size"), "wide")
+        if wide.limit(1).count():
+            pairs = pairs.union(crossed(wide, comps, best))
+        pairs = stage_table(pairs.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+        if pairs.limit(1).count():
+            links = links.union(judged(pairs))
+            comps = components(links)
+            done = done.union(pairs)
+        still = apart(wide.select(F.col("pivot").alias("a"), F.col("d").alias("b"), "key", "size"), comps)
+        wide, pairs = still.select("key", F.col("a").alias("pivot"), F.col("b").alias("d"), "size"), pairs.limit(0)
 
     comps = components(links.union(copies)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
     out = sets.select("doc_id", "n_shingles").join(comps, "doc_id", "left")

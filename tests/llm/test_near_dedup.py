@@ -55,6 +55,37 @@ def test_group_of_near_copies(spark):
     check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
 
 
+@pytest.fixture
+def one_bucket(monkeypatch):
+    """All documents meet in one bucket, and in no other."""
+    whole = near_dedup._sketch
+
+    def sketch(batches):
+        for b in whole(batches):
+            bands = pa.array([[7, *(-1000 * d - k for k in range(1, near_dedup.BANDS))] for d in b.column(0).to_pylist()], b.schema.field("bands").type)
+            yield b.set_column(b.schema.get_field_index("bands"), "bands", bands)
+
+    monkeypatch.setattr(near_dedup, "_sketch", sketch)
+
+
+def drifted(start, marks, at):
+    w = list(start)
+    for k in at:
+        w[6 * k + 5] = f"{marks}-{k}"
+    return w
+
+
+def test_apart_document_meets_every_member_of_a_large_bucket(spark, one_bucket):
+    base = [f"w{i}" for i in range(200)]
+    texts = [base]
+    near = [drifted(base, f"m{i}", [i % 20]) for i in range(60)]
+    # 0.77 with one member, 0.73 with the pivot
+    far = [drifted(w, f"d{i}", range(22, 27)) for i, w in enumerate(near[:30])]
+    texts += near + far
+    want = check(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string"))
+    assert set(want.values()) == {0}
+
+
 def test_empty(empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
