@@ -14,8 +14,8 @@ of near copies nearly all of them fall away, so every document moves about once.
 What is still apart is compared with all members of its buckets that are in another
 component: by rows in buckets of up to ``SMALL`` members; in larger ones block by block,
 by signatures first. The likeliest partners are verified first, and once their links are
-contracted, all pairs whose ends are still apart. Others that are apart too are met after
-splitting by further bands where those are many.
+contracted, all pairs whose ends are still apart. What this misses is what the banding
+misses (2e-5 at the threshold), and pairs whose estimate lies ``SLACK`` too low.
 
 Defined cases: a null, empty or wordless text has an empty set and links with nothing;
 rows repeating a doc_id are one document; a null doc_id links with nothing.
@@ -37,7 +37,6 @@ from meterlake.llm._spark import over_arrow, stage_table
 LANES, ROWS = 112, 4
 BANDS = LANES // ROWS
 SMALL = 48
-SPLITS = ((1, 3, 7, 12), (2, 5, 9, 13))
 BLOCK = 512  # rows of a side that meet at once
 SLACK = 0.2  # below the threshold, for estimates
 BROADCAST_IDS = 500_000  # 8 bytes each
@@ -211,7 +210,7 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
         Both sides of a bucket are dealt into blocks, and each block meets each of the other side.
         """
         keys = wide.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("n_i"), F.ceil(F.max("size") / BLOCK).alias("n_j"))
-        rows = wide.select("key", "d", F.lit(1).alias("strange")).union(met.select("key", "d", F.lit(0)).join(keys, "key", "left_semi").join(wide.select("key", "d"), ["key", "d"], "left_anti"))
+        rows = wide.select("key", "d", F.lit(1).alias("strange")).union(met.select("key", "d", F.lit(0)).join(keys, "key", "left_semi"))
         whole = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
         mine = lambda n: F.array(F.pmod(F.xxhash64("d", F.lit(n)), F.col(n)))
         is_strange = F.col("strange") == 1
@@ -221,10 +220,10 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
         cells = rows.select("key", "i", "j", "strange", "d", "c", "n", "sig").groupBy("key", "i", "j")
         return cells.applyInArrow(_across(best, least), "a long, b long").distinct()
 
-    members = reps.select(F.col("doc_id").alias("d"), F.posexplode("bands").alias("band", "key")).select("d", F.col("band").cast("byte").alias("band"), "key")
+    members = reps.select(F.col("doc_id").alias("d"), F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.min("d").alias("pivot"), F.count("*").alias("size")).where("size > 1")
     shared = stage_table(shared, "shared")
-    met = stage_table(members.join(shared.select("key", "pivot"), "key").where("d > pivot").select("band", "key", "pivot", "d"), "members")
+    met = stage_table(members.join(shared.select("key", "pivot"), "key").where("d > pivot").select("key", "pivot", "d"), "members")
 
     votes = stage_table(met.groupBy(F.col("pivot").alias("a"), F.col("d").alias("b")).agg(F.count("*").alias("n")), "votes")
     chosen = votes.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
@@ -240,17 +239,6 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
     few = strange.where(F.col("size") <= SMALL).select("key").distinct()
     pairs = within(stage_table(marked(met.join(few, "key", "left_semi").select("key", "d"), comps), "few"))
     wide = strange.where(F.col("size") > SMALL)
-    rows = marked(wide.select("band", "key", "d"), comps)
-    bands = sets.select(F.col("doc_id").alias("d"), "bands").dropDuplicates(["d"])
-    for offsets in (*SPLITS, ()):
-        sizes = rows.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
-        rows = stage_table(rows.join(sizes, "key"), "rows")
-        pairs = pairs.union(within(rows.where(F.col("k") <= SMALL) if offsets else rows))
-        rows = rows.where(F.col("k") > SMALL).drop("k")
-        if not offsets or not rows.limit(1).count():
-            break
-        others_ = F.explode(F.array(*[F.element_at("bands", F.pmod(F.col("band") + o, F.lit(BANDS)).cast("int") + 1) for o in offsets]))
-        rows = rows.join(bands, "d").select("d", "band", "key", others_.alias("other"), "c").select("d", "band", "c", F.xxhash64("key", "other").alias("key"))
     done = votes.select("a", "b")
     # large buckets: first the likeliest partners, whose links spare most others; then all that are still apart
     for best in (True, True, False):

@@ -86,6 +86,15 @@ def test_apart_document_meets_every_member_of_a_large_bucket(spark, one_bucket):
     assert set(want.values()) == {0}
 
 
+def test_apart_documents_meet_each_other_in_a_large_bucket(spark, one_bucket):
+    texts = [[f"w{i}" for i in range(200)]]
+    for i in range(30):
+        one = [f"{i}-{j}" for j in range(200)]
+        texts += [one, drifted(one, "d", range(5))]
+    want = check(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string"))
+    assert len(set(want.values())) == 31
+
+
 def test_empty(empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
