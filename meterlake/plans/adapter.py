@@ -79,8 +79,9 @@ cal AS (SELECT unnest(generate_series(DATE '2024-01-17', DATE '2024-01-30', INTE
 """
 
 
-def in_window(events: DataFrame, window: Window) -> DataFrame:
-    return events.where(F.col("d").between(F.lit(window.start), F.lit(window.end)))
+def in_window(events: DataFrame, window: Window, undated: bool = False) -> DataFrame:
+    inside = F.col("d").between(F.lit(window.start), F.lit(window.end))
+    return events.where(inside | F.col("d").isNull() if undated else inside)
 
 
 def calendar(spark: SparkSession, window: Window) -> DataFrame:

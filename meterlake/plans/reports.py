@@ -174,8 +174,9 @@ def limits_history(spark, sf_dir):
 
 
 def _lengths(spark, sf_dir):
-    w = _w(spark, sf_dir).withColumn("active_ms", F.greatest(F.col("duration_ms") - F.col("wait_ms"), F.lit(0)))
-    return w.where("active_ms > 0")
+    # turn lengths alone keep undated rows
+    w = in_window(_u(spark, sf_dir), WINDOW, undated=True)
+    return w.withColumn("active_ms", F.greatest(F.col("duration_ms") - F.col("wait_ms"), F.lit(0))).where("active_ms > 0")
 
 
 def turn_length(spark, sf_dir):
@@ -287,7 +288,7 @@ def session_report(spark, sf_dir):
 
 def ordered_turn_lengths(spark, sf_dir):
     line = Window.partitionBy("session_id").orderBy(F.col("at").asc_nulls_last(), "ordinal")
-    return _lengths(spark, sf_dir).where("user_id < 20").select("session_id", F.row_number().over(line).alias("n"), "at", "active_ms")
+    return _lengths(spark, sf_dir).select("session_id", F.row_number().over(line).alias("n"), "at", "active_ms")
 
 
 def cumulative_delta(spark, sf_dir):

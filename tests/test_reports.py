@@ -124,3 +124,12 @@ def test_reports_run_without_python(spark):
     for name in ("model_stats", "context_calls", "concurrency_levels", "dedupe_usage"):
         plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan
+
+
+def test_ordered_turn_lengths_cover_all_users_and_undated_turns(spark, tmp_path):
+    rows = [(i, at, u, "view", 6.0, '{"k": 1}') for i, (at, u) in enumerate([(None, 7), ("2024-01-20 10:00:00", 7), ("2024-01-18 10:00:00", 7), ("2024-02-20 10:00:00", 7), ("2024-01-21 10:00:00", 4000), (None, 4000)])]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    got = catalogue.queries()["ordered_turn_lengths"](spark, str(tmp_path)).collect()
+    want = {("s7", 1, "2024-01-18 10:00:00"), ("s7", 2, "2024-01-20 10:00:00"), ("s7", 3, "None"), ("s4000", 1, "2024-01-21 10:00:00"), ("s4000", 2, "None")}
+    assert len(got) == 5 and {(r.session_id, r.n, str(r["at"])) for r in got} == want
