@@ -2,23 +2,24 @@
 
 Texts are lower-cased (A-Z) and cut into words; the set of a text is its distinct
 five-word shingles. Equal sets are first collapsed to one representative, so groups
-of copies cost one row each in all later steps.
+of copies cost one row each in all later steps. Buckets with the same members count once.
 
 Representatives meet in buckets of four signature lanes, and the least member of a bucket
-is its pivot. Each document is first compared with the pivot that it meets in most buckets
-(by signatures; a pair whose estimate is five deviations below the threshold leaves; then
-on the full sets). The links found make components, and only pairs of a document and
-another of its pivots that lie in different components are compared next: within a group
-of near copies nearly all of them fall away, so every document moves about once.
-
-What is still apart is compared with all members of its buckets that are in another
-component: by rows in buckets of up to ``SMALL`` members; in larger ones block by block,
-by signatures first. The likeliest partners are verified first, and once their links are
-contracted, all pairs whose ends are still apart. What this misses is what the banding
-misses (2e-5 at the threshold), and pairs whose estimate lies ``SLACK`` too low.
+is its pivot. Each document is first compared with the pivot that it meets in most buckets.
+The links found make components, and only pairs of a document and another of its pivots
+that lie in different components are compared next: within a group of near copies nearly
+all of them fall away, so every document moves about once. What is still apart from a
+pivot of its is compared with all members of that bucket that are in another component.
+
+Every comparison is exact, on the full sets, and works by cells: both sides of a bucket are
+dealt into blocks of bounded size, each block meets each of the other side in one cell, and
+a cell counts the common shingles of all its pairs at once. A cell gives at most one link
+for each component in it. So the only loss is the banding's: a pair at similarity 0.75
+shares no bucket with probability 2e-5.
 
 Defined cases: a null, empty or wordless text has an empty set and links with nothing;
-rows repeating a doc_id are one document; a null doc_id links with nothing.
+rows repeating a doc_id are one document, linked by each of their texts; a null doc_id
+links with nothing.
 """
 
 from __future__ import annotations
@@ -27,19 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.llm import _kernels as K
-from meterlake.llm._graph import components
+from meterlake.llm._graph import components, union_find
 from meterlake.llm._spark import over_arrow, stage_table
 
 LANES, ROWS = 112, 4
 BANDS = LANES // ROWS
-SMALL = 48
-BLOCK = 512  # rows of a side that meet at once
-SLACK = 0.2  # below the threshold, for estimates
-BROADCAST_IDS = 500_000  # 8 bytes each
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 19  # of a side of a cell, about (a larger set stands alone)
+COLUMNS = 4096  # shingles counted at once
+BROADCAST_ROWS = 200_000  # 32 bytes each
+SALTS = 16
 U = np.uint64
 
 
@@ -92,168 +93,188 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     sums = np.concatenate([np.zeros(1, U), np.cumsum(K.mix(hashes * U(2 * k + 1) + U(k)))])
                     prints.append(sums[bounds[1:]] - sums[bounds[:-1]])
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), K.as_long(keys))
-            short = np.ascontiguousarray(K.mix(sig.reshape(-1)).astype(np.uint8))
-            short = pa.Array.from_buffers(pa.binary(LANES), n, [None, pa.py_buffer(short)]).cast(pa.binary())
-            yield pa.record_batch(
-                [rows.column(0), pa.array(sizes, pa.int64()), K.as_long(prints[0]), K.as_long(prints[1]), short, bands],
-                ["doc_id", "n_shingles", "p0", "p1", "sig", "bands"],
-            )
+            yield pa.record_batch([rows.column(0), pa.array(sizes, pa.int64()), K.as_long(prints[0]), K.as_long(prints[1]), bands], ["doc_id", "n_shingles", "p0", "p1", "bands"])
 
 
-def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sorted hashes of each text's set, as bytes."""
     for batch in batches:
-        a, b = (np.frombuffer(K.raw(batch.column(i).cast(pa.large_binary()))[0], np.uint8).reshape(-1, LANES) for i in (4, 5))
-        equal = ((a == b).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-        n_a, n_b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-        bound = np.minimum(n_a, n_b) / np.maximum(n_a, n_b)
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.minimum(equal, bound)), pa.array(bound)], ["a", "b", "sim", "bound"])
+        for rows, texts in K.sliced(batch):
+            hashes, bounds = K.shingle_sets(texts)
+            body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(bounds * 8), pa.py_buffer(np.ascontiguousarray(hashes))])
+            yield pa.record_batch([rows.column(0), body.cast(pa.binary())], ["d", "shingles"])
+
+
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set of distinct hashes."""
+    sizes = [np.array([len(x) for x in side], np.int64) for side in (left, right)]
+    flat = [np.concatenate(side) for side in (left, right)]
+    rows = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    if len(left) <= 4:
+        out = np.zeros((len(left), len(right)), np.int64)
+        for i, own in enumerate(left):
+            out[i] = np.bincount(rows[1][np.isin(flat[1], own)], minlength=len(right))
+        return out
+    shared = np.intersect1d(flat[0], flat[1])
+    cells = []
+    for one, row in zip(flat, rows, strict=True):
+        at = np.minimum(np.searchsorted(shared, one), max(0, len(shared) - 1))
+        hit = shared[at] == one if len(shared) else np.zeros(len(one), bool)
+        at, row = at[hit], row[hit]
+        order = np.argsort(at, kind="stable")
+        cells.append((at[order], row[order]))
+    total = np.zeros((len(left), len(right)), np.int64)
+    for first in range(0, len(shared), COLUMNS):
+        dense = []
+        for (at, row), n in zip(cells, sizes, strict=True):
+            a, b = np.searchsorted(at, [first, first + COLUMNS])
+            held = np.zeros((len(n), COLUMNS), np.float32)
+            held[row[a:b], at[a:b] - first] = 1
+            dense.append(held)
+        total += (dense[0] @ dense[1].T).astype(np.int64)  # below 2**24, hence exact
+    return total
+
+
+def _meet(num: int, den: int):
+    """Rows (k, i, j, side, d, c, shingles), sorted by cell (k, i, j): links (u, v) of components c.
+
+    The sets of side 1 meet those of side 0 that are in another component.
+    """
 
+    def cell(side: np.ndarray, c: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch | None:
+        one, two = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
+        if not len(one) or not len(two):
+            return None
+        both = common([sets[i] for i in one], [sets[i] for i in two])
+        n = np.array([len(x) for x in sets], np.int64)
+        either = n[one][:, None] + n[two][None, :] - both
+        a, b = np.nonzero((both * den >= either * num) & (c[one][:, None] != c[two][None, :]))
+        if not len(a):
+            return None
+        node, root = union_find(c[one][a], c[two][b])
+        link = node != root
+        return pa.record_batch([pa.array(node[link]), pa.array(root[link])], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                side, c = (np.concatenate([h[x] for h in held]) for x in (0, 1))
+                if (made := cell(side, c, [s for h in held for s in h[2]])) is not None:
+                    yield made
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            key = np.stack([batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in range(3)], axis=1)
+            side, c = (batch.column(x).to_numpy(zero_copy_only=False) for x in (3, 5))
+            data, offsets = K.raw(batch.column(6).cast(pa.large_binary()))
+            bounds = offsets // 8
+            hashes = np.frombuffer(data.tobytes(), U)
+            sets = [hashes[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if (at := tuple(key[a])) != last:
+                    yield from flush()
+                    last, held = at, []
+                held.append((side[a:b], c[a:b], sets[a:b]))
+        yield from flush()
 
-def _across(best: bool, least: float):
-    """For the rows (strange, d, c, n, sig) of a cell: pairs of a strange row and another of it.
+    return run
 
-    Their components c differ, and by estimate they can be linked. With ``best`` only the
-    likeliest partner of each strange row is given.
-    """
 
-    def run(cell: pa.Table) -> pa.Table:
-        strange, d, c, n = (cell.column(x).to_numpy() for x in ("strange", "d", "c", "n"))
-        sig = np.frombuffer(K.raw(cell.column("sig").combine_chunks().cast(pa.large_binary()))[0], np.uint8).reshape(-1, LANES)
-        other = np.flatnonzero(strange == 0)
-        theirs, d_o, c_o, n_o = sig[other], d[other], c[other], n[other]
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for i in np.flatnonzero(strange == 1):
-            bound = np.minimum(n[i], n_o) / np.maximum(np.maximum(n[i], n_o), 1)
-            equal = ((theirs == sig[i]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-            take = np.flatnonzero((c_o != c[i]) & (bound >= least) & (equal >= least - SLACK))
-            if best and len(take):
-                take = take[[np.argmax(equal[take])]]
-            a.append(np.minimum(d[i], d_o[take]))
-            b.append(np.maximum(d[i], d_o[take]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+def _blocks(count: Column, shingles: Column) -> Column:
+    return F.ceil(F.greatest(count / BLOCK_ROWS, shingles / BLOCK_SHINGLES, F.lit(1.0))).cast("long")
 
-    return run
 
+def _whole(n: str) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last, held = None, np.empty(0, U)
-    for batch in batches:
-        a = batch.column(0).to_pylist()
-        left = K.text_array(batch.column(2))
-        both, union = np.zeros(len(a), np.int64), np.ones(len(a), np.int64)
-        at = 0
-        for _, texts in K.sliced(batch, "text_b"):
-            hashes, bounds = K.shingle_sets(texts)
-            for i in range(len(texts)):
-                if a[at] != last:
-                    last, held = a[at], K.shingle_sets(left.slice(at, 1))[0]
-                other = hashes[bounds[i] : bounds[i + 1]]
-                both[at] = len(np.intersect1d(held, other, assume_unique=True))
-                union[at] = max(1, len(held) + len(other) - both[at])
-                at += 1
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(both), pa.array(union)], ["a", "b", "both", "either"])
 
+def _mine(n: str) -> Column:
+    return F.array(F.pmod(F.xxhash64("d", F.lit(n)), F.col(n)))
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Sizes of intersection and union of the full sets of ``pairs(a, b)``: a, b, both, either."""
-    b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    full = b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return full.select("a", "b", "text_a", "text_b").transform(over_arrow, _compare, "a long, b long, both long, either long")
+
+def _representatives(some: DataFrame) -> DataFrame:
+    """``some`` and the least doc_id ``rep`` with the same set, where another row has it too."""
+    print_ = ["n_shingles", "p0", "p1"]
+    first = some.groupBy(*print_).agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")).where("k > 1").drop("k")
+    first = stage_table(first, "repeated")
+    if first.count() <= BROADCAST_ROWS:
+        return some.join(F.broadcast(first), print_, "left")
+    # a set may be that of a third of all rows: dealt by salt
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return some.withColumn("salt", salt).join(first, [*print_, "salt"], "left").drop("salt")
 
 
 def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs(doc_id, text, ...)``."""
-    least = num / den
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = stage_table(texts.transform(over_arrow, _sketch, "doc_id long, n_shingles long, p0 long, p1 long, sig binary, bands array<long>"), "sets")
-    print_ = ["n_shingles", "p0", "p1"]
-    some = sets.where("n_shingles > 0 and doc_id is not null")
-    first = some.groupBy(*print_).agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")).where("k > 1").drop("k")
-    copies = some.select("doc_id", *print_).join(first, print_).where("rep < doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    copies = stage_table(copies, "copies")
-    reps = some.join(copies.select(F.col("u").alias("doc_id")).distinct(), "doc_id", "left_anti")
-    signatures = sets.select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), "sig")
-
-    def judged(pairs: DataFrame) -> DataFrame:
-        """The linked ones (u, v) among pairs(a, b)."""
-        with_b = pairs.join(signatures.select(F.col("d").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b")), "b")
-        with_a = with_b.join(signatures.select(F.col("d").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a")), "a")
-        guess = with_a.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").transform(over_arrow, _estimate, "a long, b long, sim double, bound double")
-        ask = stage_table(guess.where((F.col("sim") >= least - SLACK) & (F.col("bound") >= least)).select("a", "b").distinct(), "asked")
-        wanted = stage_table(ask.select(F.col("a").alias("doc_id")).union(ask.select("b")).distinct(), "wanted")
-        if wanted.count() <= BROADCAST_IDS:
-            wanted = F.broadcast(wanted)
-        sims = verify(ask, texts.join(wanted, "doc_id", "left_semi"))
-        linked = F.col("both") * den >= F.col("either") * num
-        return stage_table(sims.where(linked).select(F.col("b").alias("u"), F.col("a").alias("v")), "links")
-
-    def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-        """The pairs(a, b) whose ends lie in different components."""
-        for x in ("a", "b"):
-            known = comps.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
-            pairs = pairs.join(known, x, "left").withColumn(f"c_{x}", F.coalesce(f"c_{x}", x))
-        return pairs.where("c_a <> c_b").drop("c_a", "c_b")
-
-    def within(rows: DataFrame) -> DataFrame:
-        """The pairs (a, b) of the rows(key, d, c) of a key that lie in different components c."""
-        one, two = (rows.select("key", F.col("d").alias(x), F.col("c").alias(f"c_{x}")) for x in "ab")
-        return one.join(two, "key").where("a < b and c_a <> c_b").select("a", "b").distinct()
-
-    def marked(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    sketches = stage_table(texts.transform(over_arrow, _sketch, "doc_id long, n_shingles long, p0 long, p1 long, bands array<long>"), "sketches")
+    found = _representatives(sketches.where("n_shingles > 0 and doc_id is not null"))
+    copies = found.where("rep < doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    members = found.where("rep is null or rep = doc_id").select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+
+    # buckets with the same members count once, with their number as weight
+    mark = F.xxhash64("d")
+    shared = members.groupBy("key").agg(F.min("d").alias("pivot"), F.count("*").alias("size"), F.sum("n").alias("whole"), F.bit_xor(mark).alias("m0"), F.sum(F.shiftrightunsigned(mark, 24)).alias("m1"))
+    shared = shared.where("size > 1").groupBy("pivot", "size", "whole", "m0", "m1").agg(F.min("key").alias("key"), F.count("*").alias("weight"))
+    shared = stage_table(shared.drop("m0", "m1"), "shared")
+    met = stage_table(members.join(shared, "key").select("key", "pivot", "weight", "d", "n"), "members")
+    wanted = stage_table(met.select(F.col("d").alias("doc_id")).distinct(), "wanted")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    sets = stage_table(texts.join(wanted, "doc_id", "left_semi").transform(over_arrow, _sets, "d long, shingles binary"), "sets")
+
+    def marked(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
         """rows(d, ...) with the component c of each d."""
+        if comps is None:
+            return rows.withColumn("c", F.col("d"))
         known = comps.select(F.col("node").alias("d"), F.col("component").alias("c"))
         return rows.join(known, "d", "left").withColumn("c", F.coalesce("c", "d"))
 
-    def crossed(wide: DataFrame, comps: DataFrame, best: bool) -> DataFrame:
-        """Pairs (a, b) of each row of wide(key, d, size) with all other members of its bucket.
-
-        Both sides of a bucket are dealt into blocks, and each block meets each of the other side.
-        """
-        keys = wide.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("n_i"), F.ceil(F.max("size") / BLOCK).alias("n_j"))
-        rows = wide.select("key", "d", F.lit(1).alias("strange")).union(met.select("key", "d", F.lit(0)).join(keys, "key", "left_semi"))
-        whole = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-        mine = lambda n: F.array(F.pmod(F.xxhash64("d", F.lit(n)), F.col(n)))
-        is_strange = F.col("strange") == 1
-        rows = marked(rows, comps).join(signatures, "d").join(keys, "key")
-        rows = rows.withColumn("i", F.explode(F.when(is_strange, mine("n_i")).otherwise(whole("n_i"))))
-        rows = rows.withColumn("j", F.explode(F.when(is_strange, whole("n_j")).otherwise(mine("n_j"))))
-        cells = rows.select("key", "i", "j", "strange", "d", "c", "n", "sig").groupBy("key", "i", "j")
-        return cells.applyInArrow(_across(best, least), "a long, b long").distinct()
-
-    members = reps.select(F.col("doc_id").alias("d"), F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.min("d").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    shared = stage_table(shared, "shared")
-    met = stage_table(members.join(shared.select("key", "pivot"), "key").where("d > pivot").select("key", "pivot", "d"), "members")
-
-    votes = stage_table(met.groupBy(F.col("pivot").alias("a"), F.col("d").alias("b")).agg(F.count("*").alias("n")), "votes")
-    chosen = votes.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
+    def linked(cells: DataFrame, comps: DataFrame | None) -> DataFrame:
+        """Links between the components of cells(k, i, j, side, d)."""
+        rows = marked(cells, comps).join(sets, "d").select("k", "i", "j", "side", "d", "c", "shingles")
+        ordered = rows.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
+        return stage_table(ordered.transform(over_arrow, _meet(num, den), "u long, v long"), "links")
+
+    def stars(pairs: DataFrame) -> DataFrame:
+        """Cells in which each pivot meets the documents of its pairs(pivot, d, n)."""
+        hubs = pairs.groupBy("pivot").agg(_blocks(F.count("*"), F.sum("n")).alias("n_j"))
+        one = hubs.select(F.col("pivot").alias("k"), F.explode(_whole("n_j")).alias("j"), F.lit(1).alias("side"), F.col("pivot").alias("d"))
+        two = pairs.join(hubs, "pivot").select(F.col("pivot").alias("k"), F.explode(_mine("n_j")).alias("j"), F.lit(0).alias("side"), "d")
+        return one.union(two).select("k", F.lit(0).cast("long").alias("i"), "j", "side", "d")
+
+    def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+        """The pairs(pivot, d, ...) whose ends lie in different components."""
+        hubs = comps.select(F.col("node").alias("pivot"), F.col("component").alias("cp"))
+        both = marked(pairs, comps).join(hubs, "pivot", "left")
+        return both.where(F.coalesce("cp", "pivot") != F.col("c")).drop("c", "cp")
+
+    votes = met.where("d > pivot").groupBy("pivot", "d").agg(F.sum("weight").alias("v"), F.max("n").alias("n"))
+    votes = stage_table(votes, "votes")
+    chosen = votes.groupBy("d").agg(F.max_by(F.struct("pivot", "n"), F.struct("v", -F.col("pivot"))).alias("x")).select("d", "x.pivot", "x.n")
     chosen = stage_table(chosen, "chosen")
-    links = judged(chosen)
-    others = stage_table(apart(votes.select("a", "b").join(chosen, ["a", "b"], "left_anti"), components(links)), "others")
-    links = links.union(judged(others))
+    links = linked(stars(chosen), None)
+    comps = components(links)
+    others = apart(votes.select("pivot", "d", "n").join(chosen.select("pivot", "d"), ["pivot", "d"], "left_anti"), comps)
+    links = links.union(linked(stars(stage_table(others, "others")), comps))
 
-    # the members that are in another component than their bucket's pivot
+    # members in another component than their bucket's pivot meet all other members of it
     comps = components(links)
-    strange = apart(votes.select("a", "b"), comps).select(F.col("a").alias("pivot"), F.col("b").alias("d"))
-    strange = stage_table(met.join(strange, ["pivot", "d"]).join(shared.drop("pivot"), "key"), "strange")
-    few = strange.where(F.col("size") <= SMALL).select("key").distinct()
-    pairs = within(stage_table(marked(met.join(few, "key", "left_semi").select("key", "d"), comps), "few"))
-    wide = strange.where(F.col("size") > SMALL)
-    done = votes.select("a", "b")
-    # large buckets: first the likeliest partners, whose links spare most others; then all that are still apart
-    for best in (True, True, False):
-        wide = stage_table(wide.select("key", "pivot", "d", "size"), "wide")
-        if wide.limit(1).count():
-            pairs = pairs.union(crossed(wide, comps, best))
-        pairs = stage_table(pairs.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
-        if pairs.limit(1).count():
-            links = links.union(judged(pairs))
-            comps = components(links)
-            done = done.union(pairs)
-        still = apart(wide.select(F.col("pivot").alias("a"), F.col("d").alias("b"), "key", "size"), comps)
-        wide, pairs = still.select("key", F.col("a").alias("pivot"), F.col("b").alias("d"), "size"), pairs.limit(0)
+    buckets = shared.where("size > 2").select("key", "size", "whole")
+    strange = stage_table(apart(met.join(buckets, "key").where("d > pivot"), comps).select("key", "d", "n", "size", "whole"), "strange")
+    dealt = strange.groupBy("key").agg(_blocks(F.count("*"), F.sum("n")).alias("n_i"), _blocks(F.max("size"), F.max("whole")).alias("n_j"))
+    one = strange.join(dealt, "key").select("key", F.explode(_mine("n_i")).alias("i"), "n_j", F.lit(1).alias("side"), "d")
+    one = one.select("key", "i", F.explode(_whole("n_j")).alias("j"), "side", "d")
+    two = met.join(dealt, "key").select("key", F.explode(_mine("n_j")).alias("j"), "n_i", F.lit(0).alias("side"), "d")
+    two = two.select("key", F.explode(_whole("n_i")).alias("i"), "j", "side", "d")
+    links = links.union(linked(one.union(two).withColumnRenamed("key", "k"), comps))
 
     comps = components(links.union(copies)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
-    out = sets.select("doc_id", "n_shingles").join(comps, "doc_id", "left")
+    out = sketches.select("doc_id", "n_shingles").join(comps, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

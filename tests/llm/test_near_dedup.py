@@ -95,6 +95,64 @@ def test_apart_documents_meet_each_other_in_a_large_bucket(spark, one_bucket):
     assert len(set(want.values())) == 31
 
 
+def exact_links(texts):
+    """All pairs at 0.75 or more, from one matrix of the texts' shingles."""
+    sets = [shingles(t) for t in texts]
+    number = {g: i for i, g in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((len(sets), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, [number[g] for g in s]] = 1
+    n = held.sum(axis=1)
+    both = held @ held.T
+    a, b = np.nonzero(100 * both >= 75 * (n[:, None] + n[None, :] - both))
+    return [(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True) if i < j]
+
+
+def test_template_loses_no_link(spark):
+    """Many variants of one template; each derived text is near to one variant only."""
+    rng = np.random.default_rng(8)
+    slots = [[f"s{i}-{j}" for j in range(6)] for i in range(100)]
+
+    def variant(gone):
+        return [w for i, s in enumerate(slots) if i not in gone for w in s]
+
+    texts = [variant(set(rng.choice(100, 6, replace=False).tolist())) for _ in range(700)]
+    for d in range(60):
+        w = list(texts[int(rng.integers(700))])
+        for k in range(15):
+            w[30 * k + 5] = f"d{d}-{k}"
+        texts.append(w)
+    texts = [" ".join(w) for w in texts]
+    links = exact_links(texts)
+    want = components_of(range(len(texts)), links)
+    assert any(b >= 700 for _, b in links)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    recall = np.mean([got[a] == got[b] for a, b in links])
+    print(f"recall of {len(links)} links: {recall:.4f}")
+    assert recall >= 0.99 and got == want
+
+
+def test_common_counts():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 9000, int(n)).astype(np.uint64)) for n in rng.integers(1, 6000, 12)]
+    want = [[len(np.intersect1d(a, b)) for b in sets[5:]] for a in sets[:5]]
+    assert near_dedup.common(sets[:5], sets[5:]).tolist() == want
+    assert near_dedup.common(sets[:2], sets[5:]).tolist() == want[:2]
+    assert near_dedup.common([sets[0]] * 5, [sets[1] + np.uint64(10**6)]).tolist() == [[0]] * 5
+
+
+def test_repeated_doc_id_is_linked_by_each_text(spark, monkeypatch):
+    """One of a doc_id's texts is a copy; its other text still links. Sets are also dealt by salt."""
+    one, two, three = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = two.replace("b59", "z")
+    rows = [(1, one), (5, one), (5, two), (9, near), (10, three), (11, three)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = check(frame)
+    assert want[9] == 1 and want[11] == 10
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
+    check(frame)
+
+
 def test_empty(empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
