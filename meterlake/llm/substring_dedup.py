@@ -5,16 +5,20 @@ A window is 50 consecutive words. Its anchor is the least hash among its 26 runs
 with one anchor form a segment; a document has one posting (anchor, segment hash,
 place) for each segment, about one for thirteen words.
 
-Index: every batch's postings become an immutable run of files sorted by anchor. A new batch
-is merge-joined with the runs on the anchor:
+The index holds, for each different segment, its least document. Every batch adds one
+immutable run, a table bucketed and sorted by anchor, so a new batch is merge-joined with
+each run on the anchor without moving the run. Of what it meets there:
 
 * segments equal to one of an earlier document are repeated as a whole;
-* anchors that occur with several different segments are verified window by window
-  (two independent 64-bit hashes of the 50 words), once for each different segment.
+* anchors that occur with several different segments are verified window by window (the
+  anchor's 64-bit hash and one of all 50 words), once for each different segment.
 
-Runs are merged when more than ``fan`` have gathered. A document is compared with
-documents of smaller doc_id in its own batch and in the index; batches are expected
-in ascending doc_id, as :func:`remove_repeats` makes them.
+Runs are compacted into one, with the least document of each segment, when more than
+``fan`` have gathered. Anchors that hold more than a thousandth of a run (at most a
+thousand of them) lie apart, not bucketed, and join by broadcast; so do all other keys that
+hold as much of a table. A document is compared with documents of smaller doc_id in its
+own batch and in the index; batches are expected in ascending doc_id, as
+:func:`remove_repeats` makes them.
 
 Defined cases: null text has no words; texts under 50 words have no windows; rows with
 a null doc_id are neither changed nor sources; rows repeating a doc_id are treated by
@@ -23,19 +27,23 @@ their own texts and are no sources for each other.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.llm import _kernels as K
-from meterlake.llm._spark import over_arrow, shuffle_partitions, stage_table
+from meterlake.llm._spark import over_arrow, shuffle_partitions, stage_table, work_dir
 
 WINDOW, GRAM = 50, 25
 SPAN = WINDOW - GRAM + 1
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
+HOT_SHARE, HOT_LEAST = 1000, 1000  # a key is hot from a thousandth of the rows, and 1,000 rows, on
+BROADCAST_ROWS = 200_000  # of documents, 16 bytes each and 8 for each of their spans or anchors
 U = np.uint64
 
 
@@ -65,46 +73,52 @@ def _segments(starts: np.ndarray, rows: np.ndarray, places: np.ndarray) -> tuple
     return np.concatenate([[0], cut]), np.concatenate([cut, [len(starts)]]) - 1
 
 
+def _cut(words: K.Words) -> tuple[np.ndarray, ...]:
+    """Of each segment: row, first word, windows, anchor hash, segment hash; and the hashes of the words."""
+    hashes, starts, rows, places = _windows(words)
+    first, last = _segments(starts, rows, places)
+    a, b = starts[first], starts[last] + WINDOW
+    grams = K.rolling(hashes, GRAM, BASES[0])
+    with np.errstate(over="ignore"):
+        base = U(BASES[1])
+        powers = np.cumprod(np.concatenate([[U(1)], np.full(max(0, len(hashes) - 1), base, U)]))
+        back = np.cumprod(np.concatenate([[U(1)], np.full(len(hashes), U(pow(int(base), -1, 1 << 64)), U)]))
+        sums = np.concatenate([np.zeros(1, U), np.cumsum(hashes * powers)]) if len(hashes) else np.zeros(1, U)
+        seg = K.mix(K.mix((sums[b] - sums[a]) * back[a]) + ((b - a) * 131 + places[first] - a).astype(U))
+    return rows[first], a, b - a - WINDOW + 1, grams[places[first]], seg, hashes
+
+
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows_, texts in K.sliced(batch):
             words = K.split_words(texts)
-            hashes, starts, rows, places = _windows(words)
-            first, last = _segments(starts, rows, places)
-            a, b = starts[first], starts[last] + WINDOW
-            grams = K.rolling(hashes, GRAM, BASES[0])
-            with np.errstate(over="ignore"):
-                base = U(BASES[1])
-                powers = np.cumprod(np.concatenate([[U(1)], np.full(max(0, len(hashes) - 1), base, U)]))
-                back = np.cumprod(np.concatenate([[U(1)], np.full(len(hashes), U(pow(int(base), -1, 1 << 64)), U)]))
-                sums = np.concatenate([np.zeros(1, U), np.cumsum(hashes * powers)]) if len(hashes) else np.zeros(1, U)
-                seg = K.mix(K.mix((sums[b] - sums[a]) * back[a]) + ((b - a) * 131 + places[first] - a).astype(U))
-            ids = rows_.column(0).cast(pa.int64()).take(pa.array(rows[first]))
-            keys = rows_.column(2).take(pa.array(rows[first]))
-            at = a - words.bounds[rows[first]]
-            yield pa.record_batch([K.as_long(grams[places[first]]), K.as_long(seg), ids, keys, pa.array(at, pa.int32()), pa.array(b - a - WINDOW + 1, pa.int32())], ["fp", "seg", "doc_id", "tk", "at", "n"])
+            row, a, n, fp, seg, _ = _cut(words)
+            of = pa.array(row)
+            ids = rows_.column(0).cast(pa.int64()).take(of)
+            yield pa.record_batch(
+                [K.as_long(fp), K.as_long(seg), ids, rows_.column(2).take(of), pa.array(a - words.bounds[row], pa.int32()), pa.array(n, pa.int32()), rows_.column(3).take(of)],
+                ["fp", "seg", "doc_id", "tk", "at", "n", "batch"],
+            )
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Both hashes of the windows whose anchor is among the row's ``fps``."""
+    """Hash of each window of the segments whose anchor is among the row's ``fps``."""
     for batch in batches:
         for rows_, texts in K.sliced(batch):
             words = K.split_words(texts)
-            hashes, starts, rows, places = _windows(words)
-            if not len(starts):
+            row, a, n, fp, seg, hashes = _cut(words)
+            if not len(row):
                 continue
-            grams = K.rolling(hashes, GRAM, BASES[0])
-            wanted = rows_.column(3)
+            wanted = rows_.column(2)
             owner = np.repeat(np.arange(len(texts), dtype=U), wanted.value_lengths().to_numpy(zero_copy_only=False))
             asked = wanted.flatten().to_numpy(zero_copy_only=False).view(U)
             with np.errstate(over="ignore"):
-                take = np.isin(K.mix(grams[places] + rows.astype(U) * U(BASES[2])), K.mix(asked + owner * U(BASES[2])))
-            starts, rows = starts[take], rows[take]
-            h1 = K.rolling(hashes, WINDOW, BASES[1])[starts]
-            h2 = K.rolling(K.word_hashes(words, 2), WINDOW, BASES[2])[starts]
-            ids = rows_.column(0).cast(pa.int64()).take(pa.array(rows))
-            keys = rows_.column(2).take(pa.array(rows))
-            yield pa.record_batch([K.as_long(h1), K.as_long(h2), ids, keys, pa.array(starts - words.bounds[rows], pa.int32())], ["h1", "h2", "doc_id", "tk", "at"])
+                take = np.flatnonzero(np.isin(K.mix(fp + row.astype(U) * U(BASES[2])), K.mix(asked + owner * U(BASES[2]))))
+            of = np.repeat(take, n[take])
+            rel = np.arange(len(of)) - np.repeat(np.cumsum(n[take]) - n[take], n[take])
+            whole = K.rolling(hashes, WINDOW, BASES[1])[a[of] + rel]
+            ids = rows_.column(0).cast(pa.int64()).take(pa.array(row[of]))
+            yield pa.record_batch([K.as_long(fp[of]), K.as_long(seg[of]), ids, pa.array(rel, pa.int32()), K.as_long(whole)], ["fp", "seg", "d", "rel", "h"])
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,72 +160,133 @@ def join_words(words: K.Words, keep: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.cumsum(offsets).astype(np.int32)), pa.py_buffer(out))
 
 
-class WindowIndex:
-    """Runs of postings of all batches so far, newest last."""
+class Run(NamedTuple):
+    """Different segments (fp, seg, d, tk): ``cold`` is a bucketed table, ``hot`` holds the hot anchors."""
+
+    name: str
+    cold: DataFrame
+    hot: DataFrame
+
+
+def hot_limit(rows: int) -> int:
+    return max(HOT_LEAST, rows // HOT_SHARE)
 
-    def __init__(self, fan: int = 4) -> None:
-        self.fan = fan
-        self.runs: list[DataFrame] = []
 
-    def add(self, batch: DataFrame, corpus: DataFrame) -> DataFrame:
-        """Spans (doc_id, tk, at, n) of repeated windows in ``batch``; the batch joins the index.
+def join_counted(rows: DataFrame, facts: DataFrame, on: list[str], many: str) -> DataFrame:
+    """Inner join with ``facts``, unique by ``on``; ``many`` tells how many rows meet each.
+
+    The few facts that meet a thousandth of all rows or more are broadcast, so their rows
+    stay where they are; the others join by their keys.
+    """
+    limit = hot_limit(rows.count())
+    hot, rest = facts.where(F.col(many) > limit), facts.where(F.col(many) <= limit)
+    hot = stage_table(hot, "hot")  # at most HOT_SHARE rows
+    if not hot.limit(1).count():
+        return rows.join(rest, on)
+    cool = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).union(cool.join(rest, on))
+
+
+class WindowIndex:
+    """Runs of all batches so far, newest last."""
+
+    def __init__(self, spark: SparkSession, fan: int = 4) -> None:
+        self.spark, self.fan, self.buckets = spark, fan, shuffle_partitions(spark)
+        self.runs: list[Run] = []
+
+    def _write(self, segments: DataFrame) -> Run:
+        """A run of ``segments``, which are staged."""
+        counts = segments.groupBy("fp").agg(F.count("*").alias("k"))
+        hot = stage_table(counts.where(F.col("k") > hot_limit(segments.count())).select("fp"), "hot")  # at most HOT_SHARE rows
+        name = f"window_run_{uuid.uuid4().hex}"
+        cold = segments.join(F.broadcast(hot), "fp", "left_anti").repartition(self.buckets, "fp")
+        cold.write.bucketBy(self.buckets, "fp").sortBy("fp", "seg").option("path", f"{work_dir(self.spark)}/{name}").saveAsTable(name)
+        return Run(name, self.spark.table(name), stage_table(segments.join(F.broadcast(hot), "fp"), "hot_run"))
+
+    def met(self, run: Run, new: Run) -> DataFrame:
+        """The segments of ``run`` whose anchors ``new`` holds too; neither cold side moves."""
+        anchors = new.cold.select("fp").hint("merge")
+        own = F.broadcast(new.hot.select("fp").distinct())  # at most HOT_SHARE rows
+        cold = run.cold.join(anchors, "fp", "left_semi").union(run.cold.join(own, "fp", "left_semi"))
+        anchors_hot = F.broadcast(run.hot.select("fp").distinct())  # at most HOT_SHARE rows
+        known = new.cold.select("fp").join(anchors_hot, "fp", "left_semi").union(new.hot.select("fp").join(anchors_hot, "fp", "left_semi"))
+        return cold.union(run.hot.join(F.broadcast(known.distinct()), "fp", "left_semi"))
+
+    def add(self, new: DataFrame, corpus: DataFrame) -> DataFrame:
+        """Spans (doc_id, tk, at, n) of repeated windows among the postings ``new``; the batch joins the index.
 
         ``corpus`` holds the texts (doc_id, text, tk) of the batch and of all earlier batches.
         """
-        new = batch.transform(over_arrow, _postings, "fp long, seg long, doc_id long, tk int, at int, n int")
-        new = self._write(new)
-        every = new
-        for run in self.runs:
-            every = every.union(run)
-        self.runs.append(new)
-        segs = every.groupBy("fp", "seg").agg(F.min(F.struct("doc_id", "tk")).alias("first"), F.max("doc_id").alias("top"))
-        segs = stage_table(segs.select("fp", "seg", F.col("first.doc_id").alias("d"), F.col("first.tk").alias("tk"), "top"), "segments")
-        again = segs.where("d < top").select("fp", "seg", "d")
-        whole = new.join(again, ["fp", "seg"]).where("d < doc_id").select("doc_id", "tk", "at", "n")
-        mixed = segs.groupBy("fp").agg(F.count("*").alias("k"), F.min("d").alias("lo"), F.max("top").alias("hi")).where("k > 1 and lo < hi").select("fp")
-        asked = segs.join(mixed, "fp").groupBy(F.col("d").alias("doc_id"), "tk").agg(F.collect_set("fp").alias("fps"))
-        windows = corpus.join(asked, ["doc_id", "tk"]).select("doc_id", "text", "tk", "fps")
-        windows = stage_table(windows.transform(over_arrow, _verify, "h1 long, h2 long, doc_id long, tk int, at int"), "windows")
-        least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("d"), F.max("doc_id").alias("top")).where("d < top").drop("top")
-        single = windows.join(least, ["h1", "h2"]).where("d < doc_id").select("doc_id", "tk", "at", F.lit(1).alias("n"))
-        here = batch.select("doc_id", "tk").distinct() if len(self.runs) > 1 else None
-        single = single.join(here, ["doc_id", "tk"], "left_semi") if here is not None else single
-        spans = stage_table(whole.union(single), "spans")
         if len(self.runs) > self.fan:
             self.compact()
-        return spans
-
-    def _write(self, postings: DataFrame) -> DataFrame:
-        parts = shuffle_partitions(postings.sparkSession)
-        # files are sorted by anchor; a common anchor's postings spread over files by document
-        return stage_table(postings.repartition(parts, "fp", "doc_id").sortWithinPartitions("fp", "seg", "doc_id"), "run")
+        own = new.groupBy("fp", "seg").agg(F.min(F.struct("doc_id", "tk")).alias("x"), F.max("doc_id").alias("top"), F.count("*").alias("k"))
+        own = stage_table(own.select("fp", "seg", F.col("x.doc_id").alias("d"), F.col("x.tk").alias("tk"), "top", "k"), "segments")
+        run = self._write(own.select("fp", "seg", "d", "tk"))
+        every = own
+        for old in self.runs:
+            every = every.union(self.met(old, run).select("fp", "seg", "d", "tk", F.col("d").alias("top"), F.lit(0).cast("long")))
+        self.runs.append(run)
+        if len(self.runs) > 1:
+            every = every.groupBy("fp", "seg").agg(F.min(F.struct("d", "tk")).alias("x"), F.max("top").alias("top"), F.sum("k").alias("k"))
+            every = stage_table(every.select("fp", "seg", "x.d", "x.tk", "top", "k"), "known")
+        again = every.where("d < top and k > 0").select("fp", "seg", "d", "k")
+        whole = join_counted(new, again, ["fp", "seg"], "k").where("d < doc_id").select("doc_id", "tk", "at", "n")
+
+        mixed = every.groupBy("fp").agg(F.count("*").alias("many"), F.min("d").alias("lo"), F.max("top").alias("hi")).where("many > 1 and lo < hi").select("fp", "many")
+        asked = join_counted(every, mixed, ["fp"], "many").groupBy(F.col("d").alias("doc_id"), "tk").agg(F.collect_set("fp").alias("fps"))
+        asked = stage_table(asked, "asked")
+        texts = corpus.join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, ["doc_id", "tk"]).select("doc_id", "text", "fps")
+        windows = stage_table(texts.transform(over_arrow, _verify, "fp long, seg long, d long, rel int, h long"), "windows")
+        least = windows.groupBy("fp", "h").agg(F.min("d").alias("first"), F.max("d").alias("top"), F.count("*").alias("many")).where("first < top").drop("top")
+        parts = join_counted(windows, least, ["fp", "h"], "many").where("first < d").select("fp", "seg", "d", "rel").distinct()
+        some = new.join(parts, ["fp", "seg"]).where("doc_id = d").select("doc_id", "tk", (F.col("at") + F.col("rel")).alias("at"), F.lit(1).alias("n"))
+        return stage_table(whole.union(some), "spans")
 
     def compact(self) -> None:
-        """Merges all runs into one; of postings equal but for the document all are kept."""
-        every = self.runs[0]
-        for run in self.runs[1:]:
-            every = every.union(run)
-        self.runs = [self._write(every)]
+        """Merges all runs into one, which keeps the least document of each segment."""
+        old, self.runs = self.runs, []
+        every = old[0].cold.union(old[0].hot)
+        for run in old[1:]:
+            every = every.union(run.cold).union(run.hot)
+        least = every.groupBy("fp", "seg").agg(F.min(F.struct("d", "tk")).alias("x")).select("fp", "seg", "x.d", "x.tk")
+        self.runs = [self._write(stage_table(least, "compacted"))]
+        self._forget(old)
+
+    def _forget(self, runs: list[Run]) -> None:
+        for run in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {run.name}")
+
+    def close(self) -> None:
+        """Takes the runs out of the catalogue; their files stay in the work folder."""
+        self._forget(self.runs)
+        self.runs = []
+
+
+def postings(docs: DataFrame) -> DataFrame:
+    """The postings of ``docs(doc_id, text, tk, batch)``."""
+    return docs.select("doc_id", "text", "tk", "batch").transform(over_arrow, _postings, "fp long, seg long, doc_id long, tk long, at int, n int, batch int")
 
 
-def remove_repeats(docs: DataFrame, batches: int = 2, fan: int = 4) -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: int = 3, fan: int = 1) -> DataFrame:
     """doc_id, text (kept words joined by one space), n_words, n_removed for each row of docs.
 
     The documents pass through the index in ``batches`` ranges of doc_id.
     """
-    corpus = docs.select("doc_id", "text", F.hash("text").alias("tk"))
+    corpus = docs.select("doc_id", "text", F.xxhash64("text").alias("tk"))
     known = corpus.where("doc_id is not null")
     cuts = known.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"] if batches > 1 else []
     cuts = sorted(set(cuts or []))
-    index, spans = WindowIndex(fan), None
+    batch = sum((F.when(F.col("doc_id") > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    every = stage_table(postings(known.withColumn("batch", batch)), "postings", ["batch"])
+    index, spans = WindowIndex(docs.sparkSession, fan), None
     for i in range(len(cuts) + 1):
-        part, seen = known, known
-        if i:
-            part = part.where(F.col("doc_id") > cuts[i - 1])
-        if i < len(cuts):
-            part, seen = part.where(F.col("doc_id") <= cuts[i]), seen.where(F.col("doc_id") <= cuts[i])
-        found = index.add(part.select("doc_id", "text", "tk"), seen)
+        seen = known.where(F.col("doc_id") <= cuts[i]) if i < len(cuts) else known
+        found = index.add(every.where(F.col("batch") == i).drop("batch"), seen)
         spans = found if spans is None else spans.union(found)
-    gathered = spans.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    index.close()
+    gathered = stage_table(spans.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("at", "n")).alias("spans")), "gathered")
+    size = gathered.agg(F.count("*").alias("rows"), F.sum(F.size("spans")).alias("spans")).first()
+    if size["rows"] + (size["spans"] or 0) <= BROADCAST_ROWS:
+        gathered = F.broadcast(gathered)
     full = corpus.join(gathered, ["doc_id", "tk"], "left").select("doc_id", "text", "spans")
     return full.transform(over_arrow, _rewrite, "doc_id long, text string, n_words long, n_removed long")

@@ -26,7 +26,7 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize(("batches", "fan"), [(1, 4), (3, 1)])
+@pytest.mark.parametrize(("batches", "fan"), [(1, 4), (4, 1)])
 def test_removals_equal_brute_force(docs, batches, fan):
     got = Counter(tuple(r) for r in substring_dedup.remove_repeats(docs, batches, fan).collect())
     want = Counter(brute(docs.collect()))
@@ -34,11 +34,12 @@ def test_removals_equal_brute_force(docs, batches, fan):
 
 
 def test_batches_one_after_the_other(spark, texts):
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("tk", F.hash("text"))
-    index, spans = substring_dedup.WindowIndex(fan=2), []
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("tk", F.xxhash64("text")).withColumn("batch", F.lit(0))
+    index, spans = substring_dedup.WindowIndex(spark, fan=2), []
     for i in range(4):
-        spans.append(index.add(rows.where(f"doc_id div 15 = {i}"), rows.where(f"doc_id div 15 <= {i}")))
-        assert len(index.runs) <= 2
+        spans.append(index.add(substring_dedup.postings(rows.where(f"doc_id div 15 = {i}")).drop("batch"), rows.where(f"doc_id div 15 <= {i}").drop("batch")))
+        assert len(index.runs) <= 3
+    index.close()
     found = {(r.doc_id, r.at + j) for s in spans for r in s.collect() for j in range(r.n)}
     first = {}
     want = set()
@@ -50,5 +51,40 @@ def test_batches_one_after_the_other(spark, texts):
     assert found == want
 
 
+def long_text(mark, passage):
+    return " ".join([*(f"{mark}l{i}" for i in range(30)), *passage, *(f"{mark}r{i}" for i in range(30))])
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_long_rows_that_repeat_a_doc_id(spark, batches):
+    """Two different rows of one doc_id hold a passage in shared surroundings, at an anchor that is mixed."""
+    passage = [f"p{i}" for i in range(56)]
+    near = long_text("b", passage)
+    rows = [(0, long_text("a", passage)), (5, near), (5, near + " and more"), (7, near), (9, None), (3, "few words")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in substring_dedup.remove_repeats(frame, batches).collect())
+    assert got == Counter(brute(frame.collect()))
+    assert sorted(n for d, _, _, n in got if d == 5) == [56, 56]
+
+
+def test_hot_keys_lie_apart(docs, monkeypatch):
+    """With a limit of one row nearly every repeated key is hot, and results stay."""
+    monkeypatch.setattr(substring_dedup, "hot_limit", lambda rows: 1)
+    got = Counter(tuple(r) for r in substring_dedup.remove_repeats(docs).collect())
+    assert got == Counter(brute(docs.collect()))
+
+
+def test_runs_are_merge_joined_without_moving(spark, docs):
+    known = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("tk"), F.lit(0).alias("batch"))
+    index = substring_dedup.WindowIndex(spark)
+    for half in ("doc_id < 20", "doc_id >= 20"):
+        index.add(substring_dedup.postings(known.where(half)).drop("batch"), known.drop("batch"))
+    one, two = index.runs
+    joined = one.cold.join(two.cold.select("fp").hint("merge"), "fp", "left_semi")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    index.close()
+
+
 def test_empty(empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
