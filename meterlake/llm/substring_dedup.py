@@ -6,19 +6,20 @@ with one anchor form a segment; a document has one posting (anchor, segment hash
 place) for each segment, about one for thirteen words.
 
 The index holds, for each different segment, its least document. Every batch adds one
-immutable run, a table bucketed and sorted by anchor, so a new batch is merge-joined with
-each run on the anchor without moving the run. Of what it meets there:
+immutable run, a table bucketed by anchor. A batch's postings are shuffled once, into such
+a table too; from there on it is grouped, and merge-joined with each run, on the anchor
+without moving either side. Of what it meets there:
 
 * segments equal to one of an earlier document are repeated as a whole;
 * anchors that occur with several different segments are verified window by window (the
   anchor's 64-bit hash and one of all 50 words), once for each different segment.
 
 Runs are compacted into one, with the least document of each segment, when more than
-``fan`` have gathered. Anchors that hold more than a thousandth of a run (at most a
-thousand of them) lie apart, not bucketed, and join by broadcast; so do all other keys that
-hold as much of a table. A document is compared with documents of smaller doc_id in its
-own batch and in the index; batches are expected in ascending doc_id, as
-:func:`remove_repeats` makes them.
+``fan`` have gathered. Anchors that hold a thousandth of a batch's postings or more (a
+frequent-items sketch names a few thousand at most) lie apart, not bucketed, and join by
+broadcast; so do other keys that hold as much of a table. A document is compared with
+documents of smaller doc_id in its own batch and in the index; batches are expected in
+ascending doc_id, as :func:`remove_repeats` makes them.
 
 Defined cases: null text has no words; texts under 50 words have no windows; rows with
 a null doc_id are neither changed nor sources; rows repeating a doc_id are treated by
@@ -43,6 +44,7 @@ WINDOW, GRAM = 50, 25
 SPAN = WINDOW - GRAM + 1
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
 HOT_SHARE, HOT_LEAST = 1000, 1000  # a key is hot from a thousandth of the rows, and 1,000 rows, on
+TRACKED = 16384  # items of the sketch; it misses no key above 1 / (0.75 * TRACKED) of the rows
 BROADCAST_ROWS = 200_000  # of documents, 16 bytes each and 8 for each of their spans or anchors
 U = np.uint64
 
@@ -161,17 +163,23 @@ def join_words(words: K.Words, keep: np.ndarray) -> pa.Array:
 
 
 class Run(NamedTuple):
-    """Different segments (fp, seg, d, tk): ``cold`` is a bucketed table, ``hot`` holds the hot anchors."""
+    """Different segments (fp, seg, d, tk): ``cold`` is bucketed by anchor, ``hot`` holds the anchors ``names``."""
 
-    name: str
     cold: DataFrame
     hot: DataFrame
+    names: list[int]
 
 
 def hot_limit(rows: int) -> int:
     return max(HOT_LEAST, rows // HOT_SHARE)
 
 
+def hot_anchors(rows: DataFrame) -> list[int]:
+    """Anchors of ``rows(fp)`` above the limit, by a frequent-items sketch."""
+    found = rows.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(fp, {2 * HOT_SHARE}, {TRACKED})").alias("top")).first()
+    return [x["item"] for x in found["top"] or [] if x["count"] > hot_limit(found["n"])]
+
+
 def join_counted(rows: DataFrame, facts: DataFrame, on: list[str], many: str) -> DataFrame:
     """Inner join with ``facts``, unique by ``on``; ``many`` tells how many rows meet each.
 
@@ -179,8 +187,8 @@ def join_counted(rows: DataFrame, facts: DataFrame, on: list[str], many: str) ->
     stay where they are; the others join by their keys.
     """
     limit = hot_limit(rows.count())
-    hot, rest = facts.where(F.col(many) > limit), facts.where(F.col(many) <= limit)
-    hot = stage_table(hot, "hot")  # at most HOT_SHARE rows
+    facts = stage_table(facts, "facts")
+    hot, rest = facts.where(F.col(many) > limit), facts.where(F.col(many) <= limit)  # at most HOT_SHARE hot ones
     if not hot.limit(1).count():
         return rows.join(rest, on)
     cool = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
@@ -193,24 +201,20 @@ class WindowIndex:
     def __init__(self, spark: SparkSession, fan: int = 4) -> None:
         self.spark, self.fan, self.buckets = spark, fan, shuffle_partitions(spark)
         self.runs: list[Run] = []
+        self.tables: list[str] = []
+
+    def bucketed(self, rows: DataFrame, name: str, into: str | None = None) -> str:
+        """Writes ``rows``, which lie in tasks by anchor, as (or into) a table bucketed by it."""
+        table = into or f"{name}_{uuid.uuid4().hex}"
+        writer = rows.write.bucketBy(self.buckets, "fp").sortBy("fp", "seg").mode("append")
+        writer.option("path", f"{work_dir(self.spark)}/{table}").saveAsTable(table)
+        if not into:
+            self.tables.append(table)
+        return table
 
-    def _write(self, segments: DataFrame) -> Run:
-        """A run of ``segments``, which are staged."""
-        counts = segments.groupBy("fp").agg(F.count("*").alias("k"))
-        hot = stage_table(counts.where(F.col("k") > hot_limit(segments.count())).select("fp"), "hot")  # at most HOT_SHARE rows
-        name = f"window_run_{uuid.uuid4().hex}"
-        cold = segments.join(F.broadcast(hot), "fp", "left_anti").repartition(self.buckets, "fp")
-        cold.write.bucketBy(self.buckets, "fp").sortBy("fp", "seg").option("path", f"{work_dir(self.spark)}/{name}").saveAsTable(name)
-        return Run(name, self.spark.table(name), stage_table(segments.join(F.broadcast(hot), "fp"), "hot_run"))
-
-    def met(self, run: Run, new: Run) -> DataFrame:
-        """The segments of ``run`` whose anchors ``new`` holds too; neither cold side moves."""
-        anchors = new.cold.select("fp").hint("merge")
-        own = F.broadcast(new.hot.select("fp").distinct())  # at most HOT_SHARE rows
-        cold = run.cold.join(anchors, "fp", "left_semi").union(run.cold.join(own, "fp", "left_semi"))
-        anchors_hot = F.broadcast(run.hot.select("fp").distinct())  # at most HOT_SHARE rows
-        known = new.cold.select("fp").join(anchors_hot, "fp", "left_semi").union(new.hot.select("fp").join(anchors_hot, "fp", "left_semi"))
-        return cold.union(run.hot.join(F.broadcast(known.distinct()), "fp", "left_semi"))
+    def among(self, names: list[int]) -> DataFrame:
+        """The hot anchors, to be broadcast: at most 2 * HOT_SHARE for each run."""
+        return F.broadcast(self.spark.createDataFrame([(x,) for x in names], "fp long"))
 
     def add(self, new: DataFrame, corpus: DataFrame) -> DataFrame:
         """Spans (doc_id, tk, at, n) of repeated windows among the postings ``new``; the batch joins the index.
@@ -219,52 +223,71 @@ class WindowIndex:
         """
         if len(self.runs) > self.fan:
             self.compact()
-        own = new.groupBy("fp", "seg").agg(F.min(F.struct("doc_id", "tk")).alias("x"), F.max("doc_id").alias("top"), F.count("*").alias("k"))
-        own = stage_table(own.select("fp", "seg", F.col("x.doc_id").alias("d"), F.col("x.tk").alias("tk"), "top", "k"), "segments")
-        run = self._write(own.select("fp", "seg", "d", "tk"))
-        every = own
-        for old in self.runs:
-            every = every.union(self.met(old, run).select("fp", "seg", "d", "tk", F.col("d").alias("top"), F.lit(0).cast("long")))
-        self.runs.append(run)
-        if len(self.runs) > 1:
-            every = every.groupBy("fp", "seg").agg(F.min(F.struct("d", "tk")).alias("x"), F.max("top").alias("top"), F.sum("k").alias("k"))
-            every = stage_table(every.select("fp", "seg", "x.d", "x.tk", "top", "k"), "known")
-        again = every.where("d < top and k > 0").select("fp", "seg", "d", "k")
-        whole = join_counted(new, again, ["fp", "seg"], "k").where("d < doc_id").select("doc_id", "tk", "at", "n")
-
-        mixed = every.groupBy("fp").agg(F.count("*").alias("many"), F.min("d").alias("lo"), F.max("top").alias("hi")).where("many > 1 and lo < hi").select("fp", "many")
-        asked = join_counted(every, mixed, ["fp"], "many").groupBy(F.col("d").alias("doc_id"), "tk").agg(F.collect_set("fp").alias("fps"))
-        asked = stage_table(asked, "asked")
+        names = sorted(set(hot_anchors(new)).union(*[run.names for run in self.runs]))
+        hot_new = stage_table(new.join(self.among(names), "fp"), "hot_postings")
+        cold_new = self.spark.table(self.bucketed(new.join(self.among(names), "fp", "left_anti").repartition(self.buckets, "fp"), "postings"))
+
+        first = [F.min(F.struct("doc_id", "tk")).alias("x"), F.max("doc_id").alias("top"), F.count("*").alias("k")]
+        columns = ["fp", "seg", "x.doc_id AS d", "x.tk AS tk", "top", "k"]
+        own_cold = self.spark.table(self.bucketed(cold_new.groupBy("fp", "seg").agg(*first).selectExpr(*columns), "run"))
+        own_hot = stage_table(hot_new.groupBy("fp", "seg").agg(*first).selectExpr(*columns), "run_hot")
+
+        # what the runs hold of the batch's anchors; neither cold side moves
+        known, known_hot = own_cold, own_hot
+        if self.runs:
+            table = self.bucketed(own_cold, "known")
+            old = ["fp", "seg", "d", "tk", "d AS top", "0L AS k"]
+            for run in self.runs:
+                self.bucketed(run.cold.join(own_cold.select("fp").hint("merge"), "fp", "left_semi").selectExpr(*old), "known", table)
+                known_hot = known_hot.union(run.cold.join(self.among(names), "fp", "left_semi").selectExpr(*old)).union(run.hot.selectExpr(*old))
+            known = self.spark.table(table)
+        self.runs.append(Run(own_cold.select("fp", "seg", "d", "tk"), own_hot.select("fp", "seg", "d", "tk"), names))
+
+        least = [F.min(F.struct("d", "tk")).alias("x"), F.max("top").alias("top"), F.sum("k").alias("k")]
+        columns = ["fp", "seg", "x.d AS d", "x.tk AS tk", "top", "k"]
+        merged = known.groupBy("fp", "seg").agg(*least).selectExpr(*columns) if len(self.runs) > 1 else own_cold
+        merged_hot = stage_table(known_hot.groupBy("fp", "seg").agg(*least).selectExpr(*columns), "merged_hot")
+
+        again = merged.where("d < top and k > 0").select("fp", F.col("seg").alias("s"), "d")
+        same = F.col("seg").bitwiseXOR(F.col("s")) == 0  # no key of the join, which goes by anchor alone
+        whole = cold_new.join(again.hint("merge"), "fp").where(same & (F.col("d") < F.col("doc_id"))).select("doc_id", "tk", "at", "n")
+        again = merged_hot.where("d < top and k > 0").select("fp", "seg", "d", "k")
+        whole = whole.union(join_counted(hot_new, again, ["fp", "seg"], "k").where("d < doc_id").select("doc_id", "tk", "at", "n"))
+
+        several = lambda t: t.groupBy("fp").agg(F.count("*").alias("many"), F.min("d").alias("lo"), F.max("top").alias("hi"), F.max("k").alias("k")).where("many > 1 and lo < hi and k > 0").select("fp")
+        asked = merged.join(several(merged).hint("merge"), "fp").select("d", "tk", "fp").union(merged_hot.join(F.broadcast(several(merged_hot)), "fp").select("d", "tk", "fp"))
+        asked = stage_table(asked.groupBy(F.col("d").alias("doc_id"), "tk").agg(F.collect_set("fp").alias("fps")), "asked")
         texts = corpus.join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, ["doc_id", "tk"]).select("doc_id", "text", "fps")
         windows = stage_table(texts.transform(over_arrow, _verify, "fp long, seg long, d long, rel int, h long"), "windows")
-        least = windows.groupBy("fp", "h").agg(F.min("d").alias("first"), F.max("d").alias("top"), F.count("*").alias("many")).where("first < top").drop("top")
+        least = windows.groupBy("fp", "h").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.count("*").alias("many")).where("first < last").drop("last")
         parts = join_counted(windows, least, ["fp", "h"], "many").where("first < d").select("fp", "seg", "d", "rel").distinct()
         some = new.join(parts, ["fp", "seg"]).where("doc_id = d").select("doc_id", "tk", (F.col("at") + F.col("rel")).alias("at"), F.lit(1).alias("n"))
         return stage_table(whole.union(some), "spans")
 
     def compact(self) -> None:
         """Merges all runs into one, which keeps the least document of each segment."""
-        old, self.runs = self.runs, []
-        every = old[0].cold.union(old[0].hot)
-        for run in old[1:]:
-            every = every.union(run.cold).union(run.hot)
-        least = every.groupBy("fp", "seg").agg(F.min(F.struct("d", "tk")).alias("x")).select("fp", "seg", "x.d", "x.tk")
-        self.runs = [self._write(stage_table(least, "compacted"))]
-        self._forget(old)
-
-    def _forget(self, runs: list[Run]) -> None:
-        for run in runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {run.name}")
+        names = sorted(set().union(*[run.names for run in self.runs]))
+        table, hot = None, []
+        for run in self.runs:
+            table = self.bucketed(run.cold.join(self.among(names), "fp", "left_anti"), "runs", table)
+            hot += [run.cold.join(self.among(names), "fp"), run.hot]
+        least = lambda t: t.groupBy("fp", "seg").agg(F.min(F.struct("d", "tk")).alias("x")).select("fp", "seg", "x.d", "x.tk")
+        cold = self.spark.table(self.bucketed(least(self.spark.table(table)), "run"))
+        every = hot[0].select("fp", "seg", "d", "tk")
+        for part in hot[1:]:
+            every = every.union(part.select("fp", "seg", "d", "tk"))
+        self.runs = [Run(cold, stage_table(least(every), "run_hot"), names)]
 
     def close(self) -> None:
-        """Takes the runs out of the catalogue; their files stay in the work folder."""
-        self._forget(self.runs)
-        self.runs = []
+        """Takes the tables out of the catalogue; their files stay in the work folder."""
+        for table in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self.runs, self.tables = [], []
 
 
 def postings(docs: DataFrame) -> DataFrame:
     """The postings of ``docs(doc_id, text, tk, batch)``."""
-    return docs.select("doc_id", "text", "tk", "batch").transform(over_arrow, _postings, "fp long, seg long, doc_id long, tk long, at int, n int, batch int")
+    return docs.select("doc_id", "text", "tk", "batch").transform(over_arrow, _postings, "fp long, seg long, doc_id long, tk int, at int, n int, batch int")
 
 
 def remove_repeats(docs: DataFrame, batches: int = 3, fan: int = 1) -> DataFrame:
@@ -272,7 +295,7 @@ def remove_repeats(docs: DataFrame, batches: int = 3, fan: int = 1) -> DataFrame
 
     The documents pass through the index in ``batches`` ranges of doc_id.
     """
-    corpus = docs.select("doc_id", "text", F.xxhash64("text").alias("tk"))
+    corpus = docs.select("doc_id", "text", F.hash("text").alias("tk"))
     known = corpus.where("doc_id is not null")
     cuts = known.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"] if batches > 1 else []
     cuts = sorted(set(cuts or []))
