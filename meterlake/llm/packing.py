@@ -1,7 +1,7 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
 Every source is a queue: its documents in a hashed block order, token after token. Time
-runs in quanta of 64 tokens, 32 to a window of 2048. After x quanta in all, queue q has
+runs in quanta of 256 tokens, 8 to a window of 2048. After x quanta in all, queue q has
 been served c_q(x) of its own, fixed by halving the ordered queues again and again and
 giving the left half ``floor(amount * left / both)``: c_q never falls, the queues' shares
 add up to x exactly, and each differs from its target by less than one quantum for each
@@ -10,18 +10,27 @@ as c_q(x) is a closed form of the queue totals alone, any task can cut any docum
 without knowing the others. So every window holds the target proportions, and only the
 last quantum of each queue and the last window can be short.
 
+The target is the queues' own totals, or the ``weights`` given: then windows hold those
+until the first queue is empty, the others' weights from there, and so on, phase by phase.
+
 Tokens are those of the byte-level vocabulary of 50,257 entries, read from its rank file
-by tiktoken (the ids equal those of the JSON form of that vocabulary, see the tests),
-followed by one end id. Special strings in a text are ordinary text.
+by tiktoken, four times as fast as from the JSON file; the added tokens are read from the
+JSON file, so the ids equal its ids (see the tests). One end id follows.
+
+A block holds about 16 MB of text, and a 65,536th of all text at least, so blocks grow in
+number with their source and the plan stays small. Beyond ``MAX_QUEUES`` sources, sources
+share that many queues by hash; in a shared queue their documents stand in hashed order,
+so they follow their proportions on average.
 
 Defined cases: null text is empty and still yields its end id; a null source is the queue
-''; with more than ``MAX_QUEUES`` sources they are hashed into that many queues; repeated
-rows are packed once for each row; an empty table gives no pieces.
+''; repeated rows are packed once for each row; an empty table gives no pieces; weights
+must be positive and name every source.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,39 +41,42 @@ from pyspark.sql import functions as F
 from meterlake.llm import _kernels as K
 from meterlake.llm._spark import over_arrow, stage_table
 
-LENGTH, QUANTUM, END_ID = 2048, 64, 1
+LENGTH, QUANTUM, END_ID = 2048, 256, 1
 PER_WINDOW = LENGTH // QUANTUM
-BLOCKS, MAX_QUEUES = 1024, 512
-TOKENIZER = "byte_bpe_50k.tiktoken"
+BLOCK_BYTES, BLOCKS, MAX_QUEUES = 16 << 20, 65_536, 100_000
+TOKENIZER, ADDED = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def encoder(path: str | None = None):
-    """The tokenizer of a rank file: each line a base64 token and its id."""
+def encoder(path: str | None = None, added: str | None = None):
+    """The tokenizer of a rank file (each line a base64 token and its id) and of the added tokens of a JSON file."""
     import public_tokenizers
     import tiktoken
 
     with open(path or public_tokenizers.path(TOKENIZER), "rb") as file:
         ranks = {base64.b64decode(token): int(i) for token, i in map(bytes.split, file)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(added or public_tokenizers.path(ADDED), encoding="utf-8") as file:
+        special = json.load(file)["added_tokens"]
+    if any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in special):
+        raise ValueError("added tokens that take the space around them are not supported")
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={x["content"]: x["id"] for x in special})
 
 
-def _tokenize(path: str | None):
+def _tokenize(path: str | None, added: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_to_numpy
-        none = frozenset()
+        encode = encoder(path, added).encode_to_numpy
         for batch in batches:
             for rows, texts in K.sliced(batch):
-                ids = [np.append(encode(t, disallowed_special=none), END_ID).astype("<u2") for t in texts.to_pylist()]
+                ids = [np.append(encode(t, allowed_special="all"), END_ID).astype("<u2") for t in texts.to_pylist()]
                 yield pa.record_batch(
-                    [rows.column(0), rows.column(1), rows.column(3), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
-                    ["doc_id", "queue", "order", "n", "ids"],
+                    [rows.column(0), rows.column(1), rows.column(2), rows.column(4), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
+                    ["doc_id", "queue", "block", "order", "n", "ids"],
                 )
 
     return run
 
 
-def share(x: np.ndarray, part: int, whole: int) -> np.ndarray:
+def share(x: np.ndarray, part: np.ndarray | int, whole: np.ndarray | int) -> np.ndarray:
     """floor(x * part / whole), exact for values below 2**40."""
     high, low = x >> 20, x & ((1 << 20) - 1)
     first = high * part
@@ -72,45 +84,74 @@ def share(x: np.ndarray, part: int, whole: int) -> np.ndarray:
 
 
 class Plan:
-    """What each queue has been served after any number of quanta."""
+    """What each queue has been served after any number of quanta; all methods take arrays."""
 
-    def __init__(self, totals: list[int]) -> None:
+    def __init__(self, totals: list[int], weights: list[float] | None = None) -> None:
         self.tokens = np.array(totals, np.int64)
         self.quanta = -(-self.tokens // QUANTUM)
-        self.sums = np.concatenate([[0], np.cumsum(self.quanta)])
-        self.last = np.array([int(self.window(q, np.array([self.quanta[q] - 1]))[0]) for q in range(len(totals))], np.int64)
-        self.short = self.quanta * QUANTUM - self.tokens
-
-    def served(self, q: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        steps = self._phases(weights)  # quanta of each queue in each phase
+        n = len(self.quanta)
+        self.sums = np.concatenate([np.zeros((len(steps), 1), np.int64), np.cumsum(steps, axis=1)], axis=1)
+        self.begin = np.concatenate([[0], np.cumsum(steps.sum(axis=1))])
+        self.base = np.concatenate([np.zeros((1, n), np.int64), np.cumsum(steps, axis=0)])[:-1]
+        self.base_before = np.concatenate([np.zeros((len(steps), 1), np.int64), np.cumsum(self.base, axis=1)], axis=1)
+        # how much the last quanta of the queues before q fall short, by the window they lie in
+        short = self.quanta * QUANTUM - self.tokens
+        last = self.window(np.arange(n), self.quanta - 1)
+        order = np.lexsort((np.arange(n), last))
+        self.ends = (last * n + np.arange(n))[order]
+        self.gaps = np.concatenate([[0], np.cumsum(short[order])])
+
+    def _phases(self, weights: list[float] | None) -> np.ndarray:
+        if weights is None:
+            return self.quanta[None, :].copy()
+        until = self.quanta / np.array(weights, float)
+        done, steps = np.zeros_like(self.quanta), []
+        for t in np.unique(until):
+            upto = np.where(until <= t, self.quanta, np.minimum(np.floor(t * np.array(weights)).astype(np.int64), self.quanta))
+            steps.append(np.maximum(upto, done) - done)
+            done = np.maximum(upto, done)
+        return np.array(steps, np.int64).reshape(-1, len(self.quanta))
+
+    def served(self, q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Quanta of the queues before q, and of q, among the first x."""
-        x = np.minimum(x, self.sums[-1])
-        lo, hi, before = 0, len(self.quanta), np.zeros_like(x)
-        while hi - lo > 1:
+        x = np.minimum(x, self.begin[-1])
+        phase = np.clip(np.searchsorted(self.begin, x, "right") - 1, 0, len(self.sums) - 1)
+        x = x - self.begin[phase]
+        lo, hi, before = np.zeros_like(x), np.full_like(x, len(self.quanta)), np.zeros_like(x)
+        while (hi - lo > 1).any():
             mid = (lo + hi) // 2
-            left = share(x, int(self.sums[mid] - self.sums[lo]), int(self.sums[hi] - self.sums[lo]))
-            if q < mid:
-                x, hi = left, mid
-            else:
-                before, x, lo = before + left, x - left, mid
-        return before, x
-
-    def window(self, q: int, quantum: np.ndarray) -> np.ndarray:
+            whole = self.sums[phase, hi] - self.sums[phase, lo]
+            left = share(x, self.sums[phase, mid] - self.sums[phase, lo], np.maximum(whole, 1))
+            some, goes = hi - lo > 1, q < mid
+            before = np.where(some & ~goes, before + left, before)
+            x = np.where(some, np.where(goes, left, x - left), x)
+            lo, hi = np.where(some & ~goes, mid, lo), np.where(some & goes, mid, hi)
+        return self.base_before[phase, q] + before, self.base[phase, q] + x
+
+    def window(self, q: np.ndarray, quantum: np.ndarray) -> np.ndarray:
         """The window that serves each quantum of q."""
         lo = np.zeros_like(quantum)
-        hi = np.full_like(quantum, self.sums[-1] // PER_WINDOW + 1)
+        hi = np.full_like(quantum, self.begin[-1] // PER_WINDOW + 1)
         while (lo < hi).any():
             mid = (lo + hi) // 2
             past = self.served(q, (mid + 1) * PER_WINDOW)[1] > quantum
             hi, lo = np.where(past, mid, hi), np.where(past, lo, mid + 1)
         return lo
 
-    def cut(self, q: int, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Pieces of documents at token ``starts`` of queue q: document, start in it, length, window, offset."""
+    def missing(self, q: np.ndarray, window: np.ndarray) -> np.ndarray:
+        """Tokens that the queues before q fall short of in the window."""
+        n = len(self.quanta)
+        a, b = np.searchsorted(self.ends, window * n), np.searchsorted(self.ends, window * n + q)
+        return self.gaps[b] - self.gaps[a]
+
+    def cut(self, q: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Pieces of documents at token ``starts`` of queues q: document, start in it, length, window, offset."""
         first, last = starts // QUANTUM, (starts + sizes - 1) // QUANTUM
         n = last - first + 1
         doc = np.repeat(np.arange(len(starts)), n)
         unit = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + first[doc]
-        window = self.window(q, unit)
+        window = self.window(q[doc], unit)
         head = np.ones(len(unit), bool)
         head[1:] = (doc[1:] != doc[:-1]) | (window[1:] != window[:-1])
         at = np.flatnonzero(head)
@@ -118,71 +159,68 @@ class Plan:
         d, w = doc[at], window[at]
         a = np.maximum(unit[at] * QUANTUM, starts[d])
         b = np.minimum((unit[end] + 1) * QUANTUM, starts[d] + sizes[d])
-        before0, own0 = self.served(q, w * PER_WINDOW)
-        before1, _ = self.served(q, (w + 1) * PER_WINDOW)
-        offset = (before1 - before0) * QUANTUM + a - own0 * QUANTUM
-        for j in np.flatnonzero(self.short[:q] > 0):
-            offset -= np.where(w == self.last[j], self.short[j], 0)
+        before0, own0 = self.served(q[d], w * PER_WINDOW)
+        before1, _ = self.served(q[d], (w + 1) * PER_WINDOW)
+        offset = (before1 - before0) * QUANTUM + a - own0 * QUANTUM - self.missing(q[d], w)
         return d, a - starts[d], b - a, w, offset
 
 
-def _cut(plan: Plan, block_starts: dict[int, np.ndarray]):
+def _cut(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan, keys, begins = held.value
         for batch in batches:
-            queue = batch.column(1).to_numpy(zero_copy_only=False)
-            block = batch.column(2).to_numpy(zero_copy_only=False)
-            at = batch.column(3).to_numpy(zero_copy_only=False)
-            sizes = batch.column(4).to_numpy(zero_copy_only=False)
-            for q in np.unique(queue):
-                rows = np.flatnonzero(queue == q)
-                begin = block_starts[int(q)][block[rows]] + at[rows]
-                step = max(1, (1 << 20) // max(1, int(sizes[rows].mean())))
-                for i in range(0, len(rows), step):
-                    some = rows[i : i + step]
-                    doc, start, length, window, offset = plan.cut(int(q), begin[i : i + step], sizes[some])
-                    ids = np.concatenate([np.frombuffer(batch.column(5)[int(r)].as_buffer(), "<u2") for r in some]).astype("<u4")
-                    bounds = np.concatenate([[0], np.cumsum(length)]) * 4
-                    body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(ids)])
-                    yield pa.record_batch(
-                        [batch.column(0).take(pa.array(some[doc])), pa.array(start), pa.array(length), body.cast(pa.binary()), pa.array(sizes[some][doc]), pa.array(window), pa.array(offset)],
-                        ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
-                    )
+            if not len(batch):
+                continue
+            queue, block, at, sizes = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(1, 5))
+            begin = begins[np.searchsorted(keys, queue * BLOCKS + block)] + at
+            step = max(1, (1 << 20) // max(1, int(sizes.mean())))
+            for i in range(0, len(batch), step):
+                some = slice(i, i + step)
+                doc, start, length, window, offset = plan.cut(queue[some], begin[some], sizes[some])
+                ids = np.concatenate([np.frombuffer(x.as_buffer(), "<u2") for x in batch.column(5).slice(i, step)]).astype("<u4")
+                bounds = np.concatenate([[0], np.cumsum(length)]) * 4
+                body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(ids)])
+                yield pa.record_batch(
+                    [batch.column(0).take(pa.array(doc + i)), pa.array(start), pa.array(length), body.cast(pa.binary()), pa.array(sizes[some][doc]), pa.array(window), pa.array(offset)],
+                    ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
+                )
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, weights: dict[str, float] | None = None, added: str | None = None) -> DataFrame:
     """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset) of ``docs(doc_id, text, source)``.
 
-    ``ids`` are little-endian unsigned 32-bit.
+    ``ids`` are little-endian unsigned 32-bit. ``weights`` gives each source's share of a window.
     """
-    source = F.coalesce("source", F.lit(""))
-    names = docs.select(source.alias("s")).distinct().limit(MAX_QUEUES + 1).collect()
-    names = sorted(r["s"] for r in names)
-    few = len(names) <= MAX_QUEUES
-    if few:
-        pairs = [F.lit(x) for i, s in enumerate(names) for x in (s, i)]
-        queue = F.create_map(*pairs)[source] if pairs else F.lit(0)
-    else:
-        queue = F.pmod(F.xxhash64(source), F.lit(MAX_QUEUES))
-    rows = docs.select("doc_id", queue.cast("int").alias("queue"), "text", F.xxhash64(F.lit(17), "doc_id", "text").alias("order"))
-    tokens = rows.transform(over_arrow, _tokenize(tokenizer), "doc_id long, queue int, order long, n long, ids binary")
-    tokens = tokens.withColumn("block", F.pmod("order", F.lit(BLOCKS)).cast("int"))
+    spark = docs.sparkSession
+    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    if docs.select(source.alias("s")).distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
+        if weights is not None:
+            raise ValueError(f"weights take up to {MAX_QUEUES} sources")
+        source = F.pmod(F.xxhash64(source), F.lit(MAX_QUEUES)).cast("string")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    found = docs.select(source.alias("s"), size.alias("b")).groupBy("s").agg(F.sum("b").alias("b")).collect()  # at most MAX_QUEUES rows
+    found = sorted((r["s"], r["b"]) for r in found)
+    least = max(BLOCK_BYTES, sum(b for _, b in found) // (BLOCKS - 1) + 1)
+    queues = spark.createDataFrame([(s, i, -(-b // least)) for i, (s, b) in enumerate(found)], "__s string, queue int, blocks long")
+    rows = docs.select("doc_id", source.alias("__s"), "text", F.xxhash64(F.lit(17), "doc_id", "text").alias("order")).join(F.broadcast(queues), "__s")
+    rows = rows.select("doc_id", "queue", F.pmod("order", "blocks").cast("int").alias("block"), "text", "order")
+    tokens = rows.transform(over_arrow, _tokenize(tokenizer, added), "doc_id long, queue int, block int, order long, n long, ids binary")
     before = Window.partitionBy("queue", "block").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = tokens.select("doc_id", "queue", "block", (F.sum("n").over(before) - F.col("n")).alias("at"), "n", "ids")
     placed = stage_table(placed, "tokens")
-    sums = placed.groupBy("queue", "block").agg(F.sum("n").alias("n")).collect()  # at most MAX_QUEUES * BLOCKS rows
-    size = max(len(names) if few else MAX_QUEUES, 1)
-    table = np.zeros((size, BLOCKS), np.int64)
-    for r in sums:
-        table[r["queue"], r["block"]] = r["n"]
-    starts = {q: np.cumsum(table[q]) - table[q] for q in range(size)}
-    used = [q for q in range(size) if table[q].any()]
-    plan = Plan(table[used].sum(axis=1).tolist())
-    dense = {q: i for i, q in enumerate(used)}
-    renamed = F.create_map(*[F.lit(x) for q in used for x in (q, dense[q])])[F.col("queue")] if used else F.lit(0)
-    placed = placed.select("doc_id", renamed.cast("int").alias("queue"), "block", "at", "n", "ids")
-    return placed.transform(over_arrow, _cut(plan, {dense[q]: starts[q] for q in used}), PIECES)
+    sums = placed.groupBy("queue", "block").agg(F.sum("n").alias("n")).collect()  # at most BLOCKS + MAX_QUEUES rows
+    sums = sorted((r["queue"], r["block"], r["n"]) for r in sums)
+    if not sums:
+        return placed.selectExpr("doc_id", "0L AS start", "n AS length", "ids", "n AS doc_tokens", "0L AS sequence_id", "at AS offset")
+    queue, block, n = (np.array(x, np.int64) for x in zip(*sums, strict=True))
+    totals = np.bincount(queue, n, len(found)).astype(np.int64)
+    first = np.searchsorted(queue, np.arange(len(found)))
+    upto = np.cumsum(n) - n
+    plan = Plan(totals.tolist(), None if weights is None else [weights[s] for s, _ in found])
+    held = spark.sparkContext.broadcast((plan, queue * BLOCKS + block, upto - upto[first][queue]))
+    return placed.transform(over_arrow, _cut(held), PIECES)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def texts():
             w[rng.randrange(len(w))] = "changed"
             out.append(" ".join(w))
             out.append(" ".join(w[:10]) + " " + passage + "\n" + " ".join(w[10:]))
-    out += [None, "", "  \n\t ", "one", "ONE", "two words", "É ü 漢字 \U0001f600 </s>[INST]", "a" * 5000, "la " * 3000, invented(rng, 9000), "x\x00y \x0b z", passage]
+    out += [None, "", "  \n\t ", "one", "ONE", "two words", "É ü 漢字 \U0001f600 </s>[INST]", "a" * 5000, "la " * 3000, invented(rng, 9000), "x\x00y \x0b z", passage, "end <|endoftext|> of text"]
     return out
 
 
