@@ -17,11 +17,13 @@ _LOCAL: dict[str, str] = {}
 def work_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is absent (local tests) a temporary folder is made, one for
-    each application.
+    Where that setting is absent, a local session gets a temporary folder, one for each
+    application; on a cluster that would be another disk for each executor, so it raises.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         application = spark.sparkContext.applicationId
         folder = _LOCAL.setdefault(application, "") or tempfile.mkdtemp(prefix="spark-work-")
         _LOCAL[application] = folder
@@ -51,6 +53,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 BATCH_ROWS = 2000
 
 
@@ -58,7 +68,8 @@ def over_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator
     """``df.mapInArrow`` with small batches, and workers that hand back memory after a task.
 
     Texts are long, so batches of Spark's default 10,000 rows would hold tens of megabytes
-    at both ends of the pipe. A session that sets its own batch size keeps it.
+    at both ends of the pipe. A session that sets its own batch size keeps it; one that
+    does not gets ``BATCH_ROWS``, for its own later Arrow work too.
     """
     size = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if df.sparkSession.conf.get(size, None) is None:

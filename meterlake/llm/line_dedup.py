@@ -10,7 +10,8 @@ and pages do not move; beyond that, pages and lists are joined by site and one o
 
 Defined cases: null text has no lines and stays null; blank lines stay; pages of a null
 site and of sites with fewer than ``min_pages`` pages are unchanged; rows repeating a
-page count as pages of their own.
+page count as pages of their own; a caller's column named like a result stays, and the
+result's name gets an underscore in front.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm._spark import stage_table
+from meterlake.llm._spark import free_name, stage_table
 
 MAX_RATIO, MIN_PAGES = 0.1, 10
 BROADCAST_LINES, SALTS = 500_000, 32  # 16 bytes a line
@@ -29,8 +30,7 @@ def _mark(line: Column) -> Column:
 
 
 def drop_boilerplate(pages: DataFrame, site: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
-    """All columns of ``pages`` with boilerplate lines gone from ``text``, and n_lines, n_dropped."""
-    pages = pages.drop("n_lines", "n_dropped")
+    """All columns of ``pages`` with boilerplate lines gone from ``text``, then n_lines, n_dropped."""
     lines = F.split(F.col(text), "\n", -1)
     bare = F.array_distinct(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""))
     own = pages.where(F.col(site).isNotNull()).select(F.col(site).alias("__site"), bare.alias("bare"))
@@ -47,11 +47,11 @@ def drop_boilerplate(pages: DataFrame, site: str, text: str, max_ratio: float =
         salt = F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int")
         joined = pages.withColumn("__salt", salt).join(lists, (F.col(site) == F.col("__site")) & (F.col("__salt") == F.col("__of")), "left").drop("__site", "__salt", "__of")
     kept = F.when(F.col("__often").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("__often", _mark(F.trim(x)))))
-    made = joined.withColumn("__kept", kept).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-    made = made.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines")).cast("long"))
-    dropped = F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines") - F.size("__kept")).cast("long")
-    made = made.withColumn("n_dropped", dropped).withColumn(text, F.array_join("__kept", "\n"))
-    return made.select(*pages.columns, "n_lines", "n_dropped")
+    made = joined.withColumn("__kept", kept)
+    total = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long")
+    dropped = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines) - F.size("__kept")).cast("long")
+    columns = [F.array_join("__kept", "\n").alias(c) if c == text else F.col(c) for c in pages.columns]
+    return made.select(*columns, total.alias(free_name(pages, "n_lines")), dropped.alias(free_name(pages, "n_dropped")))
 
 
 HOST = r"^[a-zA-Z]+://([^/:?#]+)"

@@ -14,9 +14,13 @@ block after block. Only block totals are ordered by source (4,096 blocks at most
 source), and only the block in which the budget ends is ordered by document; what
 results is one cut hash for each source, which decides every document in place.
 
+Texts are read twice: once for the staged (source, tokens, order) of each document, from
+which the plan is made, and once for the result.
+
 Defined cases: null text has no tokens; a null source is a source of its own; a source
 without tokens is used once; rows repeating a doc_id share their fate; an empty table
-stays empty.
+stays empty; a caller's column named like a result stays, and the result's name gets an
+underscore in front.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterlake.llm._spark import free_name, stage_table
+
 ENTROPY, MAX_EPOCHS, DIGITS, STEPS = 0.95, 1.5, 3, 40
 BROADCAST_SOURCES = 100_000  # about 100 bytes each
 WORD = r"[^\x20\x09-\x0D]+"
@@ -71,9 +77,9 @@ def order(doc_id: str) -> Column:
 
 
 def mix(docs: DataFrame, entropy: float = ENTROPY, max_epochs: float = MAX_EPOCHS, budget: int | None = None) -> DataFrame:
-    """All columns of ``docs(doc_id, text, source, ...)``, and ``n_tokens`` and ``copies`` of each document."""
-    docs = docs.drop("n_tokens", "copies")
-    rows = docs.select("doc_id", F.col("source").alias("s"), tokens(F.col("text")).alias("n"), order("doc_id").alias("h"))
+    """All columns of ``docs(doc_id, text, source, ...)``, then ``n_tokens`` and ``copies`` of each document."""
+    names = docs.columns
+    rows = stage_table(docs.select(F.col("source").alias("s"), tokens(F.col("text")).alias("n"), order("doc_id").alias("h")), "measured")
     blocks = rows.groupBy("s", F.substring("h", 1, DIGITS).alias("block")).agg(F.sum("n").alias("n"))
     totals = blocks.groupBy("s").agg(F.sum("n").alias("t"))
     alpha = exponent(totals, entropy, max_epochs)
@@ -100,13 +106,14 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, max_epochs: float = MAX_EPOCH
         plan = F.broadcast(plan)
     joined = docs.join(plan, F.col("source").eqNullSafe(F.col("__s")), "left")
     extra = F.when((F.col("__rest") > 0) & (order("doc_id") <= F.col("__cut")), 1).otherwise(0)
-    return joined.select(*[docs[c] for c in docs.columns], tokens(F.col("text")).alias("n_tokens"), (F.col("__full") + extra).cast("long").alias("copies"))
+    found = [tokens(F.col("text")).alias(free_name(docs, "n_tokens")), (F.col("__full") + extra).cast("long").alias(free_name(docs, "copies"))]
+    return joined.select(*[docs[c] for c in names], *found)
 
 
 def realise(mixed: DataFrame) -> DataFrame:
-    """Each document as often as its ``copies`` say, with the columns before mixing."""
-    names = [c for c in mixed.columns if c not in ("n_tokens", "copies")]
-    return mixed.where("copies > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).drop("__copy")
+    """Each document as often as the last column of ``mixed`` says, with the columns before mixing."""
+    *names, _, copies = mixed.columns
+    return mixed.where(F.col(copies) > 0).select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias("__copy")).drop("__copy")
 
 
 def oracle(table: str = "documents", ctes: str = "") -> str:

@@ -40,7 +40,7 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = line_dedup.drop_boilerplate(line_dedup.page_lines(read(spark, sf_dir, "pages")), "host", "text")
+    cut = line_dedup.drop_boilerplate(line_dedup.page_lines(read(spark, sf_dir, "pages")), "host", "text")  # page_id, host and text alone
     return cut.select("page_id", "host", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -54,7 +54,7 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "copies")
+    return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

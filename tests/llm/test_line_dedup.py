@@ -13,7 +13,7 @@ def test_lines_equal_brute_force(spark, broadcast_lines):
         rows.append((i, "big" if i < 40 else None if i < 45 else f"site{i % 3}", "\n".join(lines), "clash"))
     rows += [(None, "big", None, "c"), (60, "big", "", "c"), (60, "big", "", "c")]
     frame = spark.createDataFrame(rows, "page_id long, host string, text string, n_lines string").repartition(4)
-    got = Counter((r.page_id, r.host, r.text, r.n_lines, r.n_dropped) for r in line_dedup.drop_boilerplate(frame, "host", "text", 0.2, 5, broadcast_lines).collect())
+    got = Counter((r.page_id, r.host, r.text, r._n_lines, r.n_dropped) for r in line_dedup.drop_boilerplate(frame, "host", "text", 0.2, 5, broadcast_lines).collect())
     pages, seen = Counter(r[1] for r in rows), defaultdict(int)
     for _, host, text, _ in rows:
         for line in {x.strip(" ") for x in (text or "").split("\n")} - {""} if text is not None else ():

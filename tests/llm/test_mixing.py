@@ -18,8 +18,8 @@ def shares(out, weight):
 
 def test_targets_are_met(sources):
     out = mixing.mix(sources, entropy=0.99, max_epochs=3.0).cache()
-    assert out.count() == 3000 and out.agg(F.min("copies")).first()[0] >= 1
-    before, after = shares(out, F.col("n_tokens")), shares(out, F.col("n_tokens") * F.col("copies"))
+    assert out.count() == 3000 and out.agg(F.min("_copies")).first()[0] >= 1
+    before, after = shares(out, F.col("n_tokens")), shares(out, F.col("n_tokens") * F.col("_copies"))
     entropy = lambda p: -sum(x * math.log(x) for x in p.values()) / math.log(len(p))
     assert entropy(before) < 0.99 and abs(entropy(after) - 0.99) < 2e-3
     epochs = {k: after[k] / before[k] for k in before}
@@ -27,26 +27,26 @@ def test_targets_are_met(sources):
     assert epochs["big"] == low
     for k, e in epochs.items():  # within a document of the weight
         assert abs(e / low - (before["big"] / before[k]) ** (math.log(e / low) / math.log(before["big"] / before[k]) if k != "big" and e > low else 0)) < 1e-6
-    assert mixing.realise(out).count() == out.agg(F.sum("copies")).first()[0]
-    assert mixing.realise(out).columns == ["doc_id", "text", "source", "n"]
+    assert mixing.realise(out).count() == out.agg(F.sum("_copies")).first()[0]
+    assert mixing.realise(out).columns == ["doc_id", "text", "source", "copies", "n"]
 
 
 def test_epoch_limit(sources):
     out = mixing.mix(sources, entropy=1.0, max_epochs=1.25)
-    before, after = shares(out, F.col("n_tokens")), shares(out, F.col("n_tokens") * F.col("copies"))
+    before, after = shares(out, F.col("n_tokens")), shares(out, F.col("n_tokens") * F.col("_copies"))
     epochs = [after[k] / before[k] for k in before]
     assert max(epochs) / min(epochs) < 1.26
 
 
 def test_budget(sources):
     out = mixing.mix(sources, budget=5000)
-    total = out.agg(F.sum(F.col("n_tokens") * F.col("copies"))).first()[0]
+    total = out.agg(F.sum(F.col("n_tokens") * F.col("_copies"))).first()[0]
     assert 5000 - 9 * 8 <= total <= 5000 + 8
 
 
 def test_odd_rows_and_plan(docs, empty):
     out = mixing.mix(docs)
-    assert out.count() == docs.count() and out.where("copies is null or copies < 1").count() == 0
+    assert out.count() == docs.count() and out.where("_copies is null or _copies < 1").count() == 0
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert mixing.mix(empty).count() == 0

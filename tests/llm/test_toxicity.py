@@ -1,6 +1,9 @@
+import math
 import random
 import zlib
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from meterlake.llm import toxicity
@@ -51,3 +54,31 @@ def test_folding():
     data, offsets = toxicity.folded(pa.array(["It's É-bad!!  Ok", "", "漢"]).cast(pa.large_string()))
     parts = [data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     assert parts[1:] == [" ", " 漢"] and parts[0].startswith(" it s é bad ") and parts[0].rstrip().endswith("ok")
+
+
+def test_ratios_equal_brute_force(labelled):
+    docs, labels, truth = labelled
+    model = toxicity.fit(docs, labels)
+
+    def read(text):
+        data, _ = toxicity.folded(pa.array([text]).cast(pa.large_string()))
+        return [data[i : i + toxicity.GRAM].tobytes() for i in range(len(data) - toxicity.GRAM + 1)]
+
+    def at(gram):
+        return int(toxicity.K.mix(np.array([int.from_bytes(gram, "little")], np.uint64))[0]) >> (64 - 23)
+
+    rows = {r.doc_id: [at(g) for g in read(r.text)] for r in docs.collect()}
+    n, everywhere = [Counter(), Counter()], Counter(c for got in rows.values() for c in got)
+    for d, got in rows.items():
+        if truth[d] is not None and zlib.crc32(str(d).encode()) % 4 in (0, 1):
+            n[truth[d]].update(set(got))
+    total = [sum(c.values()) for c in n]
+    some = [c for c in {*n[0], *n[1]} if max(n[0][c], n[1][c]) > toxicity.DISCOUNT]
+    assert any(n[1][c] > 30 for c in some)
+    lam = [sum(min(v, toxicity.DISCOUNT) for v in n[k].values()) / total[k] for k in (0, 1)]
+    for c in some:
+        shared = (everywhere[c] + 0.5) / (sum(everywhere.values()) + 0.5 * toxicity.CELLS)
+        p = [max(n[k][c] - toxicity.DISCOUNT, 0) / total[k] + lam[k] * shared for k in (0, 1)]
+        assert abs(float(model.ratios[c]) - math.log(p[1] / p[0])) < 5e-3
+    other = next(c for got in rows.values() for c in got if c not in set(some))
+    assert abs(float(model.ratios[other]) - math.log(lam[1] / lam[0])) < 5e-3
