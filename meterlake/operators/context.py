@@ -5,16 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterlake.operators.pricing import write_split
+
 # Cache retention in minutes, size bands of a context in tokens.
 RETENTION = {"claude": 60, "codex": 30}
 BANDS = (("<100K", 100_000), ("100-200K", 200_000), ("200-500K", 500_000), ("500K+", None))
-# Cache multipliers where a model has no rates.
-READ, WRITE_5M, WRITE_1H = 0.1, 1.25, 2.0
+# Beginnings of model names with the shorter retention.
+FAMILIES = ("gpt", "codex", "o1", "o3", "o4")
+# Cache multipliers where a model has no rates, and the largest that counts.
+READ, WRITE_5M, WRITE_1H, MOST = 0.1, 1.25, 2.0, 10.0
+
+
+def effective(rated: DataFrame) -> Column:
+    """Context of a call in uncached tokens, weighted by its model's own rates (see pricing.resolve)."""
+
+    def weight(rate: str, default: float) -> Column:
+        ratio = F.when(F.col("r_in") > 0, F.col(rate) / F.col("r_in"))
+        return F.when((ratio >= 0) & (ratio <= MOST), ratio).otherwise(default)
+
+    def weighted(tokens: Column, by: Column) -> Column:
+        return F.round(tokens * by).cast("long")
+
+    short, long = write_split()
+    return F.col("input") + weighted(short, weight("r_5m", WRITE_5M)) + weighted(long, weight("r_1h", WRITE_1H)) + weighted(F.col("cache_read"), weight("r_read", READ))
 
 
 def retention_minutes(provider: Column, model: Column) -> Column:
+    family = F.lower(model)
     own = F.coalesce(*[F.when(provider == p, m) for p, m in RETENTION.items()])
-    return F.coalesce(own, F.when(model.startswith("claude"), RETENTION["claude"]).when(model.startswith("gpt"), RETENTION["codex"]))
+    return F.coalesce(own, F.when(family.contains("claude"), RETENTION["claude"]).when(family.rlike("^(" + "|".join(FAMILIES) + ")"), RETENTION["codex"]))
 
 
 def classify(calls: DataFrame) -> DataFrame:

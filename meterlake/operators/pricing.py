@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterlake.functions.scalar import normalize_model
+
 # Test rates in USD for a million tokens (model, input, output, cache read,
 # 5-minute write, 1-hour write, tier threshold, the same five rates above it).
 RATES = [
@@ -26,20 +28,21 @@ def price_table(spark: SparkSession) -> DataFrame:
 
 
 def resolve(models: DataFrame, prices: DataFrame) -> DataFrame:
-    """Rates of each distinct ``model``: the longest key that equals it or is followed by
-    ``-latest`` or ``-`` and a digit; failing that, the same with dots written as hyphens.
+    """Rates of each distinct ``model``: the longest key that equals its normal form or is followed
+    in it by ``-latest`` or ``-`` and a digit; failing that, the same with the name's dots (not
+    the key's) written as hyphens.
 
     Both sides are distinct model names: the price table has at most 50,000 rows by its
     decoder's limit, so it is marked for broadcast.
     """
     keys = F.broadcast(prices)
     alias = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
-    names = models.select("model").distinct().withColumn("name", F.coalesce(alias[F.col("model")], F.col("model")))
+    names = models.select("model").distinct().withColumn("name", normalize_model(F.col("model")))
+    names = names.withColumn("name", F.coalesce(alias[F.col("name")], F.col("name")))
     rest = F.expr("substr(name, length(price_model) + 1)")
     plain = (F.col("name") == F.col("price_model")) | (F.startswith("name", "price_model") & rest.rlike("^-(latest|[0-9])"))
-    dotted_key = F.translate("price_model", ".", "-")
     dotted_name = F.translate("name", ".", "-")
-    dotted = (dotted_name == dotted_key) | (F.startswith(dotted_name, dotted_key) & F.expr("substr(translate(name, '.', '-'), length(price_model) + 1)").rlike("^-(latest|[0-9])"))
+    dotted = (dotted_name == F.col("price_model")) | (F.startswith(dotted_name, F.col("price_model")) & F.expr("substr(translate(name, '.', '-'), length(price_model) + 1)").rlike("^-(latest|[0-9])"))
     met = names.join(keys, plain | dotted, "left").withColumn("exact", F.coalesce(plain, F.lit(False)))
     rates = [c for c in prices.columns]
     best = met.groupBy("model").agg(F.max_by(F.struct(*rates), F.struct("exact", F.length("price_model"), "price_model")).alias("p"))
@@ -52,13 +55,20 @@ def _at(rate: str) -> Column:
     return F.when(above, F.coalesce(f"t_{rate}", f"r_{rate}")).otherwise(F.col(f"r_{rate}"))
 
 
+def write_split() -> tuple[Column, Column]:
+    """Five-minute and one-hour cache writes; a split that is empty or exceeds the whole is none."""
+    split = F.col("w5m") + F.col("w1h")
+    valid = (split > 0) & (split <= F.col("cache_creation"))
+    return F.when(valid, F.col("cache_creation") - F.col("w1h")).otherwise(F.col("cache_creation")), F.when(valid, F.col("w1h")).otherwise(F.lit(0).cast("long"))
+
+
 def with_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """Adds ``usd`` (null where unpriced) to each event; the tier is chosen call by call.
 
-    The split of cache writes counts only when its parts add up to the whole.
+    Writes that the split leaves out count as five-minute ones; see :func:`write_split`.
     """
-    split = F.col("w5m") + F.col("w1h") == F.col("cache_creation")
-    writes = F.when(split, F.col("w5m") * _at("5m") + F.col("w1h") * _at("1h")).otherwise(F.col("cache_creation") * _at("5m"))
+    short, long = write_split()
+    writes = short * _at("5m") + long * _at("1h")
     usd = (F.col("input") * _at("in") + F.col("output") * _at("out") + F.col("cache_read") * _at("read") + writes) / 1e6
     return usage.join(resolve(usage, prices), "model", "left").withColumn("usd", F.when(F.col("volume") == 0, 0.0).otherwise(usd))
 

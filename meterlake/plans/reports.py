@@ -62,7 +62,7 @@ def _priced(spark, sf_dir):
 
 
 def model_stats(spark, sf_dir):
-    return _priced(spark, sf_dir).groupBy("model").agg(F.count("*").alias("events"), _sum("volume"), *pricing.tally()).orderBy(F.desc("volume"), "model")
+    return _priced(spark, sf_dir).groupBy(F.coalesce("model", F.lit("unknown")).alias("model")).agg(F.count("*").alias("events"), _sum("volume"), *pricing.tally()).orderBy(F.desc("volume"), "model")
 
 
 def model_daily(spark, sf_dir):
@@ -76,7 +76,9 @@ def cost_by_model(spark, sf_dir):
 def cost_trailing(spark, sf_dir):
     days = _priced(spark, sf_dir)
     age = F.date_diff(F.lit(WINDOW.end), F.col("d"))
-    return days.agg(*[F.round(F.sum(F.when(age < n, F.col("usd"))), 6).alias(f"usd_{n}d") for n in (1, 7, 14)])
+    # windows that are not shorter than the period are not shown
+    trailing = [F.round(F.sum(F.when(age < n, F.col("usd"))) if n < WINDOW.days else F.lit(None).cast("double"), 6).alias(f"usd_{n}d") for n in (1, 7, 30)]
+    return days.agg(*trailing, F.round(F.sum("usd"), 6).alias("usd_period"))
 
 
 def tier_pricing(spark, sf_dir):
@@ -86,17 +88,20 @@ def tier_pricing(spark, sf_dir):
 
 
 def price_prefix_join(spark, sf_dir):
-    names = [(m,) for m in ("claude-opus-4-8", "claude-opus-4-8-latest", "claude-opus-4-8-2026", "claude-opus-4-8x", "claude-opus-4-8-beta", "gpt-6-1-sol", "codex", "gemini-3-5-flash-001", "claude-sonnet-4-5-20250929")]
+    names = [(m,) for m in ("Claude-Opus-4-8[1m]", "gpt-5-5", "GPT-6.1-Sol (preview)", "claude-opus-4-8", "claude-opus-4-8-latest", "claude-opus-4-8-2026", "claude-opus-4-8x", "claude-opus-4-8-beta", "gpt-6-1-sol", "codex", "gemini-3-5-flash-001", "claude-sonnet-4-5-20250929")]
     models = spark.createDataFrame(names, "model string").union(_u(spark, sf_dir).select("model").distinct())
     return pricing.resolve(models, pricing.price_table(spark)).select("model", "price_model", "r_in", "r_out")
 
 
 def project_stats(spark, sf_dir):
     w = _w(spark, sf_dir).where("project is not null").groupBy("project").agg(_sum("volume"), F.count("*").alias("events"))
-    # the first path segment goes while all names share it and keep something behind it
-    shared = w.agg(F.countDistinct(F.split_part("project", F.lit("/"), F.lit(1))).alias("n"), F.bool_and(F.col("project").contains("/")).alias("all"), F.count("*").alias("k")).first()
-    label = F.regexp_replace("project", "^[^/]*/", "") if shared["n"] == 1 and shared["all"] and shared["k"] > 1 else F.col("project")
-    return w.withColumn("label", label)
+    # the leading segments go that all names share, as long as something stays behind them; the least and greatest name tell
+    ends = w.agg(F.min("project").alias("lo"), F.max("project").alias("hi"), F.count("*").alias("k"))
+    same = F.aggregate(F.sequence(F.lit(1), F.least(F.length("lo"), F.length("hi")) + 1), F.lit(0), lambda n, i: F.when(F.substring(F.col("lo"), F.lit(1), i) == F.substring(F.col("hi"), F.lit(1), i), F.least(i, F.length("lo"))).otherwise(n))
+    shared = F.regexp_extract(F.substring(F.col("lo"), F.lit(1), same), "^.*/", 0)
+    shared = F.when(shared == F.col("lo"), F.regexp_extract(F.regexp_replace(shared, "/$", ""), "^.*/", 0)).otherwise(shared)
+    ends = ends.select(F.when(F.col("k") > 1, F.length(shared)).otherwise(0).alias("cut"))
+    return w.join(F.broadcast(ends)).select("project", "volume", "events", F.substring(F.col("project"), F.col("cut") + 1, F.length("project")).alias("label"))
 
 
 def subagent_stats(spark, sf_dir):
@@ -215,8 +220,8 @@ def context_calls(spark, sf_dir):
 
 def context_bands(spark, sf_dir):
     calls = in_window(context.classify(_u(spark, sf_dir)), WINDOW)
-    effective = F.round(F.col("cache_read") * 0.1).cast("long") + F.col("input") + F.round(F.col("cache_creation") * 1.25).cast("long")
-    return calls.groupBy("band").agg(F.count("*").alias("calls"), _sum("context"), F.sum(effective).alias("effective"))
+    rated = calls.join(pricing.resolve(calls, pricing.price_table(spark)), "model", "left")
+    return rated.groupBy("band").agg(F.count("*").alias("calls"), _sum("context"), F.sum(context.effective(rated)).alias("effective"))
 
 
 def context_merged(spark, sf_dir):
@@ -239,15 +244,38 @@ def ops_band(spark, sf_dir):
     return sums.withColumn("ops", F.when(lead, ordered[0]["b"]).otherwise("eclipse"))
 
 
-# Daily volumes at which the ranks begin.
-RANKS = ((1_000_000_000, "SS"), (100_000_000, "S"), (10_000_000, "A"), (1_000_000, "B"), (100_000, "C"))
+# Tokens a day at which the ranks begin, and the names of their steps.
+LADDER = (
+    ("SS", 750_000_000.0, ("Orca", "Hawk", "Puma", "Lion")),
+    ("S", 400_000_000.0, ("Whale", "Raven", "Bear", "Wolf")),
+    ("A", 220_000_000.0, ("Octopus", "Gull", "Kangaroo", "Doberman")),
+    ("B", 120_000_000.0, ("Eel", "Swallow", "Deer", "Hound")),
+    ("C", 45_000_000.0, ("Piranha", "Cat", "Fox")),
+    ("D", 12_000_000.0, ("Bee", "Scorpion")),
+    ("E", 3_000_000.0, ("Firefly", "Butterfly")),
+)
+# Where the last step of the first rank begins, the name without a rank, its least days.
+LAST_STEP, FLOOR, LEAST_DAYS = 1_000_000_000.0, "Ant", 3
+
+
+def bands() -> list[tuple[str, float, float, tuple[str, ...]]]:
+    """Each rank's name, least and next volume, and steps; the first rank's end follows from its last step."""
+    top = LAST_STEP * (LAST_STEP / LADDER[0][1]) ** (1 / (len(LADDER[0][2]) - 1))
+    return [(rank, least, top if i == 0 else LADDER[i - 1][1], steps) for i, (rank, least, steps) in enumerate(LADDER)]
 
 
 def codename_rank(spark, sf_dir):
-    sums = _w(spark, sf_dir).where("volume > 0").groupBy("session_id").agg(_sum("volume"), F.countDistinct("d").alias("days"))
-    per_day = F.expr("volume div days")
-    rank = F.coalesce(F.when(F.col("days") < 3, "unranked"), *[F.when(F.col("per_day") >= n, r) for n, r in RANKS], F.lit("D"))
-    return sums.withColumn("per_day", per_day).withColumn("rank", rank)
+    """Rank and step of each provider, and of all (provider null), by tokens for each day of the window."""
+    sums = _w(spark, sf_dir).where("volume > 0").groupBy("provider", "d").agg(_sum("volume")).rollup("provider").agg(_sum("volume"), F.countDistinct("d").alias("days"))
+    day = F.col("volume") / float(WINDOW.days)
+    rank, name = F.lit("unranked"), F.lit(FLOOR)
+    for rung, least, top, steps in reversed(bands()):
+        step = F.least(F.floor(F.log(day / least) / F.log(F.lit(top / least)) * len(steps)), F.lit(len(steps) - 1)).cast("int")
+        step = F.when(day >= LAST_STEP, len(steps) - 1).otherwise(step) if rung == LADDER[0][0] else step
+        rank = F.when(day >= least, rung).otherwise(rank)
+        name = F.when(day >= least, F.get(F.array(*map(F.lit, steps)), step)).otherwise(name)
+    ranked = F.col("days") >= LEAST_DAYS
+    return sums.select("provider", "volume", "days", F.when(ranked, rank).otherwise("unranked").alias("rank"), F.when(ranked, name).otherwise(FLOOR).alias("name"))
 
 
 def session_day_bounds(spark, sf_dir):
@@ -398,7 +426,7 @@ def ancestry_depth(spark, sf_dir):
 
 
 def event_export(spark, sf_dir):
-    return _w(spark, sf_dir).where("provider = 'codex'").select("at", "ordinal", "session_id", "model", "volume", "granularity").orderBy("at", "ordinal")
+    return _w(spark, sf_dir).select("provider", "at", "ordinal", "session_id", "model", "volume", "granularity").orderBy("at", "ordinal")
 
 
 def top_models(spark, sf_dir):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from meterlake.operators.pricing import RATES
 from meterlake.plans.adapter import USAGE_SQL
+from meterlake.plans.reports import LAST_STEP, bands
 
 
 def _value(x) -> str:
@@ -15,13 +16,14 @@ PRICES = (
     + ", ".join("(" + ", ".join(_value(x) for x in row) + ")" for row in RATES)
     + ")"
 )
-RESOLVE = """
-named AS (SELECT model, CASE WHEN model IN ('codex', 'openai', 'codex-auto-review') THEN 'gpt-5.5' ELSE model END AS name FROM (SELECT DISTINCT model FROM names)),
+RESOLVE = r"""
+normal AS (SELECT DISTINCT model, regexp_replace(trim(split_part(split_part(lower(model), '[', 1), '(', 1)), '\s+', '-', 'g') AS n FROM names),
+named AS (SELECT model, CASE WHEN n IN ('codex', 'openai', 'codex-auto-review') THEN 'gpt-5.5' ELSE n END AS name FROM normal),
 met AS (
   SELECT model, p.*, length(price_model) + CASE WHEN name = price_model OR (starts_with(name, price_model) AND regexp_matches(substr(name, length(price_model) + 1), '^-(latest|[0-9])')) THEN 1000 ELSE 0 END AS score
   FROM named JOIN prices p ON name = price_model OR (starts_with(name, price_model) AND regexp_matches(substr(name, length(price_model) + 1), '^-(latest|[0-9])'))
-    OR replace(name, '.', '-') = replace(price_model, '.', '-')
-    OR (starts_with(replace(name, '.', '-'), replace(price_model, '.', '-')) AND regexp_matches(substr(replace(name, '.', '-'), length(price_model) + 1), '^-(latest|[0-9])'))
+    OR replace(name, '.', '-') = price_model
+    OR (starts_with(replace(name, '.', '-'), price_model) AND regexp_matches(substr(replace(name, '.', '-'), length(price_model) + 1), '^-(latest|[0-9])'))
 ), rates AS (SELECT * EXCLUDE (score) FROM met QUALIFY row_number() OVER (PARTITION BY model ORDER BY score DESC) = 1)
 """
 COST = f"""
@@ -29,8 +31,8 @@ COST = f"""
   SELECT w.*, rates.* EXCLUDE (model), granularity = 'call' AND tier IS NOT NULL AND input + cache_read + cache_creation > tier AS above FROM w LEFT JOIN rates USING (model)
 ), p AS (
   SELECT *, CASE WHEN above THEN
-      (input * t_in + output * t_out + cache_read * t_read + CASE WHEN w5m + w1h = cache_creation THEN w5m * t_5m + w1h * t_1h ELSE cache_creation * t_5m END) / 1e6
-    ELSE (input * r_in + output * r_out + cache_read * r_read + CASE WHEN w5m + w1h = cache_creation THEN w5m * r_5m + w1h * r_1h ELSE cache_creation * r_5m END) / 1e6 END AS usd
+      (input * t_in + output * t_out + cache_read * t_read + CASE WHEN w5m + w1h > 0 AND w5m + w1h <= cache_creation THEN (cache_creation - w1h) * t_5m + w1h * t_1h ELSE cache_creation * t_5m END) / 1e6
+    ELSE (input * r_in + output * r_out + cache_read * r_read + CASE WHEN w5m + w1h > 0 AND w5m + w1h <= cache_creation THEN (cache_creation - w1h) * r_5m + w1h * r_1h ELSE cache_creation * r_5m END) / 1e6 END AS usd
   FROM j
 )
 """
@@ -43,12 +45,12 @@ CLASSIFIED = """
 m AS (SELECT *, input + cache_creation + cache_read AS context, input + cache_creation AS uncached FROM u WHERE source_kind = 'main' AND granularity = 'call' AND input + cache_creation + cache_read > 0),
 g AS (SELECT *, row_number() OVER (PARTITION BY provider, session_id ORDER BY [at], ordinal) AS n,
   date_diff('microsecond', lag([at]) OVER (PARTITION BY provider, session_id, model ORDER BY [at], ordinal), [at]) AS gap,
-  CASE provider WHEN 'claude' THEN 60 WHEN 'codex' THEN 30 ELSE CASE WHEN starts_with(model, 'claude') THEN 60 WHEN starts_with(model, 'gpt') THEN 30 END END AS keep FROM m),
+  CASE provider WHEN 'claude' THEN 60 WHEN 'codex' THEN 30 ELSE CASE WHEN contains(lower(model), 'claude') THEN 60 WHEN regexp_matches(lower(model), '^(gpt|codex|o1|o3|o4)') THEN 30 END END AS keep FROM m),
 c AS (SELECT *, CASE WHEN n = 1 THEN 'cold_start' WHEN uncached * 2 >= context AND gap >= keep * 60000000::bigint THEN 'expired' ELSE 'uncached' END AS reason,
   CASE WHEN context < 100000 THEN '<100K' WHEN context < 200000 THEN '100-200K' WHEN context < 500000 THEN '200-500K' ELSE '500K+' END AS band FROM g WHERE true),
 cw AS (SELECT * FROM c WHERE d BETWEEN DATE '2024-01-17' AND DATE '2024-01-30')
 """
-LENGTHS = "t AS (SELECT *, greatest(duration_ms - wait_ms, 0) AS active_ms FROM w WHERE greatest(duration_ms - wait_ms, 0) > 0)"
+LENGTHS = "t AS (SELECT *, greatest(duration_ms - wait_ms, 0) AS active_ms FROM u WHERE (d IS NULL OR d BETWEEN DATE '2024-01-17' AND DATE '2024-01-30') AND greatest(duration_ms - wait_ms, 0) > 0)"
 SPANS = "spans AS (SELECT session_id, d, min([at]) AS first_at, max([at]) AS last_at FROM w GROUP BY session_id, d)"
 SWEPT = f"""
 {SPANS}, marks AS (SELECT d, first_at AS t, 1 AS delta FROM spans WHERE first_at < last_at UNION ALL SELECT d, last_at, -1 FROM spans WHERE first_at < last_at),
@@ -66,6 +68,22 @@ sum(greatest(duration_ms - wait_ms, 0)) FILTER (WHERE model_ms IS NOT NULL)::big
 ACTIVE_TIME = f"a AS (SELECT provider, {ACTIVE}, sum(volume)::bigint AS volume FROM w WHERE duration_ms > 0 GROUP BY provider)"
 
 
+def _ladder() -> str:
+    rows = []
+    for rank, least, top, steps in bands():
+        rows.append(f"('{rank}', {least!r}::double, {top!r}::double, {list(steps)!r}, {LAST_STEP if rank == 'SS' else 1e30!r}::double)")
+    return "ladder(rank, least, top, steps, last_step) AS (VALUES " + ", ".join(rows) + ")"
+
+
+RANKED = f"""{_ladder()}, sums AS (
+  SELECT provider, sum(volume)::bigint AS volume, count(DISTINCT d) AS days, sum(volume)::bigint / 14.0::double AS per_day FROM w WHERE volume > 0 GROUP BY GROUPING SETS ((provider), ())
+), best AS (SELECT * FROM sums LEFT JOIN ladder ON per_day >= least QUALIFY row_number() OVER (PARTITION BY provider ORDER BY least DESC) = 1)
+SELECT provider, volume, days, CASE WHEN days >= 3 THEN coalesce(rank, 'unranked') ELSE 'unranked' END AS rank,
+  CASE WHEN days < 3 OR rank IS NULL THEN 'Ant' WHEN per_day >= last_step THEN steps[len(steps)]
+    ELSE steps[least(floor(ln(per_day / least) / ln(top / least) * len(steps))::int, len(steps) - 1) + 1] END AS name FROM best
+"""
+
+
 def disc(p: int) -> str:
     return f"quantile_disc(v, {p / 100})"
 
@@ -82,11 +100,11 @@ BODIES = {
     "model_stats": ("cost", f"SELECT model, count(*) AS events, sum(volume)::bigint AS volume, {TALLY} FROM p GROUP BY model"),
     "model_daily": ("cost", f"SELECT d, model, sum(volume)::bigint AS volume, {TALLY} FROM p GROUP BY d, model"),
     "cost_by_model": ("cost", f"SELECT model, granularity, {SUMS}, {TALLY} FROM p GROUP BY model, granularity"),
-    "cost_trailing": ("cost", "SELECT round(sum(usd) FILTER (WHERE d > DATE '2024-01-29'), 6) AS usd_1d, round(sum(usd) FILTER (WHERE d > DATE '2024-01-23'), 6) AS usd_7d, round(sum(usd), 6) AS usd_14d FROM p"),
+    "cost_trailing": ("cost", "SELECT round(sum(usd) FILTER (WHERE d > DATE '2024-01-29'), 6) AS usd_1d, round(sum(usd) FILTER (WHERE d > DATE '2024-01-23'), 6) AS usd_7d, NULL::double AS usd_30d, round(sum(usd), 6) AS usd_period FROM p"),
     "tier_pricing": ("cost", "SELECT model, above, count(*) AS calls, round(sum(usd), 6) AS usd FROM p WHERE tier IS NOT NULL GROUP BY model, above"),
     "price_prefix_join": (
         "plain",
-        f", {PRICES}, names AS (SELECT model FROM u UNION SELECT unnest(['claude-opus-4-8', 'claude-opus-4-8-latest', 'claude-opus-4-8-2026', 'claude-opus-4-8x', 'claude-opus-4-8-beta', 'gpt-6-1-sol', 'codex', 'gemini-3-5-flash-001', 'claude-sonnet-4-5-20250929'])), {RESOLVE} SELECT n.model, price_model, r_in, r_out FROM (SELECT DISTINCT model FROM names) n LEFT JOIN rates USING (model)",
+        f", {PRICES}, names AS (SELECT model FROM u UNION SELECT unnest(['Claude-Opus-4-8[1m]', 'gpt-5-5', 'GPT-6.1-Sol (preview)', 'claude-opus-4-8', 'claude-opus-4-8-latest', 'claude-opus-4-8-2026', 'claude-opus-4-8x', 'claude-opus-4-8-beta', 'gpt-6-1-sol', 'codex', 'gemini-3-5-flash-001', 'claude-sonnet-4-5-20250929'])), {RESOLVE} SELECT n.model, price_model, r_in, r_out FROM (SELECT DISTINCT model FROM names) n LEFT JOIN rates USING (model)",
     ),
     "project_stats": "SELECT project, sum(volume)::bigint AS volume, count(*) AS events, replace(project, 'work/', '') AS label FROM w GROUP BY project",
     "subagent_stats": "SELECT coalesce(a.name, b.name) AS name, coalesce(volume, 0)::bigint AS volume, coalesce(calls, 0)::bigint AS calls FROM (SELECT coalesce(agent, 'subagent') AS name, sum(volume) AS volume FROM w WHERE source_kind = 'subagent' OR agent IS NOT NULL GROUP BY 1) a FULL JOIN (SELECT coalesce(agent, 'subagent') AS name, count(*) AS calls FROM w WHERE tool_name = 'Agent' GROUP BY 1) b ON a.name = b.name",
@@ -105,18 +123,29 @@ BODIES = {
     "pace_stats": "SELECT count(*) AS gaps, quantile_disc(g, 0.5) AS p50, quantile_disc(g, 0.9) AS p90, (sum(g) // count(*))::bigint AS mean FROM (SELECT d, date_diff('microsecond', lag([at]) OVER (PARTITION BY session_id ORDER BY [at], ordinal), [at]) // 1000 AS g FROM u) WHERE d BETWEEN DATE '2024-01-17' AND DATE '2024-01-30' AND g > 0 AND g <= 1800000",
     "heat_levels": "SELECT d, volume, (CASE WHEN volume = 0 THEN 0 ELSE 1 + (volume > v[(len(v) - 1) // 4 + 1])::int + (volume > v[(len(v) - 1) * 2 // 4 + 1])::int + (volume > v[(len(v) - 1) * 3 // 4 + 1])::int END)::int AS level FROM (SELECT cal.d, coalesce(sum(volume), 0)::bigint AS volume FROM cal LEFT JOIN w USING (d) GROUP BY cal.d), (SELECT list(x ORDER BY x) AS v FROM (SELECT sum(volume)::bigint AS x FROM w GROUP BY d HAVING sum(volume) > 0))",
     "context_calls": ("context", "SELECT provider, reason, count(*) AS calls, sum(uncached)::bigint AS uncached, sum(cache_read)::bigint AS cached FROM cw GROUP BY provider, reason"),
-    "context_bands": ("context", "SELECT band, count(*) AS calls, sum(context)::bigint AS context, sum(round(cache_read * 0.1)::bigint + input + round(cache_creation * 1.25)::bigint)::bigint AS effective FROM cw GROUP BY band"),
+    "context_bands": (
+        "context",
+        f""", {PRICES}, names AS (SELECT model FROM cw), {RESOLVE}, r AS (
+          SELECT cw.*, w5m + w1h > 0 AND w5m + w1h <= cache_creation AS split,
+            CASE WHEN r_in > 0 AND r_read / r_in BETWEEN 0 AND 10 THEN r_read / r_in ELSE 0.1::double END AS m_read,
+            CASE WHEN r_in > 0 AND r_5m / r_in BETWEEN 0 AND 10 THEN r_5m / r_in ELSE 1.25::double END AS m_5m,
+            CASE WHEN r_in > 0 AND r_1h / r_in BETWEEN 0 AND 10 THEN r_1h / r_in ELSE 2.0::double END AS m_1h
+          FROM cw LEFT JOIN rates USING (model))
+        SELECT band, count(*) AS calls, sum(context)::bigint AS context,
+          sum(input + round(CASE WHEN split THEN cache_creation - w1h ELSE cache_creation END * m_5m)::bigint + round(CASE WHEN split THEN w1h ELSE 0 END * m_1h)::bigint + round(cache_read * m_read)::bigint)::bigint AS effective
+        FROM r GROUP BY band""",
+    ),
     "context_merged": ("context", "SELECT reason, count(*) AS calls, sum(uncached)::bigint AS uncached, sum(cache_read)::bigint AS cached FROM cw GROUP BY reason"),
     "models_by_label": "SELECT CASE model WHEN 'claude-opus-4-8' THEN 'Opus 4.8' WHEN 'claude-haiku-5-5' THEN 'Haiku 5.5' WHEN 'claude-sonnet-4-5-20250929' THEN 'Sonnet 4.5' WHEN 'gpt-6.1-sol' THEN 'GPT-6.1 Sol' ELSE 'Other' END AS label, sum(volume)::bigint AS volume FROM w WHERE volume > 0 GROUP BY 1",
     "ops_band": "SELECT provider, aurora, sol, luna, CASE WHEN (list_sort([aurora, sol, luna])[3] - list_sort([aurora, sol, luna])[2]) * 100 >= (aurora + sol + luna) * 15 THEN CASE greatest(aurora, sol, luna) WHEN sol THEN 'sol' WHEN luna THEN 'luna' ELSE 'aurora' END ELSE 'eclipse' END AS ops FROM (SELECT provider, coalesce(sum(volume) FILTER (WHERE h BETWEEN 5 AND 10), 0)::bigint AS aurora, coalesce(sum(volume) FILTER (WHERE h BETWEEN 11 AND 17), 0)::bigint AS sol, coalesce(sum(volume) FILTER (WHERE h NOT BETWEEN 5 AND 17), 0)::bigint AS luna FROM w GROUP BY provider)",
-    "codename_rank": "SELECT *, CASE WHEN days < 3 THEN 'unranked' WHEN per_day >= 1000000000 THEN 'SS' WHEN per_day >= 100000000 THEN 'S' WHEN per_day >= 10000000 THEN 'A' WHEN per_day >= 1000000 THEN 'B' WHEN per_day >= 100000 THEN 'C' ELSE 'D' END AS rank FROM (SELECT session_id, sum(volume)::bigint AS volume, count(DISTINCT d) AS days, (sum(volume) // count(DISTINCT d))::bigint AS per_day FROM w WHERE volume > 0 GROUP BY session_id)",
+    "codename_rank": ("plain", f", {RANKED}"),
     "session_day_bounds": ("plain", f", {SPANS} SELECT session_id, d, first_at, last_at FROM spans"),
     "concurrency_levels": ("plain", f", {SWEPT} SELECT level, sum(seconds)::bigint AS seconds FROM levels WHERE open > 0 AND seconds > 0 GROUP BY level"),
     "concurrency_peak": ("plain", f", {SWEPT} SELECT max(open)::bigint AS peak, round(sum(([1, 2, 3, 5, 8, 11])[level + 1] * seconds) FILTER (WHERE open > 0 AND seconds > 0) / sum(seconds) FILTER (WHERE open > 0 AND seconds > 0), 6) AS mean FROM levels"),
     "streaks": "SELECT user_id, max(n) AS longest, coalesce(max(n) FILTER (WHERE last_day = DATE '2024-01-30'), 0) AS current FROM (SELECT user_id, count(*) AS n, max(d) AS last_day FROM (SELECT user_id, d, d - row_number() OVER (PARTITION BY user_id ORDER BY d)::int AS run FROM (SELECT DISTINCT user_id, d FROM w WHERE volume > 40000)) GROUP BY user_id, run) GROUP BY user_id",
     "longest_session": ("plain", f", {SPANS} SELECT session_id, first_at, last_at, date_diff('microsecond', first_at, last_at) // 1000000 AS seconds FROM spans ORDER BY last_at - first_at DESC, first_at DESC, session_id DESC LIMIT 1"),
     "session_report": ("cost", f"SELECT session_id, min([at]) AS first_at, max([at]) AS last_at, count(*) AS events, sum(volume)::bigint AS volume, {TALLY} FROM p WHERE session_id = 's7' GROUP BY session_id"),
-    "ordered_turn_lengths": ("plain", f", {LENGTHS} SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY [at], ordinal)::int AS n, [at], active_ms FROM t WHERE user_id < 20"),
+    "ordered_turn_lengths": ("plain", f", {LENGTHS} SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY [at], ordinal)::int AS n, [at], active_ms FROM t"),
     "cumulative_delta": "SELECT session_id, model, sum(CASE WHEN pi IS NULL OR input < pi OR output < po THEN input ELSE input - pi END)::bigint AS d_input, sum(CASE WHEN pi IS NULL OR input < pi OR output < po THEN output ELSE output - po END)::bigint AS d_output FROM (SELECT *, lag(input) OVER l AS pi, lag(output) OVER l AS po FROM u WINDOW l AS (PARTITION BY session_id, model ORDER BY [at], ordinal)) GROUP BY session_id, model",
     "credit_delta": "SELECT session_id, sum(CASE WHEN p IS NULL OR nano < p THEN nano ELSE nano - p END)::bigint AS d_nano FROM (SELECT session_id, nano, lag(nano) OVER (PARTITION BY session_id ORDER BY [at], ordinal) AS p FROM (SELECT *, k * 1000000 AS nano FROM u WHERE provider = 'opencode')) GROUP BY session_id",
     "carry_forward": "SELECT session_id, m AS model, count(*) AS events FROM (SELECT session_id, last_value(CASE WHEN k % 5 = 0 THEN model END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY [at], ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM u) GROUP BY session_id, m",
@@ -143,7 +172,7 @@ BODIES = {
     "supersede_anti": ("plain", ", f AS (SELECT session_id, min([at]) AS first_call FROM u WHERE ordinal % 3 = 0 GROUP BY session_id), s AS (SELECT ordinal, session_id, [at], model || ':' || k AS key, volume FROM u WHERE ordinal % 3 = 1), dead AS (SELECT key FROM s JOIN f USING (session_id) WHERE [at] >= first_call) SELECT ordinal, session_id, key, volume FROM s WHERE key NOT IN (SELECT key FROM dead)"),
     "fork_cutoff": ("plain", ", b AS (SELECT conv_id + 1 AS conv_id, min(turn) AS cutoff FROM conversations WHERE conv_id % 3 = 0 AND role = 'assistant' GROUP BY conv_id) SELECT conv_id, count(*) AS turns, max(turn) AS last_turn FROM conversations LEFT JOIN b USING (conv_id) WHERE conv_id % 3 = 1 AND (cutoff IS NULL OR turn > cutoff) GROUP BY conv_id"),
     "ancestry_depth": "SELECT c_custkey AS id, (CASE WHEN c_custkey = 0 THEN 0 ELSE floor(log2(c_custkey)) END)::int AS depth FROM customer",
-    "event_export": "SELECT [at], ordinal, session_id, model, volume, granularity FROM w WHERE provider = 'codex'",
+    "event_export": "SELECT provider, [at], ordinal, session_id, model, volume, granularity FROM w",
     "top_models": ("plain", ", s AS (SELECT model, sum(volume)::bigint AS volume, row_number() OVER (ORDER BY sum(volume) DESC, model) AS n FROM w GROUP BY model) SELECT model, volume FROM s WHERE n <= 3 UNION ALL SELECT '+' || count(*) || ' more', sum(volume)::bigint FROM s WHERE n > 3"),
     "busiest": "SELECT (SELECT d FROM w GROUP BY d ORDER BY sum(volume) DESC, d DESC LIMIT 1) AS d, (SELECT sum(volume)::bigint FROM w GROUP BY d ORDER BY 1 DESC LIMIT 1) AS day_volume, (SELECT h FROM w GROUP BY h ORDER BY sum(volume) DESC, h DESC LIMIT 1) AS h, (SELECT sum(volume)::bigint FROM w GROUP BY h ORDER BY 1 DESC LIMIT 1) AS hour_volume",
     "provider_order": "SELECT provider, sum(volume)::bigint AS volume, count(DISTINCT session_id) AS sessions, row_number() OVER (ORDER BY sum(volume) DESC, provider)::int AS place FROM w GROUP BY provider",

@@ -56,9 +56,9 @@ def test_sweep(spark, rows, peak, levels):
 
 
 def test_price_keys(spark):
-    models = spark.createDataFrame([("claude-opus-4-8-latest",), ("claude-opus-4-8-20260101",), ("claude-opus-4-8-fast",), ("claude-opus-4-80",), ("gpt-5-5",), ("codex",), (None,)], "model string")
+    models = spark.createDataFrame([("claude-opus-4-8-latest",), ("claude-opus-4-8-20260101",), ("claude-opus-4-8-fast",), ("claude-opus-4-80",), ("gpt-5-5",), ("codex",), ("Claude-Opus-4-8[1m]",), ("GPT-5.5 (fast)",), (None,)], "model string")
     got = {r.model: r.price_model for r in pricing.resolve(models, pricing.price_table(spark)).collect()}
-    assert got == {"claude-opus-4-8-latest": "claude-opus-4-8", "claude-opus-4-8-20260101": "claude-opus-4-8", "claude-opus-4-8-fast": None, "claude-opus-4-80": None, "gpt-5-5": "gpt-5.5", "codex": "gpt-5.5", None: None}
+    assert got == {"claude-opus-4-8-latest": "claude-opus-4-8", "claude-opus-4-8-20260101": "claude-opus-4-8", "claude-opus-4-8-fast": None, "claude-opus-4-80": None, "gpt-5-5": None, "Claude-Opus-4-8[1m]": "claude-opus-4-8", "GPT-5.5 (fast)": "gpt-5.5", "codex": "gpt-5.5", None: None}
 
 
 def test_cost_of_a_call_and_its_tier(spark):

@@ -77,6 +77,44 @@ def test_interrupt_discards_and_silence_cuts(transcript):
     assert [(r.gap_ms, r.dedupe_key) for r in turns.paces(found).collect()] == [(120_000, "claude-pace:p3")]
 
 
+def lengths(decoded):
+    found = turns.turns(claude.turn_rows(decoded)).cache()
+    return {r.dedupe_key: (r.duration_ms, r.wait_ms, r.model_ms) for r in turns.durations(found).collect()}, {r.dedupe_key: r.gap_ms for r in turns.paces(found).collect()}
+
+
+def test_overlapping_questions_wait_once(transcript):
+    got, _ = lengths(transcript([
+        said("p", "10:00:00"), ask("q1", "10:01:00", "t1"), ask("q2", "10:02:00", "t2"), reply("r2", "10:06:00", "t2"), said("x", "10:07:00", "assistant", []),
+        reply("r1", "10:10:00", "t1"), said("a", "10:12:00", "assistant", []), ask("again", "10:13:00", "t1"), said("b", "10:14:00", "assistant", []),
+    ]))
+    # waiting 10:01-10:10; model time 10:00-10:01, 10:10-10:14
+    assert got == {"claude-turn:p": (840_000, 540_000, 300_000)}
+
+
+def test_open_question_before_a_silence_and_its_late_answer(transcript):
+    got, paces = lengths(transcript([
+        said("p", "10:00:00"), ask("q", "10:01:00", "t"), said("n", "10:03:00", "system"), said("o", "11:00:00", "assistant", []), reply("r", "11:10:00", "t"), said("a", "11:12:00", "assistant", []),
+        said("h", "11:15:00"), said("b", "11:16:00", "assistant", []), said("late", "12:30:00", "assistant", []), said("h2", "12:31:00"),
+    ]))
+    assert got == {"claude-turn:p": (180_000, 120_000, 60_000), "claude-turn:r": (120_000, 0, 120_000), "claude-turn:h": (60_000, 0, 60_000)}
+    assert paces == {"claude-pace:h": 180_000}
+
+
+def test_turns_nobody_answers_and_undated_interrupts(transcript):
+    undated = said("i", "10:00:30", content="[Request interrupted by user]")
+    del undated["timestamp"]
+    got, paces = lengths(transcript([
+        said("c", "10:00:00", content="<command-name>/compact</command-name>"), said("z", "10:00:20", "system"), said("l", "10:01:00"), said("y", "10:01:30", "system"),
+        said("p", "10:02:00"), said("a", "10:03:00", "assistant", []), undated, said("b", "10:04:00", "assistant", []), said("q", "10:05:00"),
+    ]))
+    assert got == {"claude-turn:c": (20_000, 0, 0)} and paces == {"claude-pace:l": 40_000, "claude-pace:p": 30_000}
+
+
+def test_turns_need_no_python(transcript):
+    plan = turns.turns(claude.turn_rows(transcript([said("p", "10:00:00")])))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
 def test_generated_prompts_are_no_human_turns(transcript):
     decoded = transcript([said("a", "10:00:00", permissionMode="plan"), said("b", "10:00:01", content="<bash-stdout>x", permissionMode="plan"), said("c", "10:00:02", origin={"kind": "task"}, permissionMode="plan"), said("i", "10:00:03", content=[{"type": "text", "text": " [Request interrupted by user] "}])])
     assert [r.dedupe_key for r in claude.permission_events(decoded).collect()] == ["claude-permission:a"]
