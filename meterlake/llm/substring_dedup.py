@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.llm import _kernels as K
-from meterlake.llm._spark import over_arrow, shuffle_partitions, stage_table, work_dir
+from meterlake.llm._spark import over_arrow, shuffle_partitions, stage_table
 
 WINDOW, GRAM = 50, 25
 SPAN = WINDOW - GRAM + 1
@@ -165,6 +165,7 @@ def join_words(words: K.Words, keep: np.ndarray) -> pa.Array:
 class Run(NamedTuple):
     """Different segments (fp, seg, d, tk): ``cold`` is bucketed by anchor, ``hot`` holds the anchors ``names``."""
 
+    name: str
     cold: DataFrame
     hot: DataFrame
     names: list[int]
@@ -204,10 +205,9 @@ class WindowIndex:
         self.tables: list[str] = []
 
     def bucketed(self, rows: DataFrame, name: str, into: str | None = None) -> str:
-        """Writes ``rows``, which lie in tasks by anchor, as (or into) a table bucketed by it."""
+        """Writes ``rows``, which lie in tasks by anchor, as (or into) a table of the warehouse bucketed by it."""
         table = into or f"{name}_{uuid.uuid4().hex}"
-        writer = rows.write.bucketBy(self.buckets, "fp").sortBy("fp", "seg").mode("append")
-        writer.option("path", f"{work_dir(self.spark)}/{table}").saveAsTable(table)
+        rows.write.bucketBy(self.buckets, "fp").sortBy("fp", "seg").mode("append").saveAsTable(table)
         if not into:
             self.tables.append(table)
         return table
@@ -229,7 +229,8 @@ class WindowIndex:
 
         first = [F.min(F.struct("doc_id", "tk")).alias("x"), F.max("doc_id").alias("top"), F.count("*").alias("k")]
         columns = ["fp", "seg", "x.doc_id AS d", "x.tk AS tk", "top", "k"]
-        own_cold = self.spark.table(self.bucketed(cold_new.groupBy("fp", "seg").agg(*first).selectExpr(*columns), "run"))
+        name = self.bucketed(cold_new.groupBy("fp", "seg").agg(*first).selectExpr(*columns), "run")
+        own_cold = self.spark.table(name)
         own_hot = stage_table(hot_new.groupBy("fp", "seg").agg(*first).selectExpr(*columns), "run_hot")
 
         # what the runs hold of the batch's anchors; neither cold side moves
@@ -241,7 +242,7 @@ class WindowIndex:
                 self.bucketed(run.cold.join(own_cold.select("fp").hint("merge"), "fp", "left_semi").selectExpr(*old), "known", table)
                 known_hot = known_hot.union(run.cold.join(self.among(names), "fp", "left_semi").selectExpr(*old)).union(run.hot.selectExpr(*old))
             known = self.spark.table(table)
-        self.runs.append(Run(own_cold.select("fp", "seg", "d", "tk"), own_hot.select("fp", "seg", "d", "tk"), names))
+        self.runs.append(Run(name, own_cold.select("fp", "seg", "d", "tk"), own_hot.select("fp", "seg", "d", "tk"), names))
 
         least = [F.min(F.struct("d", "tk")).alias("x"), F.max("top").alias("top"), F.sum("k").alias("k")]
         columns = ["fp", "seg", "x.d AS d", "x.tk AS tk", "top", "k"]
@@ -262,7 +263,9 @@ class WindowIndex:
         least = windows.groupBy("fp", "h").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.count("*").alias("many")).where("first < last").drop("last")
         parts = join_counted(windows, least, ["fp", "h"], "many").where("first < d").select("fp", "seg", "d", "rel").distinct()
         some = new.join(parts, ["fp", "seg"]).where("doc_id = d").select("doc_id", "tk", (F.col("at") + F.col("rel")).alias("at"), F.lit(1).alias("n"))
-        return stage_table(whole.union(some), "spans")
+        spans = stage_table(whole.union(some), "spans")
+        self.keep([run.name for run in self.runs])
+        return spans
 
     def compact(self) -> None:
         """Merges all runs into one, which keeps the least document of each segment."""
@@ -272,17 +275,23 @@ class WindowIndex:
             table = self.bucketed(run.cold.join(self.among(names), "fp", "left_anti"), "runs", table)
             hot += [run.cold.join(self.among(names), "fp"), run.hot]
         least = lambda t: t.groupBy("fp", "seg").agg(F.min(F.struct("d", "tk")).alias("x")).select("fp", "seg", "x.d", "x.tk")
-        cold = self.spark.table(self.bucketed(least(self.spark.table(table)), "run"))
+        name = self.bucketed(least(self.spark.table(table)), "run")
         every = hot[0].select("fp", "seg", "d", "tk")
         for part in hot[1:]:
             every = every.union(part.select("fp", "seg", "d", "tk"))
-        self.runs = [Run(cold, stage_table(least(every), "run_hot"), names)]
+        self.runs = [Run(name, self.spark.table(name), stage_table(least(every), "run_hot"), names)]
+        self.keep([name])
 
-    def close(self) -> None:
-        """Takes the tables out of the catalogue; their files stay in the work folder."""
-        for table in self.tables:
+    def keep(self, names: list[str]) -> None:
+        """Drops all other tables, with their files."""
+        for table in set(self.tables) - set(names):
             self.spark.sql(f"DROP TABLE IF EXISTS {table}")
-        self.runs, self.tables = [], []
+        self.tables = list(names)
+
+    def close(self) -> None:
+        """Drops the index."""
+        self.keep([])
+        self.runs = []
 
 
 def postings(docs: DataFrame) -> DataFrame:
