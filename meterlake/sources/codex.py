@@ -14,8 +14,11 @@ COUNTERS = ("input_tokens", "cached_input_tokens", "cache_write_input_tokens", "
 def rows(parsed: DataFrame, home: str) -> DataFrame:
     """Each readable line with the session, model and project that hold there.
 
-    A second session_meta marks a fork: lines from its second until less than a second
-    after it are copies, except the metas themselves.
+    Every session_meta moves the session (before the first: the file's name) and the project;
+    metas and turn contexts move the model, even those of copies. A fork is a first meta that
+    names what it was forked from without a history base, or a second meta: lines from its
+    second until less than a second after it are copies, except the first meta and the usage
+    records of the file's own thread. The first meta also tells whose file it is.
     """
     v = F.col("v")
     line = Window.partitionBy("path").orderBy("pos")
@@ -26,12 +29,24 @@ def rows(parsed: DataFrame, home: str) -> DataFrame:
     meta, context = F.col("type") == "session_meta", F.col("type") == "turn_context"
     carry = lambda c: F.last(c, ignorenulls=True).over(upto)
     out = base.withColumn("metas", F.count_if(meta).over(upto))
-    forked = F.when(meta & ((F.col("metas") == 2) | text_at(v, "$.payload.forked_from_id").isNotNull()), F.col("at"))
-    out = out.withColumn("forked_at", F.max(forked).over(upto)).withColumn("session_id", F.first(F.when(meta, text_at(v, "$.payload.id")), ignorenulls=True).over(upto))
-    out = out.withColumn("model", carry(F.when(meta | context, F.coalesce(text_at(v, "$.payload.model"), F.when(meta, text_at(v, "$.payload.model_provider"))))))
-    out = out.withColumn("project", carry(F.when(meta | context, project_from_cwd(text_at(v, "$.payload.cwd", 4096), home))))
+    first = meta & (F.col("metas") == 1)
+    present = lambda p: F.coalesce(F.schema_of_variant(F.try_variant_get(v, p, "variant")), F.lit("VOID")) != "VOID"
+    copied = first & present("$.payload.forked_from_id") & ~present("$.payload.history_base")
+    forked = F.when(copied | (meta & (F.col("metas") == 2)), F.struct("at"))
+    stem = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.jsonl(\.zst)?$", "")
+    spawn = F.try_variant_get(v, "$.payload.source.subagent.thread_spawn", "variant")
+    role = F.coalesce(text_at(v, "$.payload.source.subagent.thread_spawn.agent_role"), text_at(v, "$.payload.source.subagent.thread_spawn.agent_type"), text_at(v, "$.payload.agent_role"), F.lit("default"))
+    other = F.coalesce(text_at(v, "$.payload.source.subagent"), text_at(v, "$.payload.source.subagent.other"), F.get(F.map_keys(F.try_variant_get(v, "$.payload.source.subagent", "map<string, variant>")), F.lit(0)), F.lit("subagent"))
+    agent = F.when(present("$.payload.source.subagent"), F.when(spawn.isNotNull(), role).otherwise(other)).otherwise(text_at(v, "$.payload.source.internal"))
+    model = F.coalesce(text_at(v, "$.payload.model"), F.when(meta, F.coalesce(text_at(v, "$.payload.collaboration_mode.settings.model"), text_at(v, "$.payload.model_provider"))))
+    out = out.withColumn("forked_at", F.last(forked, ignorenulls=True).over(upto)["at"])
+    out = out.withColumn("session_id", F.coalesce(carry(F.when(meta, text_at(v, "$.payload.id"))), F.nullif(stem, F.lit(""))))
+    out = out.withColumn("own_id", F.first(F.when(first, text_at(v, "$.payload.id")), ignorenulls=True).over(upto)).withColumn("agent", F.first(F.when(first, agent), ignorenulls=True).over(upto))
+    out = out.withColumn("model", F.coalesce(carry(F.when(meta | context, model)), F.lit("codex")))
+    out = out.withColumn("project", F.last(F.when(meta, F.struct(project_from_cwd(text_at(v, "$.payload.cwd", 4096), home).alias("p"))), ignorenulls=True).over(upto)["p"])
+    own = first | ((F.col("type") == "token_usage_record") & F.coalesce(text_at(v, "$.payload.thread_id") == F.col("own_id"), F.lit(False)))
     burst = (F.col("at") >= F.date_trunc("second", "forked_at")) & (F.col("at") < F.col("forked_at") + F.expr("INTERVAL 1 SECOND"))
-    return out.withColumn("copied", F.coalesce(burst, F.lit(False)) & ~meta)
+    return out.withColumn("copied", F.coalesce(burst, F.lit(False)) & ~own)
 
 
 def _fingerprint(v: Column, path: str) -> Column:
@@ -52,11 +67,11 @@ def usage_events(decoded: DataFrame) -> DataFrame:
     """Usage records, and token counts that no earlier record of the file reports."""
     v = F.col("v")
     own = decoded.where("not copied")
-    base = ["path", "pos", "at", "session_id", "model", "project"]
+    base = ["path", "pos", "at", "session_id", "model", "project", "agent"]
     place = F.concat_ws(":", F.col("session_id"), "raw_at", F.col("line_index").cast("string"))
     records = own.where("type = 'token_usage_record'").where(count_at(v, "$.payload.usage.total_tokens").isNotNull()).withColumn("print", _fingerprint(v, "$.payload.usage"))
     owner = text_at(v, "$.payload.thread_id")
-    mine = records.where(owner.isNull() | F.col("session_id").isNull() | (owner == F.col("session_id")))
+    mine = records.where(owner.isNull() | F.col("own_id").isNull() | (owner == F.col("own_id")))
     key = F.coalesce(F.concat(F.lit("codex-usage:v3:"), text_at(v, "$.payload.response_id")), F.when(F.col("session_id").isNotNull() & F.col("at").isNotNull(), F.concat(F.lit("codex-record:"), place)))
     first = mine.select(*base, key.alias("dedupe_key"), *_usage(v, "$.payload.usage"))
     counts = own.where("type = 'event_msg'").where(text_at(v, "$.payload.type") == "token_count").withColumn("print", _fingerprint(v, "$.payload.info.last_token_usage"))
@@ -66,7 +81,7 @@ def usage_events(decoded: DataFrame) -> DataFrame:
     counted = F.when(F.col("session_id").isNotNull() & total.isNotNull(), F.concat_ws(":", F.lit("codex-usage:v2"), "session_id", "print", total)).when(F.col("session_id").isNotNull() & F.col("at").isNotNull(), F.concat(F.lit("codex:"), place))
     second = counts.select(*base, counted.alias("dedupe_key"), *_usage(v, "$.payload.info.last_token_usage"))
     every = first.union(second).where("raw > 0").drop("raw")
-    return every.withColumn("volume", F.col("input") + F.col("output") + F.col("cache_creation") + F.col("cache_read")).withColumn("granularity", F.lit("call")).withColumn("source_kind", F.lit("main"))
+    return every.withColumn("volume", F.col("input") + F.col("output") + F.col("cache_creation") + F.col("cache_read")).withColumn("granularity", F.lit("call")).withColumn("source_kind", F.when(F.col("agent").isNull(), "main").otherwise("subagent"))
 
 
 def rate_limits(decoded: DataFrame) -> DataFrame:

@@ -49,14 +49,22 @@ def copilot_rows(parsed: DataFrame) -> DataFrame:
 
 
 def copilot_usage(rows: DataFrame) -> DataFrame:
-    """Cumulative shutdown snapshots by model, as differences."""
+    """Cumulative shutdown snapshots by model, as differences.
+
+    Undated snapshots and those without both core counters don't move the baseline.
+    """
+    dated = (F.col("type") == "session.shutdown") & F.col("at").isNotNull()
+    rows = rows.withColumn("nth", F.count_if(dated).over(Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)))
     metrics = F.try_variant_get(F.col("v"), "$.data.modelMetrics", "map<string, variant>")
-    each = rows.where("type = 'session.shutdown' and at is not null").select("path", "pos", "at", "session_id", "id", F.explode(metrics).alias("model", "m"))
+    each = rows.where("type = 'session.shutdown' and at is not null").select("path", "pos", "at", "session_id", "id", "nth", F.explode(metrics).alias("model", "m"))
+    each = each.where(count_at(F.col("m"), "$.usage.inputTokens").isNotNull() & count_at(F.col("m"), "$.usage.outputTokens").isNotNull() & bounded(F.col("model")).isNotNull())
     names = {"raw_input": "inputTokens", "output": "outputTokens", "cache_read": "cacheReadTokens", "cache_creation": "cacheWriteTokens", "reasoning": "reasoningTokens"}
     each = each.select("*", *[clamp_counter(count_at(F.col("m"), f"$.usage.{p}")).alias(k) for k, p in names.items()])
     made = deltas(each, ["path", "model"], ["pos"], list(names))
     fresh = saturating_sub(saturating_sub(F.col("d_raw_input"), F.col("d_cache_read")), F.col("d_cache_creation"))
-    out = made.select("path", "pos", "at", "session_id", "model", F.concat_ws(":", F.lit("copilot"), "id", "model").alias("dedupe_key"), fresh.alias("input"), *[F.col(f"d_{k}").alias(k) for k in ("output", "reasoning", "cache_creation", "cache_read")])
+    # without an id the place of the shutdown in its session
+    key = F.coalesce(F.concat(F.lit("copilot:"), "id", F.lit(":"), "model"), F.concat(F.lit("copilot:"), "session_id", F.lit(":"), "model", F.lit(":"), F.col("nth").cast("string")))
+    out = made.select("path", "pos", "at", "session_id", "model", key.alias("dedupe_key"), fresh.alias("input"), *[F.col(f"d_{k}").alias(k) for k in ("output", "reasoning", "cache_creation", "cache_read")])
     return out.withColumn("volume", F.col("input") + F.col("output") + F.col("cache_creation") + F.col("cache_read")).where("volume > 0").withColumn("granularity", F.lit("aggregate"))
 
 

@@ -133,13 +133,24 @@ def test_codex_usage_echo_and_fork(spark, tmp_path):
         {"timestamp": "2026-01-01T11:00:00Z", "type": "session_meta", "payload": {"id": "parent"}}, count("11:00:00.400", 500, 900), count("11:00:02", 60, 990),
     ])
     decoded = codex.rows(text.parse(text.read_lines(spark, [str(tmp_path)])), "/home/me").cache()
-    got = sorted((r.input, r.cache_read, r.output, r.volume, r.model, r.project, r.session_id) for r in codex.usage_events(decoded).collect())
-    assert got == [(20, 40, 10, 70, "gpt-x", "x", "th"), (60, 40, 10, 110, "gpt-x", "x", "th"), (160, 40, 10, 210, "gpt-x", "x", "th")]
+    got = {(r.input, r.cache_read, r.output, r.volume, r.model, r.project, r.session_id) for r in codex.usage_events(decoded).collect()}
+    # the second meta moves the session and the project
+    assert got == {(20, 40, 10, 70, "gpt-x", None, "parent"), (60, 40, 10, 110, "gpt-x", "x", "th"), (160, 40, 10, 210, "gpt-x", "x", "th")}
     assert [r.duration_ms for r in codex.durations(decoded).collect()] == [12345]
     assert {r.used_percent for r in codex.rate_limits(decoded).collect()} == {100.0}
     assert [r.tool_name for r in codex.tool_events(decoded).collect()] == ["shell"]
 
 
+def test_codex_forks_and_origin(spark, tmp_path):
+    at = lambda t, kind, payload: {"timestamp": f"2026-01-01T{t}Z", "type": kind, "payload": payload}
+    use = lambda t, owner, r: at(t, "token_usage_record", {"thread_id": owner, "response_id": r, "usage": {"input_tokens": 9, "output_tokens": 1, "total_tokens": 10}})
+    write(tmp_path / "a.jsonl", [at("10:00:00", "session_meta", {"id": "c", "forked_from_id": "p", "source": {"subagent": {"thread_spawn": {"agent_role": "scout"}}}}), use("10:00:00.200", "p", "copy"), use("10:00:00.300", "c", "own"), use("10:00:01.500", "c", "later")])
+    write(tmp_path / "b.jsonl", [at("10:00:00", "session_meta", {"id": "h", "forked_from_id": "p", "history_base": {"x": 1}}), use("10:00:00.200", "h", "kept")])
+    write(tmp_path / "c.jsonl", [use("10:00:00.200", "q", "alone")])
+    got = {r.dedupe_key.split(":")[-1]: (r.session_id, r.model, r.source_kind, r.agent) for r in codex.usage_events(codex.rows(text.parse(text.read_lines(spark, [str(tmp_path)])), "/home/me")).collect()}
+    assert got == {"own": ("c", "codex", "subagent", "scout"), "later": ("c", "codex", "subagent", "scout"), "kept": ("h", "codex", "main", None), "alone": ("c", "codex", "main", None)}
+
+
 def test_grok_and_copilot(spark, tmp_path):
     done = {"timestamp": 1767261600, "params": {"update": {"sessionUpdate": "turn_completed", "prompt_id": "p", "usage": {"apiDurationMs": 500, "modelUsage": {"g1": {"inputTokens": 100, "cachedReadTokens": 30, "cacheCreationTokens": 20, "outputTokens": 5}}}}}}
     write(tmp_path / "g/cwd/sess/updates.jsonl", [done, {"timestamp": 1.5}])
@@ -151,11 +162,14 @@ def test_grok_and_copilot(spark, tmp_path):
     shut = lambda n: {"modelMetrics": {"m": {"usage": {"inputTokens": n, "outputTokens": n, "cacheReadTokens": 0}}}}
     write(tmp_path / "c/session-state/s1/events.jsonl", [
         ev("1", 0, "assistant.turn_start", {"turnId": "t"}), ev("2", 1, "assistant.turn_end", {"turnId": "t"}), ev("3", 2, "assistant.turn_end", {"turnId": "t"}), ev("4", 3, "session.shutdown", shut(100)),
-        ev("5", 4, "session.shutdown", shut(150)), ev("6", 5, "session.shutdown", shut(40)), ev("7", 5, "session.usage_checkpoint", {"totalNanoAiu": 7}), ev("8", 6, "session.usage_checkpoint", {"totalNanoAiu": 9}),
+        ev("5", 4, "session.shutdown", shut(150)), ev("x", 4, "session.shutdown", {"modelMetrics": {"m": {"usage": {"cacheReadTokens": 3}}}}), ev("6", 5, "session.shutdown", shut(40)), ev("7", 5, "session.usage_checkpoint", {"totalNanoAiu": 7}), ev("8", 6, "session.usage_checkpoint", {"totalNanoAiu": 9}),
     ])
     rows = updates.copilot_rows(text.parse(text.read_lines(spark, [str(tmp_path / "c")]))).cache()
     assert sorted(r.volume for r in updates.copilot_usage(rows).collect()) == [80, 100, 200]
     assert [r.duration_ms for r in updates.copilot_turns(rows).collect()] == [60_000]
+    write(tmp_path / "d/session-state/s2/events.jsonl", [ev(None, 1, "session.shutdown", shut(10)), ev(None, 2, "session.shutdown", shut(30))])
+    other = updates.copilot_rows(text.parse(text.read_lines(spark, [str(tmp_path / "d")])))
+    assert sorted(r.dedupe_key for r in updates.copilot_usage(other).collect()) == ["copilot:s2:m:0", "copilot:s2:m:1"]
     assert sorted(r.nano_aiu for r in updates.copilot_credits(rows).collect()) == [2, 7]
 
 
