@@ -5,6 +5,9 @@ A window is 50 consecutive words. Its anchor is the least hash among its 26 runs
 with one anchor form a segment; a document has one posting (anchor, segment hash,
 place) for each segment, about one for thirteen words.
 
+Texts equal to one of a smaller doc_id (by SHA-256) have all their windows repeated; they
+are told apart first, by one grouping of hashes, and have no postings.
+
 The index holds, for each different segment, its least document. Every batch adds one
 immutable run, a table bucketed by anchor. A batch's postings are shuffled once, into such
 a table too; from there on it is grouped, and merge-joined with each run, on the anchor
@@ -46,6 +49,7 @@ BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
 HOT_SHARE, HOT_LEAST = 1000, 1000  # a key is hot from a thousandth of the rows, and 1,000 rows, on
 TRACKED = 16384  # items of the sketch; it misses no key above 1 / (0.75 * TRACKED) of the rows
 BROADCAST_ROWS = 200_000  # of documents, 16 bytes each and 8 for each of their spans or anchors
+ALL = 2**31 - 1  # as a span's number of windows: all from its place on
 U = np.uint64
 
 
@@ -134,9 +138,11 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner = np.repeat(np.arange(len(texts)), lengths)
             edge = np.zeros(len(words.starts) + 1, np.int64)
             if len(owner):
-                begin = words.bounds[owner] + flat.field(0).to_numpy(zero_copy_only=False)
+                at, n = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+                n = np.minimum(n, total[owner] - WINDOW + 1 - at)
+                begin = (words.bounds[owner] + at)[n > 0]
                 np.add.at(edge, begin, 1)
-                np.add.at(edge, begin + flat.field(1).to_numpy(zero_copy_only=False) + WINDOW - 1, -1)
+                np.add.at(edge, begin + n[n > 0] + WINDOW - 1, -1)
             keep = np.cumsum(edge)[:-1] == 0
             kept = np.concatenate([[0], np.cumsum(keep)])[words.bounds]
             yield pa.record_batch(
@@ -299,6 +305,14 @@ def postings(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "tk", "batch").transform(over_arrow, _postings, "fp long, seg long, doc_id long, tk int, at int, n int, batch int")
 
 
+def later_copies(known: DataFrame) -> DataFrame:
+    """(doc_id, tk) of rows whose text, long enough for a window, is also that of a smaller doc_id."""
+    prints = known.where(F.length("text") >= 2 * WINDOW - 1).select("doc_id", "tk", F.unhex(F.sha2("text", 256)).alias("print"))
+    prints = stage_table(prints, "prints")
+    facts = prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("many"))
+    return join_counted(prints, facts.where("first < last").drop("last"), ["print"], "many").where("first < doc_id").select("doc_id", "tk")
+
+
 def remove_repeats(docs: DataFrame, batches: int = 3, fan: int = 1) -> DataFrame:
     """doc_id, text (kept words joined by one space), n_words, n_removed for each row of docs.
 
@@ -309,12 +323,14 @@ def remove_repeats(docs: DataFrame, batches: int = 3, fan: int = 1) -> DataFrame
     cuts = known.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"] if batches > 1 else []
     cuts = sorted(set(cuts or []))
     batch = sum((F.when(F.col("doc_id") > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    every = stage_table(postings(known.withColumn("batch", batch)), "postings", ["batch"])
-    index, spans = WindowIndex(docs.sparkSession, fan), None
+    copies = stage_table(later_copies(known), "copies")
+    fresh = known.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, ["doc_id", "tk"], "left_anti")
+    every = stage_table(postings(fresh.withColumn("batch", batch)), "postings", ["batch"])
+    index, spans = WindowIndex(docs.sparkSession, fan), copies.select("doc_id", "tk", F.lit(0).alias("at"), F.lit(ALL).alias("n"))
     for i in range(len(cuts) + 1):
         seen = known.where(F.col("doc_id") <= cuts[i]) if i < len(cuts) else known
         found = index.add(every.where(F.col("batch") == i).drop("batch"), seen)
-        spans = found if spans is None else spans.union(found)
+        spans = spans.union(found)
     index.close()
     gathered = stage_table(spans.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("at", "n")).alias("spans")), "gathered")
     size = gathered.agg(F.count("*").alias("rows"), F.sum(F.size("spans")).alias("spans")).first()

@@ -67,6 +67,17 @@ def test_long_rows_that_repeat_a_doc_id(spark, batches):
     assert sorted(n for d, _, _, n in got if d == 5) == [56, 56]
 
 
+def test_exact_copies(spark):
+    """Later copies lose all their windows' words; shorter texts lose none; a repeated doc_id is no source for itself."""
+    text, brief = long_text("a", [f"p{i}" for i in range(56)]), " ".join(["w" * 30] * 49)
+    rows = [(d, t) for d in (4, 2, 2, 9, 9, None) for t in (text, brief, "", None)] + [(8, long_text("b", [f"p{i}" for i in range(56)]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in substring_dedup.remove_repeats(frame).collect())
+    assert got == Counter(brute(frame.collect()))
+    copies = substring_dedup.later_copies(frame.where("doc_id is not null").withColumn("tk", F.hash("text")))
+    assert sorted(r.doc_id for r in copies.collect()) == [4, 4, 9, 9, 9, 9]  # long enough by characters, the brief one too
+
+
 def test_hot_keys_lie_apart(docs, monkeypatch):
     """With a limit of one row nearly every repeated key is hot, and results stay."""
     monkeypatch.setattr(substring_dedup, "hot_limit", lambda rows: 1)
