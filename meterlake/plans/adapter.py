@@ -32,7 +32,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+class Stream(NamedTuple):
+    """Usage events of one's own, with their window: reports take it in place of a folder."""
+
+    usage: DataFrame
+    window: Window
+
+
+def window_of(source: str | Stream) -> Window:
+    return source.window if isinstance(source, Stream) else WINDOW
+
+
+def usage_events(spark: SparkSession, sf_dir: str | Stream) -> DataFrame:
+    if isinstance(sf_dir, Stream):
+        return sf_dir.usage
     e = read(spark, sf_dir, "events")
     i, user, value = F.col("event_id"), F.col("user_id"), F.col("value")
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")

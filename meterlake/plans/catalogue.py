@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlake.plans import reports, twins
+from meterlake.plans import log_twins, logs, reports, twins
 
 
 def _dated(report: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -19,8 +19,8 @@ def _dated(report: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _dated(getattr(reports, name)) for name in twins.BODIES}
+    return {name: _dated(getattr(reports, name)) for name in twins.BODIES} | {name: _dated(getattr(logs, name)) for name in log_twins.oracle_sql()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: f"SELECT * REPLACE (d::varchar AS d) FROM ({text})" if name in twins.DATED else text for name, text in twins.twins().items()}
+    return {name: f"SELECT * REPLACE (d::varchar AS d) FROM ({text})" if name in twins.DATED else text for name, text in twins.twins().items()} | log_twins.oracle_sql()

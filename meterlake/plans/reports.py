@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meterlake.functions.scalar import heat_level, nearest_rank, ratio
 from meterlake.operators import context, dedupe, pricing, sequence
-from meterlake.plans.adapter import WINDOW, calendar, in_window, read, usage_events
+from meterlake.plans.adapter import calendar, in_window, read, usage_events, window_of
 
 COUNTERS = ("input", "output", "cache_read", "cache_creation")
 
@@ -17,7 +17,7 @@ def _u(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _w(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return in_window(usage_events(spark, sf_dir), WINDOW)
+    return in_window(usage_events(spark, sf_dir), window_of(sf_dir))
 
 
 def _sum(c: str, name: str | None = None) -> Column:
@@ -30,7 +30,7 @@ def total_usage(spark, sf_dir):
 
 def daily_usage(spark, sf_dir):
     daily = _w(spark, sf_dir).groupBy("d").agg(*[_sum(c) for c in (*COUNTERS, "volume")])
-    return calendar(spark, WINDOW).join(daily, "d", "left").na.fill(0, [*COUNTERS, "volume"])
+    return calendar(spark, window_of(sf_dir)).join(daily, "d", "left").na.fill(0, [*COUNTERS, "volume"])
 
 
 def hourly_profile(spark, sf_dir):
@@ -75,9 +75,9 @@ def cost_by_model(spark, sf_dir):
 
 def cost_trailing(spark, sf_dir):
     days = _priced(spark, sf_dir)
-    age = F.date_diff(F.lit(WINDOW.end), F.col("d"))
+    age = F.date_diff(F.lit(window_of(sf_dir).end), F.col("d"))
     # windows that are not shorter than the period are not shown
-    trailing = [F.round(F.sum(F.when(age < n, F.col("usd"))) if n < WINDOW.days else F.lit(None).cast("double"), 6).alias(f"usd_{n}d") for n in (1, 7, 30)]
+    trailing = [F.round(F.sum(F.when(age < n, F.col("usd"))) if n < window_of(sf_dir).days else F.lit(None).cast("double"), 6).alias(f"usd_{n}d") for n in (1, 7, 30)]
     return days.agg(*trailing, F.round(F.sum("usd"), 6).alias("usd_period"))
 
 
@@ -124,8 +124,8 @@ def recent_window(spark, sf_dir):
 
 
 def previous_window_delta(spark, sf_dir):
-    now = F.col("d").between(F.lit(WINDOW.start), F.lit(WINDOW.end))
-    before = (F.col("d") >= F.lit(WINDOW.prev_start)) & (F.col("d") < F.lit(WINDOW.start))
+    now = F.col("d").between(F.lit(window_of(sf_dir).start), F.lit(window_of(sf_dir).end))
+    before = (F.col("d") >= F.lit(window_of(sf_dir).prev_start)) & (F.col("d") < F.lit(window_of(sf_dir).start))
     sums = _u(spark, sf_dir).groupBy("provider").agg(F.sum(F.when(now, F.col("volume")).otherwise(0)).alias("volume"), F.sum(F.when(before, F.col("volume")).otherwise(0)).alias("previous"))
     return sums.withColumn("delta_percent", F.when(F.col("previous") > 0, F.round((F.col("volume") - F.col("previous")) * 100.0 / F.col("previous"), 0)))
 
@@ -164,7 +164,7 @@ def peak_active_day(spark, sf_dir):
 
 def credits_history(spark, sf_dir):
     daily = _w(spark, sf_dir).where("provider = 'opencode'").groupBy("d").agg((F.sum(F.col("k") * 1000000) / 1e9).alias("credits"))
-    days = calendar(spark, WINDOW).join(daily, "d", "left").na.fill(0.0, ["credits"])
+    days = calendar(spark, window_of(sf_dir)).join(daily, "d", "left").na.fill(0.0, ["credits"])
     # the earliest of equal days
     peak = days.agg(F.max_by("d", F.struct("credits", -F.unix_date("d"))).alias("peak"))
     return days.join(F.broadcast(peak), F.col("d") == F.col("peak"), "left").select("d", F.round("credits", 6).alias("credits"), F.col("peak").isNotNull().alias("is_peak"))
@@ -174,13 +174,13 @@ def limits_history(spark, sf_dir):
     w = _w(spark, sf_dir).where("provider = 'codex'")
     samples = w.where("k % 9 = 0 and day(d) % 3 <> 0").groupBy("d").agg(F.max(F.col("k").cast("double")).alias("used"))
     used = w.where("volume > 0 and day(d) % 7 <> 0").select("d", F.lit(True).alias("active")).distinct()
-    days = calendar(spark, WINDOW).join(samples, "d", "left").join(used, "d", "left")
+    days = calendar(spark, window_of(sf_dir)).join(samples, "d", "left").join(used, "d", "left")
     return days.select("d", "used", F.when(F.col("used").isNotNull(), "measured").when(F.col("active"), "no_sample").otherwise("no_use").alias("state"))
 
 
 def _lengths(spark, sf_dir):
     # turn lengths alone keep undated rows
-    w = in_window(_u(spark, sf_dir), WINDOW, undated=True)
+    w = in_window(_u(spark, sf_dir), window_of(sf_dir), undated=True)
     return w.withColumn("active_ms", F.greatest(F.col("duration_ms") - F.col("wait_ms"), F.lit(0))).where("active_ms > 0")
 
 
@@ -201,7 +201,7 @@ def turn_buckets(spark, sf_dir):
 def pace_stats(spark, sf_dir):
     line = Window.partitionBy("session_id").orderBy("at", "ordinal")
     gaps = _u(spark, sf_dir).withColumn("gap_ms", F.timestamp_diff("MILLISECOND", F.lag("at").over(line), F.col("at")))
-    gaps = in_window(gaps, WINDOW).where("gap_ms > 0 and gap_ms <= 1800000")
+    gaps = in_window(gaps, window_of(sf_dir)).where("gap_ms > 0 and gap_ms <= 1800000")
     return gaps.agg(F.count("*").alias("gaps"), nearest_rank("gap_ms", 50).alias("p50"), nearest_rank("gap_ms", 90).alias("p90"), F.expr("sum(gap_ms) div count(*)").alias("mean"))
 
 
@@ -214,12 +214,12 @@ def heat_levels(spark, sf_dir):
 
 
 def context_calls(spark, sf_dir):
-    calls = in_window(context.classify(_u(spark, sf_dir)), WINDOW)
+    calls = in_window(context.classify(_u(spark, sf_dir)), window_of(sf_dir))
     return calls.groupBy("provider", "reason").agg(F.count("*").alias("calls"), _sum("uncached"), F.sum("cache_read").alias("cached"))
 
 
 def context_bands(spark, sf_dir):
-    calls = in_window(context.classify(_u(spark, sf_dir)), WINDOW)
+    calls = in_window(context.classify(_u(spark, sf_dir)), window_of(sf_dir))
     rated = calls.join(pricing.resolve(calls, pricing.price_table(spark)), "model", "left")
     return rated.groupBy("band").agg(F.count("*").alias("calls"), _sum("context"), F.sum(context.effective(rated)).alias("effective"))
 
@@ -267,7 +267,7 @@ def bands() -> list[tuple[str, float, float, tuple[str, ...]]]:
 def codename_rank(spark, sf_dir):
     """Rank and step of each provider, and of all (provider null), by tokens for each day of the window."""
     sums = _w(spark, sf_dir).where("volume > 0").groupBy("provider", "d").agg(_sum("volume")).rollup("provider").agg(_sum("volume"), F.countDistinct("d").alias("days"))
-    day = F.col("volume") / float(WINDOW.days)
+    day = F.col("volume") / float(window_of(sf_dir).days)
     rank, name = F.lit("unranked"), F.lit(FLOOR)
     for rung, least, top, steps in reversed(bands()):
         step = F.least(F.floor(F.log(day / least) / F.log(F.lit(top / least)) * len(steps)), F.lit(len(steps) - 1)).cast("int")
@@ -299,7 +299,7 @@ def concurrency_peak(spark, sf_dir):
 
 def streaks(spark, sf_dir):
     runs = sequence.islands(_w(spark, sf_dir).where("volume > 40000"), ["user_id"])
-    return runs.groupBy("user_id").agg(F.max("length").alias("longest"), F.coalesce(F.max(F.when(F.col("last_day") == F.lit(WINDOW.end), F.col("length"))), F.lit(0)).alias("current"))
+    return runs.groupBy("user_id").agg(F.max("length").alias("longest"), F.coalesce(F.max(F.when(F.col("last_day") == F.lit(window_of(sf_dir).end), F.col("length"))), F.lit(0)).alias("current"))
 
 
 def longest_session(spark, sf_dir):
