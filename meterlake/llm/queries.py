@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import chat_format, embedding_dedup, fingerprints, line_dedup, mixing, near_dedup, packing, resampling, substring_dedup, toxicity, twins
+from meterlake.llm import chat_format, embedding_dedup, filter_audit, fingerprints, lexical_search, license_scan, line_dedup, mixing, near_dedup, packing, resampling, substring_dedup, toxicity, twins
 from meterlake.llm._spark import read, shuffle_partitions
 
 
@@ -61,8 +61,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(read(spark, sf_dir, "documents")))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, corpus = lexical_search.build_index(read(spark, sf_dir, "documents"))
+    return lexical_search.search(index, corpus, read(spark, sf_dir, "benchmark"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_fingerprints, op2_chat_formatting, op3_quality_resampling, op4_toxicity, op5_near_dedup, op6_line_dedup, op7_substring_dedup, op8_embedding_dedup, op9_mixing, op10_packing)
+    made = (op1_fingerprints, op2_chat_formatting, op3_quality_resampling, op4_toxicity, op5_near_dedup, op6_line_dedup, op7_substring_dedup, op8_embedding_dedup, op9_mixing, op10_packing, op11_lexical_search, op12_filter_audit, op13_license_scan)
     return {f.__name__: f for f in made}
 
 
@@ -74,4 +87,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_substring_dedup": twins.REPEATS,
         "op8_embedding_dedup": twins.VECTORS,
         "op9_mixing": mixing.oracle(),
+        "op11_lexical_search": lexical_search.oracle(),
+        "op12_filter_audit": filter_audit.ORACLE,
+        "op13_license_scan": license_scan.oracle(),
     }
