@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlake.plans import log_twins, logs, reports, twins
+from meterlake.plans import log_twins, logs, reports, twins, work_logs
 
 
 def _dated(report: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -18,9 +18,14 @@ def _dated(report: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     return run
 
 
+MORE = (work_logs,)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _dated(getattr(reports, name)) for name in twins.BODIES} | {name: _dated(getattr(logs, name)) for name in log_twins.oracle_sql()}
+    found = {name: _dated(getattr(reports, name)) for name in twins.BODIES} | {name: _dated(getattr(logs, name)) for name in log_twins.oracle_sql()}
+    return found | {name: _dated(getattr(module, name)) for module in MORE for name in module.oracle_sql()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: f"SELECT * REPLACE (d::varchar AS d) FROM ({text})" if name in twins.DATED else text for name, text in twins.twins().items()} | log_twins.oracle_sql()
+    found = {name: f"SELECT * REPLACE (d::varchar AS d) FROM ({text})" if name in twins.DATED else text for name, text in twins.twins().items()} | log_twins.oracle_sql()
+    return found | {name: text for module in MORE for name, text in module.oracle_sql().items()}

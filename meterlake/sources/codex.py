@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterlake.functions import command
 from meterlake.functions.scalar import clamp_counter, parse_instant, project_from_cwd, saturating_sub
-from meterlake.sources.text import count_at, number_at, text_at
+from meterlake.sources.text import bounded_json, count_at, number_at, plain_text_at, text_at
 
 COUNTERS = ("input_tokens", "cached_input_tokens", "cache_write_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens")
 
@@ -85,24 +86,127 @@ def usage_events(decoded: DataFrame) -> DataFrame:
 
 
 def rate_limits(decoded: DataFrame) -> DataFrame:
+    """Samples of the primary limit; a replayed one shares the key of counters, percent and window."""
     v = F.col("v")
     used = number_at(v, "$.payload.rate_limits.primary.used_percent")
     counts = decoded.where("not copied and type = 'event_msg' and at is not null").where(text_at(v, "$.payload.type") == "token_count").where(used.isNotNull())
-    return counts.select("path", "pos", "at", "session_id", F.least(F.greatest(used, F.lit(0.0)), F.lit(100.0)).alias("used_percent"))
+    percent = F.least(F.greatest(used, F.lit(0.0)), F.lit(100.0))
+    known = lambda p: F.when(count_at(v, f"{p}.total_tokens").isNotNull(), _fingerprint(v, p))
+    window = [clamp_counter(count_at(v, f"$.payload.rate_limits.primary.{c}")).cast("string") for c in ("window_minutes", "resets_at")]
+    state = F.concat(F.lit("codex-limit:v2:"), "session_id", F.lit(":"), known("$.payload.info.last_token_usage"), F.lit(":"), known("$.payload.info.total_token_usage"), F.lit(":"), percent.cast("string"), F.lit(":"), window[0], F.lit(":"), window[1])
+    return counts.select("path", "pos", "at", "session_id", percent.alias("used_percent"), F.coalesce(state, _positional("codex-limit")).alias("dedupe_key"))
+
+
+def _positional(prefix: str) -> Column:
+    """Session, instant and line: stable for copies of whole files."""
+    return F.concat(F.lit(f"{prefix}:"), "session_id", F.lit(":"), F.unix_micros("at").cast("string"), F.lit(":"), F.col("line_index").cast("string"))
+
+
+# Payload types that begin or end a turn, and item types that are the model's own.
+LIFECYCLE = ("task_started", "turn_aborted", "task_complete")
+MODEL_ITEMS = ("Reasoning", "AgentMessage", "ContextCompaction", "UserMessage")
+# Fixed value: a longer pause before a prompt is absence, in microseconds.
+ABSENCE = 30 * 60 * 1_000_000
+
+
+def messages(decoded: DataFrame) -> DataFrame:
+    """Narrow rows of the event messages that turns and paces are made of; worth storing before both."""
+    v = F.col("v")
+    own = decoded.where("not copied and type = 'event_msg'").select("path", "pos", "at", "session_id", text_at(v, "$.payload.type").alias("kind"), "v")
+    own = own.where(F.col("kind").isin(*LIFECYCLE, "item_completed", "user_message"))
+    return own.select(
+        "path", "pos", "at", "session_id", "kind", count_at(v, "$.payload.duration_ms").alias("duration_ms"), count_at(v, "$.payload.started_at_ms").alias("start"), count_at(v, "$.payload.completed_at_ms").alias("end"),
+        text_at(v, "$.payload.item.id").alias("item_id"), text_at(v, "$.payload.item.type").alias("item_type"),
+    )
+
+
+def turns(told: DataFrame) -> DataFrame:
+    """Completed turns of :func:`messages`: reported length, and model time as the length less the union of tool items.
+
+    A start, an abort or a completion ends the turn before it, unless a later one was seen
+    earlier in the file: then it is a replay, as is an item older than the latest of them. An
+    item counts once a file, by its id, in the turn that is open where it stands. A turn
+    without items has no model time; a completion without a length ends its turn and has no row.
+    The union is a running maximum of ends by start, so a turn may have any number of items.
+    """
+    line = Window.partitionBy("path").orderBy("pos")
+    before = line.rowsBetween(Window.unboundedPreceding, -1)
+    marks = F.col("kind").isin(*LIFECYCLE)
+    rows = told.where("kind <> 'user_message'").withColumn("newest", F.max(F.when(marks, F.col("at"))).over(before))
+    rows = rows.withColumn("ends", marks & (F.col("at").isNull() | F.col("newest").isNull() | (F.col("at") > F.col("newest"))))
+    rows = rows.withColumn("turn", F.coalesce(F.count_if("ends").over(before), F.lit(0)))
+    done = rows.where("ends and kind = 'task_complete' and duration_ms is not null").select("path", "turn", "pos", "at", "session_id", "duration_ms")
+    items = rows.where("kind = 'item_completed' and start is not null and end is not null").where(F.coalesce(F.col("at") >= F.col("newest"), F.lit(True)))
+    again = F.row_number().over(Window.partitionBy("path", "item_id").orderBy("pos"))
+    named = items.where("item_id is not null").withColumn("nth", again).where("nth = 1").drop("nth")
+    items = named.unionByName(items.where("item_id is null"))
+    tool = ~F.coalesce(F.col("item_type").isin(*MODEL_ITEMS), F.lit(False)) & (F.col("end") > F.col("start"))
+    spans = items.select("path", "turn", F.when(tool, F.col("start")).alias("start"), F.when(tool, F.col("end")).alias("end"))
+    reach = F.max("end").over(Window.partitionBy("path", "turn").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    covered = F.greatest(F.col("end") - F.greatest("start", F.coalesce("reach", "start")), F.lit(0))
+    busy = spans.withColumn("reach", reach).groupBy("path", "turn").agg(F.coalesce(F.sum(covered), F.lit(0)).alias("tool_ms"))
+    out = done.join(busy, ["path", "turn"], "left").withColumn("model_ms", saturating_sub(F.col("duration_ms"), F.col("tool_ms")))
+    return out.select("path", "pos", "at", "session_id", "duration_ms", F.lit(0).cast("long").alias("wait_ms"), F.when(F.col("tool_ms").isNotNull(), F.col("model_ms")).alias("model_ms"), F.lit("task_complete").alias("status"), F.lit(None).cast("string").alias("dedupe_key"))
+
+
+def paces(told: DataFrame) -> DataFrame:
+    """Of :func:`messages`, pauses from a completion to the next prompt, of 30 minutes at most; a completion pairs once.
+
+    A completion that is not later than all before it in the file is a replay. A prompt that
+    is not later than the pending completion, or too late, leaves it pending.
+    """
+    line = Window.partitionBy("path").orderBy("pos")
+    rows = told.where("at is not null and kind in ('task_complete', 'user_message')").select("path", "pos", "at", "session_id", "kind")
+    over = F.when(F.col("kind") == "task_complete", F.col("at"))
+    rows = rows.withColumn("newest", F.max(over).over(line.rowsBetween(Window.unboundedPreceding, -1)))
+    gap = F.unix_micros("at") - F.unix_micros("newest")
+    prompts = rows.where("kind = 'user_message'").withColumn("gap", gap).where((F.col("gap") > 0) & (F.col("gap") <= ABSENCE))
+    # between two later completions ``newest`` is the pending one
+    first = prompts.withColumn("nth", F.row_number().over(Window.partitionBy("path", "newest").orderBy("pos"))).where("nth = 1")
+    key = F.concat(F.lit("codex-pace:"), "session_id", F.lit(":"), F.unix_micros("at").cast("string"))
+    return first.select("path", "pos", "at", "session_id", F.floor(F.col("gap") / 1000).alias("gap_ms"), key.alias("dedupe_key"))
 
 
 def durations(decoded: DataFrame) -> DataFrame:
     """Completed turns with their reported length; aborted ones have none."""
+    return turns(messages(decoded)).select("path", "pos", "at", "session_id", "duration_ms").where("duration_ms > 0")
+
+
+def interrupts(decoded: DataFrame) -> DataFrame:
+    """Turns that the user aborted; only those with a session and a turn id."""
     v = F.col("v")
-    done = decoded.where("not copied and type = 'event_msg'").where(text_at(v, "$.payload.type") == "task_complete")
-    return done.select("path", "pos", "at", "session_id", count_at(v, "$.payload.duration_ms").alias("duration_ms")).where("duration_ms > 0")
+    cut = decoded.where("not copied and type = 'event_msg' and session_id is not null").where((text_at(v, "$.payload.type") == "turn_aborted") & (text_at(v, "$.payload.reason") == "interrupted"))
+    return cut.select("path", "pos", "at", F.concat(F.lit("codex-interrupt:v2:"), "session_id", F.lit(":"), text_at(v, "$.payload.turn_id")).alias("dedupe_key")).where("dedupe_key is not null")
+
+
+def touches(decoded: DataFrame) -> DataFrame:
+    return decoded.where("not copied and at is not null and session_id is not null").select("path", "pos", "at", "session_id")
 
 
 def tool_events(decoded: DataFrame) -> DataFrame:
+    """Tool calls; a shell wrapper's is named by the command that it runs."""
     v = F.col("v")
-    calls = decoded.where("not copied and type = 'response_item'")
-    name = text_at(v, "$.payload.name")
-    return calls.select("path", "pos", "at", "session_id", name.alias("tool_name"), F.concat(F.lit("tool:"), text_at(v, "$.payload.call_id")).alias("dedupe_key")).where("tool_name is not null")
+    calls = decoded.where("not copied and type = 'response_item'").select("path", "pos", "at", "session_id", "agent", "line_index", text_at(v, "$.payload.name").alias("name"), text_at(v, "$.payload.call_id").alias("call"), plain_text_at(v, "$.payload.arguments").alias("arguments"))
+    inner = bounded_json(F.when(F.col("name").isin(*command.WRAPPERS), F.col("arguments")))
+    calls = calls.where("name is not null").withColumn("tool_name", F.coalesce(command.command_name(inner), "name"))
+    place = F.concat_ws(":", "path", F.col("line_index").cast("string"), "tool_name")
+    kind = F.when(F.col("agent").isNull(), "main").otherwise("subagent")
+    return calls.select("path", "pos", "at", "session_id", "tool_name", F.lit(None).cast("string").alias("subagent_type"), kind.alias("source_kind"), F.coalesce(F.concat(F.lit("tool:"), "call"), place).alias("dedupe_key"))
+
+
+def _contexts(decoded: DataFrame, field: str, name: str, prefix: str) -> DataFrame:
+    v = F.col("v")
+    found = decoded.where("not copied and type = 'turn_context'").withColumn(name, text_at(v, f"$.payload.{field}")).where(F.col(name).isNotNull())
+    turn = F.concat(F.lit(f"{prefix}:v2:"), "session_id", F.lit(":"), text_at(v, "$.payload.turn_id"))
+    return found.select("path", "pos", "at", "session_id", name, F.coalesce(turn, _positional(prefix)).alias("dedupe_key"))
+
+
+def efforts(decoded: DataFrame) -> DataFrame:
+    return _contexts(decoded, "effort", "effort", "codex-effort")
+
+
+def permissions(decoded: DataFrame) -> DataFrame:
+    return _contexts(decoded, "approval_policy", "mode", "codex-permission")
 
 
 def efforts_and_permissions(decoded: DataFrame) -> DataFrame:

@@ -27,12 +27,17 @@ def read_lines(spark: SparkSession, roots: list[str], pattern: str = "*.jsonl",
     return lines.select(F.col("_metadata.file_path").alias("path"), pos.alias("pos"), F.col("value").alias("line"))
 
 
+def bounded_json(line: Column) -> Column:
+    """The variant of a JSON text: null if blank, overlong, overly nested or malformed."""
+    # two plain passes: one pattern for escapes and strings recurses for each character of a long text
+    bare = F.regexp_replace(F.regexp_replace(line, r"\\[\s\S]", ""), '"[^"]*"', "")
+    marks = F.length(bare) - F.length(F.translate(bare, "[]{},:", ""))
+    return F.when((F.octet_length(line) <= LINE_BYTES) & (marks <= STRUCTURE) & (F.trim(line) != ""), F.try_parse_json(line))
+
+
 def parse(lines: DataFrame) -> DataFrame:
     """Adds the variant ``v``: null for blank, overlong, overly nested and malformed lines."""
-    bare = F.regexp_replace("line", r'"(\\.|[^"\\])*"', "")
-    marks = F.length(bare) - F.length(F.translate(bare, "[]{},:", ""))
-    fine = (F.octet_length("line") <= LINE_BYTES) & (marks <= STRUCTURE) & (F.trim("line") != "")
-    return lines.withColumn("v", F.when(fine, F.try_parse_json("line")))
+    return lines.withColumn("v", bounded_json(F.col("line")))
 
 
 def scan_stats(parsed: DataFrame) -> DataFrame:
@@ -58,6 +63,11 @@ def text_at(v: Column, path: str, most: int = ID_BYTES) -> Column:
     return bounded(non_empty(value), most)
 
 
+def plain_text_at(v: Column, path: str) -> Column:
+    """A JSON string of any length."""
+    return F.when(_kind(v, path) == "STRING", F.try_variant_get(v, path, "string"))
+
+
 def count_at(v: Column, path: str) -> Column:
     """A JSON integer from 0 to 2**63 - 1; fractions, texts and negatives are none."""
     value = F.when(_kind(v, path) == "BIGINT", F.try_variant_get(v, path, "bigint"))
