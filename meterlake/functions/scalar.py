@@ -30,8 +30,9 @@ def saturating_sub(a: Column, b: Column) -> Column:
 
 
 def saturating_sum(value: Column) -> Column:
-    """Sum of non-negative counters that stops at the largest unsigned 64-bit number."""
-    return F.least(F.sum(value.cast("decimal(20,0)")), F.lit(str(U64_MOST)).cast("decimal(38,0)"))
+    """Sum of non-negative counters that stops at the largest unsigned 64-bit number; null without any."""
+    total, most = F.sum(value.cast("decimal(20,0)")), F.lit(str(U64_MOST)).cast("decimal(38,0)")
+    return F.when(total < most, total.cast("decimal(38,0)")).when(total.isNotNull(), most)
 
 
 def plausible(instant: Column) -> Column:

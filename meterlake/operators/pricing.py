@@ -20,7 +20,7 @@ RATES = [
 ]
 RATE_COLUMNS = "price_model string, r_in double, r_out double, r_read double, r_5m double, r_1h double, tier long, t_in double, t_out double, t_read double, t_5m double, t_1h double"
 # Names that stand for one default model.
-ALIASES = {"codex": "gpt-5.5", "openai": "gpt-5.5", "codex-auto-review": "gpt-5.5"}
+ALIASES = {"codex": "gpt-6.1-sol", "openai": "gpt-6.1-sol", "codex-auto-review": "gpt-6.1-sol"}
 
 
 def price_table(spark: SparkSession) -> DataFrame:

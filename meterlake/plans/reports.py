@@ -221,7 +221,15 @@ def context_calls(spark, sf_dir):
 def context_bands(spark, sf_dir):
     calls = in_window(context.classify(_u(spark, sf_dir)), window_of(sf_dir))
     rated = calls.join(pricing.resolve(calls, pricing.price_table(spark)), "model", "left")
-    return rated.groupBy("band").agg(F.count("*").alias("calls"), _sum("context"), F.sum(context.effective(rated)).alias("effective"))
+    return rated.groupBy("band").agg(F.count("*").alias("calls"), _sum("context"), F.sum(context.effective(rated)[1]).alias("effective"))
+
+
+def context_summary(spark, sf_dir):
+    """Context of each provider: bands of cached, reasons of uncached tokens, and the remainder."""
+    usage, prices = _u(spark, sf_dir), pricing.price_table(spark)
+    rated = lambda rows: rows.join(pricing.resolve(rows, prices), "model", "left")
+    made = context.summary(rated(in_window(context.classify(usage), window_of(sf_dir))), rated(in_window(context.others(usage), window_of(sf_dir))))
+    return made.select(*[F.col(c).cast("string") if kind.startswith("decimal") else F.col(c) for c, kind in made.dtypes])
 
 
 def context_merged(spark, sf_dir):

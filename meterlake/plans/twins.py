@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from meterlake.operators.context import BANDS
 from meterlake.operators.pricing import RATES
 from meterlake.plans.adapter import USAGE_SQL
 from meterlake.plans.reports import LAST_STEP, bands
@@ -18,7 +19,7 @@ PRICES = (
 )
 RESOLVE = r"""
 normal AS (SELECT DISTINCT model, regexp_replace(trim(split_part(split_part(lower(model), '[', 1), '(', 1)), '\s+', '-', 'g') AS n FROM names),
-named AS (SELECT model, CASE WHEN n IN ('codex', 'openai', 'codex-auto-review') THEN 'gpt-5.5' ELSE n END AS name FROM normal),
+named AS (SELECT model, CASE WHEN n IN ('codex', 'openai', 'codex-auto-review') THEN 'gpt-6.1-sol' ELSE n END AS name FROM normal),
 met AS (
   SELECT model, p.*, length(price_model) + CASE WHEN name = price_model OR (starts_with(name, price_model) AND regexp_matches(substr(name, length(price_model) + 1), '^-(latest|[0-9])')) THEN 1000 ELSE 0 END AS score
   FROM named JOIN prices p ON name = price_model OR (starts_with(name, price_model) AND regexp_matches(substr(name, length(price_model) + 1), '^-(latest|[0-9])'))
@@ -46,10 +47,22 @@ m AS (SELECT *, input + cache_creation + cache_read AS context, input + cache_cr
 g AS (SELECT *, row_number() OVER (PARTITION BY provider, session_id ORDER BY [at], ordinal) AS n,
   date_diff('microsecond', lag([at]) OVER (PARTITION BY provider, session_id, model ORDER BY [at], ordinal), [at]) AS gap,
   CASE provider WHEN 'claude' THEN 60 WHEN 'codex' THEN 30 ELSE CASE WHEN contains(lower(model), 'claude') THEN 60 WHEN regexp_matches(lower(model), '^(gpt|codex|o1|o3|o4)') THEN 30 END END AS keep FROM m),
-c AS (SELECT *, CASE WHEN n = 1 THEN 'cold_start' WHEN uncached * 2 >= context AND gap >= keep * 60000000::bigint THEN 'expired' ELSE 'uncached' END AS reason,
+c AS (SELECT *, CASE WHEN session_id IS NULL THEN 'uncached' WHEN n = 1 THEN 'cold_start' WHEN uncached * 2 >= context AND gap >= keep * 60000000::bigint THEN 'expired' ELSE 'uncached' END AS reason,
   CASE WHEN context < 100000 THEN '<100K' WHEN context < 200000 THEN '100-200K' WHEN context < 500000 THEN '200-500K' ELSE '500K+' END AS band FROM g WHERE true),
 cw AS (SELECT * FROM c WHERE d BETWEEN DATE '2024-01-17' AND DATE '2024-01-30')
 """
+WEIGHED = f"""{PRICES}, names AS (SELECT model FROM u), {RESOLVE}, a AS (
+  SELECT provider, model, context, cache_read, input, cache_creation, w5m, w1h, band, reason FROM cw
+  UNION ALL SELECT provider, model, input + cache_creation + cache_read, cache_read, input, cache_creation, w5m, w1h, NULL, 'rest' FROM w WHERE NOT (source_kind = 'main' AND granularity = 'call') AND input + cache_creation + cache_read > 0
+), x AS (
+  SELECT a.*, w5m + w1h > 0 AND w5m + w1h <= cache_creation AS split,
+    CASE WHEN r_in > 0 AND r_read / r_in BETWEEN 0 AND 10 THEN r_read / r_in ELSE 0.1::double END AS m_read,
+    CASE WHEN r_in > 0 AND r_5m / r_in BETWEEN 0 AND 10 THEN r_5m / r_in ELSE 1.25::double END AS m_5m,
+    CASE WHEN r_in > 0 AND r_1h / r_in BETWEEN 0 AND 10 THEN r_1h / r_in ELSE 2.0::double END AS m_1h
+  FROM a LEFT JOIN rates USING (model)
+), r AS (
+  SELECT *, input + round(CASE WHEN split THEN cache_creation - w1h ELSE cache_creation END * m_5m)::bigint + round(CASE WHEN split THEN w1h ELSE 0 END * m_1h)::bigint AS new, round(cache_read * m_read)::bigint AS old FROM x
+)"""
 LENGTHS = "t AS (SELECT *, greatest(duration_ms - wait_ms, 0) AS active_ms FROM u WHERE (d IS NULL OR d BETWEEN DATE '2024-01-17' AND DATE '2024-01-30') AND greatest(duration_ms - wait_ms, 0) > 0)"
 SPANS = "spans AS (SELECT session_id, d, min([at]) AS first_at, max([at]) AS last_at FROM w GROUP BY session_id, d)"
 SWEPT = f"""
@@ -123,17 +136,16 @@ BODIES = {
     "pace_stats": "SELECT count(*) AS gaps, quantile_disc(g, 0.5) AS p50, quantile_disc(g, 0.9) AS p90, (sum(g) // count(*))::bigint AS mean FROM (SELECT d, date_diff('microsecond', lag([at]) OVER (PARTITION BY session_id ORDER BY [at], ordinal), [at]) // 1000 AS g FROM u) WHERE d BETWEEN DATE '2024-01-17' AND DATE '2024-01-30' AND g > 0 AND g <= 1800000",
     "heat_levels": "SELECT d, volume, (CASE WHEN volume = 0 THEN 0 ELSE 1 + (volume > v[(len(v) - 1) // 4 + 1])::int + (volume > v[(len(v) - 1) * 2 // 4 + 1])::int + (volume > v[(len(v) - 1) * 3 // 4 + 1])::int END)::int AS level FROM (SELECT cal.d, coalesce(sum(volume), 0)::bigint AS volume FROM cal LEFT JOIN w USING (d) GROUP BY cal.d), (SELECT list(x ORDER BY x) AS v FROM (SELECT sum(volume)::bigint AS x FROM w GROUP BY d HAVING sum(volume) > 0))",
     "context_calls": ("context", "SELECT provider, reason, count(*) AS calls, sum(uncached)::bigint AS uncached, sum(cache_read)::bigint AS cached FROM cw GROUP BY provider, reason"),
-    "context_bands": (
+    "context_bands": ("context", f""", {WEIGHED} SELECT band, count(*) AS calls, sum(context)::bigint AS context, sum(old)::bigint AS effective FROM r WHERE reason <> 'rest' GROUP BY band"""),
+    "context_summary": (
         "context",
-        f""", {PRICES}, names AS (SELECT model FROM cw), {RESOLVE}, r AS (
-          SELECT cw.*, w5m + w1h > 0 AND w5m + w1h <= cache_creation AS split,
-            CASE WHEN r_in > 0 AND r_read / r_in BETWEEN 0 AND 10 THEN r_read / r_in ELSE 0.1::double END AS m_read,
-            CASE WHEN r_in > 0 AND r_5m / r_in BETWEEN 0 AND 10 THEN r_5m / r_in ELSE 1.25::double END AS m_5m,
-            CASE WHEN r_in > 0 AND r_1h / r_in BETWEEN 0 AND 10 THEN r_1h / r_in ELSE 2.0::double END AS m_1h
-          FROM cw LEFT JOIN rates USING (model))
-        SELECT band, count(*) AS calls, sum(context)::bigint AS context,
-          sum(input + round(CASE WHEN split THEN cache_creation - w1h ELSE cache_creation END * m_5m)::bigint + round(CASE WHEN split THEN w1h ELSE 0 END * m_1h)::bigint + round(cache_read * m_read)::bigint)::bigint AS effective
-        FROM r GROUP BY band""",
+        f""", {WEIGHED}, t AS (
+          SELECT provider, sum(context)::bigint AS context_tokens, sum(cache_read)::bigint AS cached_tokens, count(*) FILTER (WHERE reason <> 'rest') AS calls,
+            {", ".join(f"count(*) FILTER (WHERE band = '{b}') AS band{n}_calls, coalesce(sum(old) FILTER (WHERE band = '{b}'), 0)::bigint AS band{n}_cached" for n, (b, _) in enumerate(BANDS))},
+            {", ".join(f"count(*) FILTER (WHERE reason = '{x}') AS {x}_calls, coalesce(sum(new) FILTER (WHERE reason = '{x}'), 0)::bigint AS {x}_tokens" for x in ("cold_start", "expired", "uncached"))},
+            coalesce(sum(new + old) FILTER (WHERE reason = 'rest'), 0)::bigint AS unclassified_tokens, sum(new + old)::bigint AS effective_tokens
+          FROM r GROUP BY provider)
+        SELECT * REPLACE ({", ".join(f"{c}::varchar AS {c}" for c in ("context_tokens", "cached_tokens", *[f"band{n}_cached" for n in range(4)], "cold_start_tokens", "expired_tokens", "uncached_tokens", "unclassified_tokens", "effective_tokens"))}) FROM t""",
     ),
     "context_merged": ("context", "SELECT reason, count(*) AS calls, sum(uncached)::bigint AS uncached, sum(cache_read)::bigint AS cached FROM cw GROUP BY reason"),
     "models_by_label": "SELECT CASE model WHEN 'claude-opus-4-8' THEN 'Opus 4.8' WHEN 'claude-haiku-5-5' THEN 'Haiku 5.5' WHEN 'claude-sonnet-4-5-20250929' THEN 'Sonnet 4.5' WHEN 'gpt-6.1-sol' THEN 'GPT-6.1 Sol' ELSE 'Other' END AS label, sum(volume)::bigint AS volume FROM w WHERE volume > 0 GROUP BY 1",

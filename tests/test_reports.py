@@ -1,5 +1,6 @@
 import json
 import random
+from datetime import datetime
 
 import pytest
 from meterlake.functions import scalar
@@ -58,7 +59,7 @@ def test_sweep(spark, rows, peak, levels):
 def test_price_keys(spark):
     models = spark.createDataFrame([("claude-opus-4-8-latest",), ("claude-opus-4-8-20260101",), ("claude-opus-4-8-fast",), ("claude-opus-4-80",), ("gpt-5-5",), ("codex",), ("Claude-Opus-4-8[1m]",), ("GPT-5.5 (fast)",), (None,)], "model string")
     got = {r.model: r.price_model for r in pricing.resolve(models, pricing.price_table(spark)).collect()}
-    assert got == {"claude-opus-4-8-latest": "claude-opus-4-8", "claude-opus-4-8-20260101": "claude-opus-4-8", "claude-opus-4-8-fast": None, "claude-opus-4-80": None, "gpt-5-5": None, "Claude-Opus-4-8[1m]": "claude-opus-4-8", "GPT-5.5 (fast)": "gpt-5.5", "codex": "gpt-5.5", None: None}
+    assert got == {"claude-opus-4-8-latest": "claude-opus-4-8", "claude-opus-4-8-20260101": "claude-opus-4-8", "claude-opus-4-8-fast": None, "claude-opus-4-80": None, "gpt-5-5": None, "Claude-Opus-4-8[1m]": "claude-opus-4-8", "GPT-5.5 (fast)": "gpt-5.5", "codex": "gpt-6.1-sol", None: None}
 
 
 def test_cost_of_a_call_and_its_tier(spark):
@@ -133,3 +134,28 @@ def test_ordered_turn_lengths_cover_all_users_and_undated_turns(spark, tmp_path)
     got = catalogue.queries()["ordered_turn_lengths"](spark, str(tmp_path)).collect()
     want = {("s7", 1, "2024-01-18 10:00:00"), ("s7", 2, "2024-01-20 10:00:00"), ("s7", 3, "None"), ("s4000", 1, "2024-01-21 10:00:00"), ("s4000", 2, "None")}
     assert len(got) == 5 and {(r.session_id, r.n, str(r["at"])) for r in got} == want
+
+
+def test_calls_without_session_are_uncached_and_totals_are_checked(spark):
+    """Null sessions have no cold start and never expire; sums beyond 64 bits drop the breakdown."""
+    at = lambda h: datetime(2026, 1, 1, h)
+    call = ("main", "call")
+    rows = [
+        ("claude", None, "m", at(1), 1, 100, 0, 900, *call), ("claude", None, "m", at(5), 2, 900, 0, 0, *call), ("claude", "s", "m", at(1), 3, 10, 0, 990, *call), ("claude", "s", "m", at(5), 4, 700, 0, 300, *call),
+        ("claude", "s", "m", at(6), 5, 50, 0, 0, "subagent", "call"), ("claude", "s", "m", None, 6, 50, 0, 0, *call), ("agy", None, "x", at(1), 7, 1000, 0, 0, *call), ("big", "s", "m", at(1), 8, 1 << 62, 0, 0, *call), ("big", "s", "m", at(2), 9, 1 << 62, 0, 0, *call),
+        ("big", "s", "m", at(2), 10, 1 << 62, 0, 0, *call), ("big", "s", "m", at(2), 11, 1 << 62, 0, 0, *call),
+    ]
+    frame = spark.createDataFrame(rows, "provider string, session_id string, model string, at timestamp, ordinal long, input long, cache_creation long, cache_read long, source_kind string, granularity string")
+    frame = frame.withColumns({"w5m": F.lit(0).cast("long"), "w1h": F.lit(0).cast("long")})
+    reasons = {r.ordinal: r.reason for r in context.classify(frame).collect()}
+    assert reasons == {1: "uncached", 2: "uncached", 3: "cold_start", 4: "expired", 7: "uncached", 8: "cold_start", 9: "uncached", 10: "uncached", 11: "uncached"}
+    rates = {f"r_{c}": F.lit(None).cast("double") for c in ("in", "out", "read", "5m", "1h")}
+    got = {r.provider: r for r in context.summary(context.classify(frame).withColumns(rates), context.others(frame).withColumns(rates)).collect()}
+    c = got["claude"]
+    assert (c.calls, c.context_tokens, c.cached_tokens, c.unclassified_tokens) == (4, 3950, 2190, 50)
+    assert (c.band0_calls, c.band0_cached, c.cold_start_calls, c.cold_start_tokens, c.expired_calls, c.expired_tokens, c.uncached_calls, c.uncached_tokens) == (4, 219, 1, 10, 1, 700, 2, 1000)
+    assert c.effective_tokens == 219 + 10 + 700 + 1000 + 50
+    a = got["agy"]
+    assert (a.cold_start_calls, a.expired_calls, a.uncached_tokens, a.effective_tokens) == (None, None, 1000, 1000)
+    b = got["big"]
+    assert b.effective_tokens == 2**64 - 1 and b.cold_start_calls is None and (b.band3_calls, b.uncached_calls, b.uncached_tokens) == (0, 0, 0) and b.context_tokens == 2**64 - 1
