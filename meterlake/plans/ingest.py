@@ -8,8 +8,6 @@ folders of logs; the result stands in for the folder of a report::
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -17,10 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.functions.scalar import local_time
+from meterlake.functions.tables import shared_folder, stored
 from meterlake.operators import dedupe
 from meterlake.plans.adapter import Stream, Window
 from meterlake.sources import claude, codex, text, updates
 
+__all__ = ["AGENTS", "dated", "shared_folder", "stored", "united", "usage_stream"]
+
 COUNTERS = ("input", "output", "cache_read", "cache_creation", "w5m", "w1h")
 METADATA = ("session_id", "model", "project", "source_kind", "agent", "skill")
 
@@ -48,23 +49,6 @@ def _even(events: DataFrame, provider: str) -> DataFrame:
     return events.select(F.lit(provider).alias("provider"), "path", "pos", "at", "dedupe_key", "granularity", "volume", *columns)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one in a local session without it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-logs-")
-    return f"{folder.rstrip('/')}/logs-{uuid.uuid4().hex}"
-
-
-def stored(rows: DataFrame) -> DataFrame:
-    """The rows as a table, so that logs are parsed once and merges have a short plan."""
-    folder = shared_folder(rows.sparkSession)
-    rows.write.parquet(folder)
-    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
-
-
 def united(lines: dict[str, DataFrame], home: str) -> DataFrame:
     """Usage of all agents, replayed records merged: one row for each provider and key.
 

@@ -1,24 +1,33 @@
 """A Spark data source over SQLite stores: one partition a store, opened read-only.
 
-Options: ``table``; columns come from the schema given to the reader. ``time_column``
-with ``since`` is pushed into the store. Stores are opened without trusting their schema;
-views, virtual tables and generated columns are refused, and a store that takes longer
-than ``seconds`` or returns more than ``most_bytes`` ends its partition early.
+Options: ``table``; columns come from the schema given to the reader, followed by ``store``,
+``pos`` (the row's place in the table) and ``problem``. ``time_column`` with ``since`` is pushed
+into the store. Stores are opened without trusting their schema; views, virtual tables and
+generated columns are refused, and a store that takes longer than ``seconds`` or returns more
+than ``most_bytes`` ends its partition early. Whatever is lost that way is told: the rows read
+so far are followed by one row that has nothing but the store and the problem, which
+:func:`losses` counts. A store without the table is complete and tells nothing.
 """
 
 from __future__ import annotations
 
+import os
 import sqlite3
 import time
 from collections.abc import Iterator
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 # Limits of a store.
 SECONDS, VALUE_BYTES, STORE_BYTES = 30, 64 << 20, 1 << 30
+OWN = ("store", "pos", "problem")
+KINDS = {"bigint": (pa.int64(), (int,)), "double": (pa.float64(), (int, float)), "binary": (pa.binary(), (bytes,)), "string": (pa.string(), (str,))}
+BATCH = 2000
 
 
 class Store(InputPartition):
@@ -26,58 +35,75 @@ class Store(InputPartition):
         self.path = path
 
 
+class Refused(Exception):
+    """Why a store's table is not read."""
+
+
 class SqliteReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict) -> None:
-        self.columns = [f.name for f in schema.fields if f.name != "store"]
-        self.kinds = {f.name: f.dataType.simpleString() for f in schema.fields}
+        self.columns = [f.name for f in schema.fields if f.name not in OWN]
+        self.kinds = [KINDS[f.dataType.simpleString()] for f in schema.fields if f.name not in OWN]
         self.options = options
 
     def partitions(self) -> list[Store]:
         return [Store(p) for p in self.options["paths"].split("\n") if p]
 
-    def read(self, partition: Store) -> Iterator[tuple]:
+    def read(self, partition: Store) -> Iterator[pa.RecordBatch]:
+        rows, first = [], 0
+        problem = None
+        try:
+            for row in self._rows(partition.path):
+                rows.append(row)
+                if len(rows) == BATCH:
+                    yield self._batch(rows, partition.path, first, None)
+                    rows, first = [], first + BATCH
+        except (sqlite3.Error, Refused, OSError) as e:
+            problem = str(e) or type(e).__name__
+        if rows:
+            yield self._batch(rows, partition.path, first, None)
+        if problem:
+            yield self._batch([(None,) * len(self.columns)], partition.path, first + len(rows), problem)
+
+    def _batch(self, rows: list[tuple], path: str, first: int, problem: str | None) -> pa.RecordBatch:
+        """Values of another type than the column's are null."""
+        columns = [pa.array([x if isinstance(x, kinds) else None for x in column], kind) for (kind, kinds), column in zip(self.kinds, zip(*rows, strict=True), strict=True)]
+        own = [pa.array([path] * len(rows)), pa.array(range(first, first + len(rows)), pa.int64()), pa.array([problem] * len(rows), pa.string())]
+        return pa.record_batch([*columns, *own], [*self.columns, *OWN])
+
+    def _rows(self, path: str) -> Iterator[tuple]:
         table = self.options["table"]
         end = time.monotonic() + float(self.options.get("seconds", SECONDS))
         left = int(self.options.get("most_bytes", STORE_BYTES))
-        try:
-            db = sqlite3.connect(f"file:{partition.path}?mode=ro", uri=True)
-        except sqlite3.Error:
-            return
+        if not os.path.isfile(path):
+            raise Refused("not a file")
+        db = sqlite3.connect(f"file:{quote(path)}?mode=ro", uri=True)
         try:
             db.execute("PRAGMA trusted_schema = OFF")
             db.execute("PRAGMA query_only = ON")
             db.setlimit(sqlite3.SQLITE_LIMIT_LENGTH, VALUE_BYTES)
             db.set_progress_handler(lambda: int(time.monotonic() > end), 10_000)
             kind = db.execute("SELECT type, sql FROM sqlite_master WHERE name = ?", (table,)).fetchone()
-            if kind is None or kind[0] != "table" or "VIRTUAL" in (kind[1] or "").upper().split("(")[0]:
+            if kind is None:
                 return
+            if kind[0] != "table" or "VIRTUAL" in (kind[1] or "").upper().split("(")[0]:
+                raise Refused("no plain table")
             there = {r[1]: r[6] for r in db.execute(f'PRAGMA table_xinfo("{table}")')}
             if any(there.get(c) for c in self.columns):
-                return
+                raise Refused("a generated column")
             picked = ", ".join(f'"{c}"' if c in there else f'NULL AS "{c}"' for c in self.columns)
             where, values = "", ()
             if "since" in self.options and self.options.get("time_column") in there:
                 where, values = f' WHERE "{self.options["time_column"]}" >= ?', (int(self.options["since"]),)
-            for row in db.execute(f'SELECT {picked} FROM "{table}"{where} ORDER BY rowid', values):
+            for row in db.execute(f'SELECT {picked} FROM "{table}"{where}', values):
                 left -= sum(len(x) if isinstance(x, str | bytes) else 8 for x in row)
                 if left < 0:
-                    return
-                yield (*[self._typed(c, x) for c, x in zip(self.columns, row, strict=True)], partition.path)
-        except sqlite3.Error:
-            return
+                    raise Refused("more bytes than a store may return")
+                if time.monotonic() > end:
+                    raise Refused("more time than a store may take")
+                yield row
         finally:
             db.close()
 
-    def _typed(self, column: str, value):
-        kind = self.kinds[column]
-        if kind == "bigint":
-            return value if isinstance(value, int) else None
-        if kind == "double":
-            return float(value) if isinstance(value, int | float) else None
-        if kind == "binary":
-            return value if isinstance(value, bytes) else None
-        return value if isinstance(value, str) else None
-
 
 class SqliteSource(DataSource):
     @classmethod
@@ -85,21 +111,36 @@ class SqliteSource(DataSource):
         return "guarded_sqlite"
 
     def schema(self) -> str:
-        return "store string"
+        return "store string, pos long, problem string"
 
     def reader(self, schema: StructType) -> SqliteReader:
         return SqliteReader(schema, dict(self.options))
 
 
-def read_table(spark: SparkSession, paths: list[str], table: str, schema: str, **options: str) -> DataFrame:
-    """Rows of a table of each store, and the store's path as the last column ``store``."""
+def read_store(spark: SparkSession, paths: list[str], table: str, schema: str, **options: str) -> DataFrame:
+    """Rows of a table of each store, with ``store``, ``pos`` and ``problem`` as last columns."""
     spark.dataSource.register(SqliteSource)
-    reader = spark.read.format("guarded_sqlite").schema(f"{schema}, store string").option("paths", "\n".join(paths)).option("table", table)
+    reader = spark.read.format("guarded_sqlite").schema(f"{schema}, store string, pos long, problem string").option("paths", "\n".join(paths)).option("table", table)
     for key, value in options.items():
         reader = reader.option(key, value)
     return reader.load()
 
 
+def place(pos: Column) -> Column:
+    """A row's place in the form that lines of files have."""
+    return F.struct(F.lit(0).cast("long").alias("block"), pos.cast("long").alias("n"))
+
+
+def losses(rows: DataFrame) -> DataFrame:
+    """Stores of :func:`read_store` that were not read to their end, and why."""
+    return rows.where("problem is not null").select("store", "problem")
+
+
+def read_table(spark: SparkSession, paths: list[str], table: str, schema: str, **options: str) -> DataFrame:
+    """The rows alone, with ``store`` as the last column; use :func:`read_store` where losses matter."""
+    return read_store(spark, paths, table, schema, **options).where("problem is null").drop("pos", "problem")
+
+
 LEDGER = "id string, session_id string, turn_index long, agent_id string, model string, input_tokens long, output_tokens long, cache_read_tokens long, cache_write_tokens long, reasoning_tokens long, total_nano_aiu long, initiator string, created_at string"
 
 

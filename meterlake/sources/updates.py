@@ -18,18 +18,18 @@ def grok_rows(parsed: DataFrame) -> DataFrame:
     return parsed.where("v is not null").select("path", "pos", "v", at.alias("at"), session.alias("session_id"), text_at(v, "$.params.update.sessionUpdate").alias("kind"), text_at(v, "$.params.update.prompt_id").alias("prompt_id"))
 
 
-def grok_usage(rows: DataFrame) -> DataFrame:
-    """Usage of completed turns, one event a model; all models together where none is named."""
+def grok_usage(rows: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
+    """Usage of completed turns, one event a model; all models together where none is named. ``kept`` columns pass."""
     v = F.col("v")
     done = rows.where("kind = 'turn_completed' and prompt_id is not null")
     models = F.try_variant_get(v, "$.params.update.usage.modelUsage", "map<string, variant>")
     whole = F.try_variant_get(v, "$.params.update.usage", "variant")
     entries = F.when(F.size(models) > 0, F.transform(F.map_entries(models), lambda e: F.struct(e["key"].alias("model"), e["value"].alias("u")))).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("model"), whole.alias("u"))))
-    out = done.where(whole.isNotNull()).select("path", "pos", "at", "session_id", "prompt_id", F.explode(entries).alias("e"))
+    out = done.where(whole.isNotNull()).select("path", "pos", "at", "session_id", "prompt_id", *kept, F.explode(entries).alias("e")).where(F.col("e.model").isNull() | bounded(F.col("e.model")).isNotNull())
     field = lambda c: clamp_counter(count_at(F.col("e.u"), f"$.{c}"))
     fresh = saturating_sub(saturating_sub(field("inputTokens"), field("cachedReadTokens")), field("cacheCreationTokens"))
     out = out.select(
-        "path", "pos", "at", "session_id", F.col("e.model").alias("model"), F.concat_ws(":", F.lit("grok"), "prompt_id", "e.model").alias("dedupe_key"), fresh.alias("input"),
+        "path", "pos", "at", "session_id", *kept, F.col("e.model").alias("model"), F.concat_ws(":", F.lit("grok"), "prompt_id", "e.model").alias("dedupe_key"), fresh.alias("input"),
         field("outputTokens").alias("output"), field("reasoningTokens").alias("reasoning"), field("cacheCreationTokens").alias("cache_creation"), field("cachedReadTokens").alias("cache_read"),
     )
     return out.withColumn("volume", F.col("input") + F.col("output") + F.col("cache_creation") + F.col("cache_read")).where("volume > 0").withColumn("granularity", F.lit("aggregate"))
