@@ -116,10 +116,12 @@ def pack_numbers(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def unpack_numbers(data: np.ndarray) -> np.ndarray:
+    if not len(data):
+        return np.empty(0, np.int64)
     last = np.flatnonzero(data < 128)
     first = np.concatenate([[0], last[:-1] + 1])
     shift = (np.arange(len(data)) - np.repeat(first, last - first + 1)) * 7
-    return np.add.reduceat((data & 127).astype(np.int64) << shift, first) if len(first) else np.empty(0, np.int64)
+    return np.add.reduceat((data & 127).astype(np.int64) << shift, first)
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
