@@ -76,6 +76,8 @@ class SqliteReader(DataSourceReader):
         left = int(self.options.get("most_bytes", STORE_BYTES))
         if not os.path.isfile(path):
             raise Refused("not a file")
+        if not os.path.getsize(path):  # new, and its writer may hold no lock yet
+            return
         db = sqlite3.connect(f"file:{quote(path)}?mode=ro", uri=True)
         try:
             db.execute("PRAGMA trusted_schema = OFF")
