@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterlake.functions.tables import stored
 from meterlake.operators.sequence import union_length
 
 # Fixed value: silence that ends a turn, in microseconds.
@@ -84,15 +85,15 @@ def _members(rows: DataFrame, questions: DataFrame) -> DataFrame:
 
 def turns(rows: DataFrame) -> DataFrame:
     """Turns and paces of ``rows`` (see the decoder's turn_rows): path, event, key, session_id, end_us, duration_ms, wait_ms, model_ms, status."""
-    rows = _stretches(rows).persist()  # read by each of the parts below
-    questions = _questions(rows).persist()
+    rows = stored(_stretches(rows))  # read by each of the parts below
+    questions = stored(_questions(rows))
     known = F.max_by("session_id", F.when(F.col("session_id").isNotNull(), F.col("pos"))).over(_upto(SPAN))
     members = _members(rows.withColumn("session_id", F.coalesce("session_id", known)), questions)
     at_first = lambda c: F.min_by(c, "pos").alias(c)
-    found = members.groupBy(*STRETCH).agg(
+    found = stored(members.groupBy(*STRETCH).agg(
         at_first("kind"), at_first("uuid"), at_first("session_id"), at_first("compact"), F.min("pos").alias("pos"), F.min_by("at", "pos").alias("start"), F.max("at").alias("last"),
         F.max(_is("assistant")).alias("answered"), F.sum("model").alias("model_ms"),
-    ).persist()
+    ))
     asked = questions.select(*SPAN, F.col("stretch").alias("from"), F.coalesce("answer_stretch", F.lit(1 << 60)).alias("to"), F.col("at").alias("asked_at"), "answer_at")
     carried = ~_is("human", "generated") & (F.col("from") < F.col("stretch"))
     waits = found.join(asked, SPAN).where(((F.col("from") == F.col("stretch")) | carried) & (F.col("stretch") <= F.col("to")))

@@ -33,10 +33,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 class Stream(NamedTuple):
-    """Usage events of one's own, with their window: reports take it in place of a folder."""
+    """Usage events of one's own, with their window: reports take it in place of a folder.
+
+    ``events`` is the tagged table of all kinds (see streams.py); without it only reports over
+    usage can be had.
+    """
 
     usage: DataFrame
     window: Window
+    events: DataFrame | None = None
 
 
 def window_of(source: str | Stream) -> Window:
@@ -69,6 +74,24 @@ def usage_events(spark: SparkSession, sf_dir: str | Stream) -> DataFrame:
     return out.withColumn("volume", F.col("input") + F.col("output") + F.col("cache_read") + F.col("cache_creation"))
 
 
+#: How a folder's rows are seen as each kind of event: a filter, and the columns that have other names.
+VIEWS = {
+    "tool": ("true", {"subagent_type": "agent"}), "touch": ("true", {}), "turn": ("true", {"status": "'turn'"}), "credit": ("provider = 'opencode'", {"nano_aiu": "k * 1000000"}),
+    "limit": ("provider = 'codex' and k % 9 = 0 and day(d) % 3 <> 0", {"used_percent": "cast(k as double)"}), "mode": ("true", {"has_thinking": "k % 2 = 0", "fast": "k % 10 = 0"}), "effort": ("true", {"effort": "concat('effort-', k % 4)"}),
+    "permission": ("k % 3 <> 2", {"mode": "if(k % 3 = 0, 'plan', 'ask')"}), "interrupt": ("ordinal % 50 = 0", {}),
+}
+
+
+def kind_of(spark: SparkSession, source: str | Stream, kind: str) -> DataFrame:
+    """Events of one kind: of a stream's table, or the folder's rows seen as such."""
+    if isinstance(source, Stream):
+        if source.events is None:
+            raise ValueError(f"this stream has usage alone, no {kind} events")
+        return source.events.where(F.col("kind") == kind)
+    which, names = VIEWS[kind]
+    return usage_events(spark, source).where(which).withColumns({c: F.expr(e) for c, e in names.items()})
+
+
 USAGE_SQL = """
 u0 AS (
   SELECT event_id AS ordinal, ts AS "at", ts::date AS d, hour(ts)::int AS h, 's' || user_id AS session_id, user_id,

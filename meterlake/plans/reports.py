@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meterlake.functions.labels import model_label
 from meterlake.functions.scalar import heat_level, nearest_rank, ratio
 from meterlake.operators import context, dedupe, pricing, sequence
-from meterlake.plans.adapter import calendar, in_window, read, usage_events, window_of
+from meterlake.plans.adapter import Stream, calendar, in_window, kind_of, read, usage_events, window_of
 
 COUNTERS = ("input", "output", "cache_read", "cache_creation")
 
@@ -20,6 +21,10 @@ def _w(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_window(usage_events(spark, sf_dir), window_of(sf_dir))
 
 
+def _k(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return in_window(kind_of(spark, sf_dir, kind), window_of(sf_dir))
+
+
 def _sum(c: str, name: str | None = None) -> Column:
     return F.sum(c).alias(name or c)
 
@@ -43,18 +48,23 @@ def provider_hours(spark, sf_dir):
 
 
 def distinct_sessions(spark, sf_dir):
-    w = _w(spark, sf_dir)
-    streams = w.select("session_id").union(w.where("tool_name = 'Agent'").select("session_id")).union(w.select("session_id"))
+    seen = [_w(spark, sf_dir), _k(spark, sf_dir, "tool"), _k(spark, sf_dir, "touch")]
+    streams = seen[0].select("session_id").union(seen[1].select("session_id")).union(seen[2].select("session_id"))
     return streams.agg(F.countDistinct("session_id").alias("sessions"))
 
 
 def active_days(spark, sf_dir):
-    w = _w(spark, sf_dir)
-    return w.where("volume > 0").select("provider", "d").union(w.select("provider", "d")).groupBy("provider").agg(F.countDistinct("d").alias("active_days"))
+    return _active_days(spark, sf_dir).groupBy("provider").agg(F.countDistinct("d").alias("active_days"))
+
+
+def _active_days(spark, sf_dir):
+    """Days with tokens or touches of each provider."""
+    return _w(spark, sf_dir).where("volume > 0").select("provider", "d").union(_k(spark, sf_dir, "touch").select("provider", "d")).distinct()
 
 
 def daily_sessions(spark, sf_dir):
-    return _w(spark, sf_dir).groupBy("d").agg(F.countDistinct("session_id").alias("sessions"))
+    """Sessions touched on each day; usage alone is no touch."""
+    return _k(spark, sf_dir, "touch").groupBy("d").agg(F.countDistinct("session_id").alias("sessions"))
 
 
 def _priced(spark, sf_dir):
@@ -107,12 +117,12 @@ def project_stats(spark, sf_dir):
 def subagent_stats(spark, sf_dir):
     w = _w(spark, sf_dir)
     usage = w.where("source_kind = 'subagent' or agent is not null").groupBy(F.coalesce("agent", F.lit("subagent")).alias("name")).agg(_sum("volume"))
-    calls = w.where("tool_name = 'Agent'").groupBy(F.coalesce("agent", F.lit("subagent")).alias("name")).agg(F.count("*").alias("calls"))
+    calls = _k(spark, sf_dir, "tool").where("tool_name = 'Agent'").groupBy(F.coalesce("subagent_type", F.lit("subagent")).alias("name")).agg(F.count("*").alias("calls"))
     return usage.join(calls, "name", "full_outer").na.fill(0, ["volume", "calls"])
 
 
 def tool_stats(spark, sf_dir):
-    return _w(spark, sf_dir).groupBy("tool_name").agg(F.count("*").alias("calls"))
+    return _k(spark, sf_dir, "tool").groupBy("tool_name").agg(F.count("*").alias("calls")).orderBy(F.desc("calls"), "tool_name")
 
 
 def skill_stats(spark, sf_dir):
@@ -135,6 +145,20 @@ def modes_efforts(spark, sf_dir):
     return _w(spark, sf_dir).groupBy(effort.alias("effort")).agg(F.count("*").alias("turns"), F.count_if(F.col("k") % 2 == 0).alias("thinking"), F.count_if(F.col("k") % 10 == 0).alias("fast"))
 
 
+def modes_summary(spark, sf_dir):
+    """Answers, those with thinking and fast ones, then efforts and permissions by count and name."""
+    flags = _k(spark, sf_dir, "mode").agg(F.count("*").alias("turns"), F.count_if("has_thinking").alias("thinking"), F.count_if("fast").alias("fast"))
+    rows = flags.select(F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.lit("mode").alias("kind"), F.lit(c).alias("label"), F.col(c).alias("n")) for i, c in enumerate(("turns", "thinking", "fast"))])).alias("x")).select("x.*")
+    for i, (kind, label) in enumerate((("effort", "effort"), ("permission", "mode")), 3):
+        rows = rows.union(_k(spark, sf_dir, kind).groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")).select(F.lit(i), F.lit(kind), "label", "n"))
+    shown = F.when(F.col("kind") == "mode", 0).otherwise(-F.col("n"))
+    return rows.orderBy("place", shown, "label").select("kind", "label", "n")
+
+
+def interrupts(spark, sf_dir):
+    return _k(spark, sf_dir, "interrupt").groupBy("provider").agg(F.count("*").alias("interrupts"))
+
+
 def _active(rows: DataFrame) -> list[Column]:
     active = F.greatest(F.col("duration_ms") - F.col("wait_ms"), F.lit(0))
     known = F.col("model_ms").isNotNull()
@@ -145,8 +169,10 @@ def _active(rows: DataFrame) -> list[Column]:
 
 
 def active_time(spark, sf_dir):
-    turns = _w(spark, sf_dir).where("duration_ms > 0")
+    turns = _k(spark, sf_dir, "turn").where("duration_ms > 0")
     out = turns.groupBy("provider").agg(*_active(turns), _sum("volume"))
+    if isinstance(sf_dir, Stream):  # the window's tokens, whether a turn holds them or not
+        out = out.drop("volume").join(_w(spark, sf_dir).groupBy("provider").agg(_sum("volume")), "provider", "left").na.fill(0, ["volume"])
     per_minute = F.when(F.col("active_ms") >= 60000, F.floor(F.col("volume").cast("decimal(38,0)") * 60000 / F.col("active_ms")).cast("long"))
     return out.withColumn("tokens_per_minute", per_minute)
 
@@ -156,14 +182,14 @@ def active_time_merged(spark, sf_dir):
 
 
 def peak_active_day(spark, sf_dir):
-    turns = _w(spark, sf_dir).where("duration_ms > 0")
+    turns = _k(spark, sf_dir, "turn").where("duration_ms > 0")
     days = turns.groupBy("provider", "d").agg(F.sum(F.greatest(F.col("duration_ms") - F.col("wait_ms"), F.lit(0))).alias("v"))
     # the latest of equal days
     return days.groupBy("provider").agg(F.max_by("d", F.struct("v", "d")).alias("d"), F.max("v").alias("active_ms"))
 
 
 def credits_history(spark, sf_dir):
-    daily = _w(spark, sf_dir).where("provider = 'opencode'").groupBy("d").agg((F.sum(F.col("k") * 1000000) / 1e9).alias("credits"))
+    daily = _k(spark, sf_dir, "credit").groupBy("d").agg((F.sum("nano_aiu") / 1e9).alias("credits"))
     days = calendar(spark, window_of(sf_dir)).join(daily, "d", "left").na.fill(0.0, ["credits"])
     # the earliest of equal days
     peak = days.agg(F.max_by("d", F.struct("credits", -F.unix_date("d"))).alias("peak"))
@@ -171,16 +197,18 @@ def credits_history(spark, sf_dir):
 
 
 def limits_history(spark, sf_dir):
-    w = _w(spark, sf_dir).where("provider = 'codex'")
-    samples = w.where("k % 9 = 0 and day(d) % 3 <> 0").groupBy("d").agg(F.max(F.col("k").cast("double")).alias("used"))
-    used = w.where("volume > 0 and day(d) % 7 <> 0").select("d", F.lit(True).alias("active")).distinct()
+    samples = _k(spark, sf_dir, "limit").groupBy("d").agg(F.max("used_percent").alias("used"))
+    if isinstance(sf_dir, Stream):
+        used = _active_days(spark, sf_dir).where("provider = 'codex'").select("d", F.lit(True).alias("active"))
+    else:
+        used = _w(spark, sf_dir).where("provider = 'codex' and volume > 0 and day(d) % 7 <> 0").select("d", F.lit(True).alias("active")).distinct()
     days = calendar(spark, window_of(sf_dir)).join(samples, "d", "left").join(used, "d", "left")
     return days.select("d", "used", F.when(F.col("used").isNotNull(), "measured").when(F.col("active"), "no_sample").otherwise("no_use").alias("state"))
 
 
 def _lengths(spark, sf_dir):
     # turn lengths alone keep undated rows
-    w = in_window(_u(spark, sf_dir), window_of(sf_dir), undated=True)
+    w = in_window(kind_of(spark, sf_dir, "turn"), window_of(sf_dir), undated=True)
     return w.withColumn("active_ms", F.greatest(F.col("duration_ms") - F.col("wait_ms"), F.lit(0))).where("active_ms > 0")
 
 
@@ -199,9 +227,12 @@ def turn_buckets(spark, sf_dir):
 
 
 def pace_stats(spark, sf_dir):
-    line = Window.partitionBy("session_id").orderBy("at", "ordinal")
-    gaps = _u(spark, sf_dir).withColumn("gap_ms", F.timestamp_diff("MILLISECOND", F.lag("at").over(line), F.col("at")))
-    gaps = in_window(gaps, window_of(sf_dir)).where("gap_ms > 0 and gap_ms <= 1800000")
+    if isinstance(sf_dir, Stream):
+        gaps = _k(spark, sf_dir, "pace")
+    else:
+        line = Window.partitionBy("session_id").orderBy("at", "ordinal")
+        gaps = _u(spark, sf_dir).withColumn("gap_ms", F.timestamp_diff("MILLISECOND", F.lag("at").over(line), F.col("at")))
+        gaps = in_window(gaps, window_of(sf_dir)).where("gap_ms > 0 and gap_ms <= 1800000")
     return gaps.agg(F.count("*").alias("gaps"), nearest_rank("gap_ms", 50).alias("p50"), nearest_rank("gap_ms", 90).alias("p90"), F.expr("sum(gap_ms) div count(*)").alias("mean"))
 
 
@@ -238,9 +269,9 @@ def context_merged(spark, sf_dir):
 
 
 def models_by_label(spark, sf_dir):
-    parts = F.split("model", "-")
-    label = F.when(F.col("model").startswith("claude-"), F.concat_ws(" ", F.initcap(parts[1]), F.concat_ws(".", parts[2], parts[3]))).when(F.col("model").startswith("gpt-"), F.concat(F.lit("GPT-"), parts[1], F.lit(" "), F.initcap(parts[2]))).otherwise("Other")
-    return _w(spark, sf_dir).where("volume > 0").groupBy(label.alias("label")).agg(_sum("volume"))
+    """Tokens by short model name; names are made once for each distinct model."""
+    sums = _w(spark, sf_dir).where("volume > 0").groupBy("model").agg(_sum("volume"))
+    return sums.groupBy(model_label(F.col("model")).alias("label")).agg(_sum("volume"))
 
 
 def ops_band(spark, sf_dir):
@@ -287,11 +318,11 @@ def codename_rank(spark, sf_dir):
 
 
 def session_day_bounds(spark, sf_dir):
-    return sequence.session_days(_w(spark, sf_dir))
+    return sequence.session_days(_k(spark, sf_dir, "touch"))
 
 
 def _swept(spark, sf_dir):
-    return sequence.sweep(sequence.session_days(_w(spark, sf_dir)), ["d"], "first_at", "last_at")
+    return sequence.sweep(session_day_bounds(spark, sf_dir), ["d"], "first_at", "last_at")
 
 
 def concurrency_levels(spark, sf_dir):
@@ -306,18 +337,20 @@ def concurrency_peak(spark, sf_dir):
 
 
 def streaks(spark, sf_dir):
-    runs = sequence.islands(_w(spark, sf_dir).where("volume > 40000"), ["user_id"])
-    return runs.groupBy("user_id").agg(F.max("length").alias("longest"), F.coalesce(F.max(F.when(F.col("last_day") == F.lit(window_of(sf_dir).end), F.col("length"))), F.lit(0)).alias("current"))
+    """Longest run of active days and the one that lasts: of a stream's providers, of a folder's users."""
+    by, days = ("provider", _active_days(spark, sf_dir)) if isinstance(sf_dir, Stream) else ("user_id", _w(spark, sf_dir).where("volume > 40000"))
+    runs = sequence.islands(days, [by])
+    return runs.groupBy(by).agg(F.max("length").alias("longest"), F.coalesce(F.max(F.when(F.col("last_day") == F.lit(window_of(sf_dir).end), F.col("length"))), F.lit(0)).alias("current"))
 
 
 def longest_session(spark, sf_dir):
-    spans = sequence.session_days(_w(spark, sf_dir)).withColumn("seconds", F.timestamp_diff("SECOND", F.col("first_at"), F.col("last_at")))
+    spans = session_day_bounds(spark, sf_dir).withColumn("seconds", F.timestamp_diff("SECOND", F.col("first_at"), F.col("last_at")))
     top = spans.agg(F.max_by(F.struct("session_id", "first_at", "last_at", "seconds"), F.struct(F.timestamp_diff("MICROSECOND", F.col("first_at"), F.col("last_at")), F.col("first_at"), "session_id")).alias("x"))
     return top.select("x.*")
 
 
-def session_report(spark, sf_dir):
-    one = _w(spark, sf_dir).where("session_id = 's7'")
+def session_report(spark, sf_dir, session: str = "s7"):
+    one = _w(spark, sf_dir).where(F.col("session_id") == session)
     cost = pricing.with_cost(one, pricing.price_table(spark))
     return cost.groupBy("session_id").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count("*").alias("events"), _sum("volume"), *pricing.tally())
 
@@ -398,7 +431,7 @@ def record_echo(spark, sf_dir):
 
 def pace_semi_join(spark, sf_dir):
     u = _u(spark, sf_dir)
-    starts = u.where("tool_name = 'Agent'").select("session_id", "d").distinct()
+    starts = kind_of(spark, sf_dir, "tool").where("tool_name = 'Agent'").select("session_id", "d").distinct()
     return u.join(starts, ["session_id", "d"], "left_semi").groupBy("session_id").agg(F.count("*").alias("events"), _sum("volume"))
 
 
@@ -461,3 +494,12 @@ def provider_order(spark, sf_dir):
 def cached_share(spark, sf_dir):
     sums = _w(spark, sf_dir).groupBy("provider").agg(F.sum("cache_read").alias("cached"), F.sum(F.col("input") + F.col("cache_creation") + F.col("cache_read")).alias("context"))
     return sums.select("provider", F.round(ratio(F.col("cached"), F.col("context")), 6).alias("share"))
+
+
+#: Every report of the reference: each runs on a stream too.
+OF_STREAMS = (
+    "total_usage", "daily_usage", "hourly_profile", "provider_hours", "distinct_sessions", "active_days", "daily_sessions", "model_stats", "model_daily", "cost_by_model", "cost_trailing", "tier_pricing", "project_stats", "subagent_stats", "tool_stats", "skill_stats",
+    "recent_window", "previous_window_delta", "modes_summary", "interrupts", "active_time", "active_time_merged", "peak_active_day", "credits_history", "limits_history", "turn_length", "turn_buckets", "pace_stats", "heat_levels", "context_calls", "context_bands",
+    "context_summary", "context_merged", "models_by_label", "ops_band", "codename_rank", "session_day_bounds", "concurrency_levels", "concurrency_peak", "streaks", "longest_session", "session_report", "ordered_turn_lengths", "event_export", "top_models", "busiest",
+    "provider_order", "cached_share", "pace_semi_join",
+)

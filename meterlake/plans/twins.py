@@ -126,6 +126,8 @@ BODIES = {
     "recent_window": "SELECT sum(volume)::bigint AS volume, count(DISTINCT d) AS active_days FROM w WHERE volume > 0",
     "previous_window_delta": "SELECT provider, volume, previous, CASE WHEN previous > 0 THEN round((volume - previous) * 100.0::double / previous, 0) END AS delta_percent FROM (SELECT provider, coalesce(sum(volume) FILTER (WHERE d BETWEEN DATE '2024-01-17' AND DATE '2024-01-30'), 0)::bigint AS volume, coalesce(sum(volume) FILTER (WHERE d >= DATE '2024-01-03' AND d < DATE '2024-01-17'), 0)::bigint AS previous FROM u GROUP BY provider)",
     "modes_efforts": "SELECT 'effort-' || (k % 4) AS effort, count(*) AS turns, count(*) FILTER (WHERE k % 2 = 0) AS thinking, count(*) FILTER (WHERE k % 10 = 0) AS fast FROM w GROUP BY 1",
+    "modes_summary": "SELECT kind, label, count(*) AS n FROM (SELECT 'effort' AS kind, 'effort-' || (k % 4) AS label FROM w UNION ALL SELECT 'permission', CASE k % 3 WHEN 0 THEN 'plan' ELSE 'ask' END FROM w WHERE k % 3 <> 2) GROUP BY kind, label UNION ALL SELECT 'mode', 'turns', count(*) FROM w UNION ALL SELECT 'mode', 'thinking', count(*) FROM w WHERE k % 2 = 0 UNION ALL SELECT 'mode', 'fast', count(*) FROM w WHERE k % 10 = 0",
+    "interrupts": "SELECT provider, count(*) AS interrupts FROM w WHERE ordinal % 50 = 0 GROUP BY provider",
     "active_time": ("plain", f", {ACTIVE_TIME} SELECT *, CASE WHEN active_ms >= 60000 THEN (volume::hugeint * 60000 // active_ms)::bigint END AS tokens_per_minute FROM a"),
     "active_time_merged": ("plain", f", {ACTIVE_TIME} SELECT sum(turns)::bigint AS turns, sum(active_ms)::bigint AS active_ms, sum(wait_ms)::bigint AS wait_ms, sum(model_ms)::bigint AS model_ms, sum(measured_ms)::bigint AS measured_ms FROM a"),
     "peak_active_day": "SELECT provider, d, v AS active_ms FROM (SELECT provider, d, sum(greatest(duration_ms - wait_ms, 0))::bigint AS v FROM w WHERE duration_ms > 0 GROUP BY provider, d) QUALIFY row_number() OVER (PARTITION BY provider ORDER BY v DESC, d DESC) = 1",
@@ -148,7 +150,7 @@ BODIES = {
         SELECT * REPLACE ({", ".join(f"{c}::varchar AS {c}" for c in ("context_tokens", "cached_tokens", *[f"band{n}_cached" for n in range(4)], "cold_start_tokens", "expired_tokens", "uncached_tokens", "unclassified_tokens", "effective_tokens"))}) FROM t""",
     ),
     "context_merged": ("context", "SELECT reason, count(*) AS calls, sum(uncached)::bigint AS uncached, sum(cache_read)::bigint AS cached FROM cw GROUP BY reason"),
-    "models_by_label": "SELECT CASE model WHEN 'claude-opus-4-8' THEN 'Opus 4.8' WHEN 'claude-haiku-5-5' THEN 'Haiku 5.5' WHEN 'claude-sonnet-4-5-20250929' THEN 'Sonnet 4.5' WHEN 'gpt-6.1-sol' THEN 'GPT-6.1 Sol' ELSE 'Other' END AS label, sum(volume)::bigint AS volume FROM w WHERE volume > 0 GROUP BY 1",
+    "models_by_label": "SELECT CASE model WHEN 'claude-opus-4-8' THEN 'Opus 4.8' WHEN 'claude-haiku-5-5' THEN 'Haiku 5.5' WHEN 'claude-sonnet-4-5-20250929' THEN 'Sonnet 4.5' WHEN 'gpt-6.1-sol' THEN 'GPT 6.1 Sol' ELSE model END AS label, sum(volume)::bigint AS volume FROM w WHERE volume > 0 GROUP BY 1",
     "ops_band": "SELECT provider, aurora, sol, luna, CASE WHEN (list_sort([aurora, sol, luna])[3] - list_sort([aurora, sol, luna])[2]) * 100 >= (aurora + sol + luna) * 15 THEN CASE greatest(aurora, sol, luna) WHEN sol THEN 'sol' WHEN luna THEN 'luna' ELSE 'aurora' END ELSE 'eclipse' END AS ops FROM (SELECT provider, coalesce(sum(volume) FILTER (WHERE h BETWEEN 5 AND 10), 0)::bigint AS aurora, coalesce(sum(volume) FILTER (WHERE h BETWEEN 11 AND 17), 0)::bigint AS sol, coalesce(sum(volume) FILTER (WHERE h NOT BETWEEN 5 AND 17), 0)::bigint AS luna FROM w GROUP BY provider)",
     "codename_rank": ("plain", f", {RANKED}"),
     "session_day_bounds": ("plain", f", {SPANS} SELECT session_id, d, first_at, last_at FROM spans"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterlake.functions.scalar import clamp_counter, parse_instant, project_from_cwd
+from meterlake.functions.scalar import bounded, clamp_counter, parse_instant, project_from_cwd
 from meterlake.sources.text import array_at, count_at, flag_at, text_at
 
 # Prompts that no person typed, and the texts that mark an interrupt.
@@ -70,7 +70,9 @@ def rows(parsed: DataFrame, home: str) -> DataFrame:
 def _usage(u: Column) -> list[Column]:
     fields = {"input": "$.input_tokens", "output": "$.output_tokens", "cache_creation": "$.cache_creation_input_tokens", "cache_read": "$.cache_read_input_tokens"}
     fields |= {"w1h": "$.cache_creation.ephemeral_1h_input_tokens", "w5m": "$.cache_creation.ephemeral_5m_input_tokens"}
-    return [clamp_counter(count_at(u, p)).alias(k) for k, p in fields.items()]
+    used = F.filter(F.map_entries(F.try_variant_get(u, "$.server_tool_use", "map<string, variant>")), lambda e: (count_at(e["value"], "$") > 0) & bounded(e["key"]).isNotNull())
+    tools = F.map_from_entries(F.transform(used, lambda e: F.struct(e["key"], clamp_counter(count_at(e["value"], "$")))))
+    return [*[clamp_counter(count_at(u, p)).alias(k) for k, p in fields.items()], tools.alias("server_tools")]
 
 
 def usage_events(decoded: DataFrame) -> DataFrame:

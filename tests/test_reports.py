@@ -3,7 +3,7 @@ import random
 from datetime import datetime
 
 import pytest
-from meterlake.functions import scalar
+from meterlake.functions import labels, scalar
 from meterlake.operators import context, dedupe, pricing, sequence
 from meterlake.plans import catalogue
 from meterlake.streaming import sessions
@@ -159,3 +159,14 @@ def test_calls_without_session_are_uncached_and_totals_are_checked(spark):
     assert (a.cold_start_calls, a.expired_calls, a.uncached_tokens, a.effective_tokens) == (None, None, 1000, 1000)
     b = got["big"]
     assert b.effective_tokens == 2**64 - 1 and b.cold_start_calls is None and (b.band3_calls, b.uncached_calls, b.uncached_tokens) == (0, 0, 0) and b.context_tokens == 2**64 - 1
+
+
+def test_model_labels(spark):
+    cases = {
+        "claude-opus-4-8": "Opus 4.8", "claude-sonnet-4-5-20250929": "Sonnet 4.5", "claude-3-5-sonnet-latest": "Sonnet 3.5", "claude-haiku": "Haiku", "anthropic/claude-fable-5": "Fable 5", "opus4-8-1-2": "Opus 4.8", "claude-3opus": "Opus 3", "claude-opus-4.8": "Opus",
+        "gpt-5.5-codex-mini": "GPT 5.5 Codex Mini", "my-gpt-4": "my-gpt-4", "openai": "Codex", "codex": "Codex", "OpenAI/gpt-6.1-sol": "GPT 6.1 Sol", "Gemini 3.5 Flash (High)": "Gemini 3.5 Flash (High)", "qwen3:8b": "qwen3:8b", "org/repo": "Other", "gemini/Users/alice": "Other",
+        "": "Other", None: "Other", "x" * 30: "x" * 24, "a b " + "c" * 19 + " d": "a b " + "c" * 19, "gpt-ß": "Other", "meta/": "Other",
+    }
+    rows = spark.createDataFrame([(i, m) for i, m in enumerate(cases)], "i int, m string")
+    got = {r.i: r.label for r in rows.select("i", labels.model_label(F.col("m")).alias("label")).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
