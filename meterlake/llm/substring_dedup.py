@@ -13,14 +13,14 @@ immutable run, a table bucketed by anchor. A batch's postings are shuffled once,
 a table too; from there on it is grouped, and merge-joined with each run, on the anchor
 without moving either side. Of what it meets there:
 
-* segments equal to one of an earlier document are repeated as a whole;
+* segments equal to one of an earlier document are repeated as a whole: all postings but
+  those of the segment's first document, found by segment and document together;
 * anchors that occur with several different segments are verified window by window (the
   anchor's 64-bit hash and one of all 50 words), once for each different segment.
 
 Runs are compacted into one, with the least document of each segment, when more than
 ``fan`` have gathered. Anchors that hold a thousandth of a batch's postings or more (a
-frequent-items sketch names a few thousand at most) lie apart, not bucketed, and join by
-broadcast; so do other keys that hold as much of a table. A document is compared with
+frequent-items sketch names a few thousand at most) lie apart and are not bucketed. A document is compared with
 documents of smaller doc_id in its own batch and in the index; batches are expected in
 ascending doc_id, as :func:`remove_repeats` makes them.
 
@@ -187,19 +187,14 @@ def hot_anchors(rows: DataFrame) -> list[int]:
     return [x["item"] for x in found["top"] or [] if x["count"] > hot_limit(found["n"])]
 
 
-def join_counted(rows: DataFrame, facts: DataFrame, on: list[str], many: str) -> DataFrame:
-    """Inner join with ``facts``, unique by ``on``; ``many`` tells how many rows meet each.
+def not_first(rows: DataFrame, firsts: DataFrame, on: list[str], own: str, first: str) -> DataFrame:
+    """``rows`` whose ``own`` id is not the least of their group, which ``firsts`` holds for each group.
 
-    The few facts that meet a thousandth of all rows or more are broadcast, so their rows
-    stay where they are; the others join by their keys.
+    The join goes by group and id together, so a group of any size spreads over all tasks and
+    each row comes out of it once.
     """
-    limit = hot_limit(rows.count())
-    facts = stage_table(facts, "facts")
-    hot, rest = facts.where(F.col(many) > limit), facts.where(F.col(many) <= limit)  # at most HOT_SHARE hot ones
-    if not hot.limit(1).count():
-        return rows.join(rest, on)
-    cool = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
-    return rows.join(F.broadcast(hot), on).union(cool.join(rest, on))
+    marks = firsts.select(*on, F.col(first).alias(own), F.lit(True).alias("__first"))
+    return rows.join(marks, [*on, own], "left").where("__first is null").drop("__first")
 
 
 class WindowIndex:
@@ -255,20 +250,17 @@ class WindowIndex:
         merged = known.groupBy("fp", "seg").agg(*least).selectExpr(*columns) if len(self.runs) > 1 else own_cold
         merged_hot = stage_table(known_hot.groupBy("fp", "seg").agg(*least).selectExpr(*columns), "merged_hot")
 
-        again = merged.where("d < top and k > 0").select("fp", F.col("seg").alias("s"), "d")
-        same = F.col("seg").bitwiseXOR(F.col("s")) == 0  # no key of the join, which goes by anchor alone
-        whole = cold_new.join(again.hint("merge"), "fp").where(same & (F.col("d") < F.col("doc_id"))).select("doc_id", "tk", "at", "n")
-        again = merged_hot.where("d < top and k > 0").select("fp", "seg", "d", "k")
-        whole = whole.union(join_counted(hot_new, again, ["fp", "seg"], "k").where("d < doc_id").select("doc_id", "tk", "at", "n"))
+        firsts = merged.where("k > 0").select("fp", "seg", "d").union(merged_hot.where("k > 0").select("fp", "seg", "d"))
+        whole = not_first(new, firsts, ["fp", "seg"], "doc_id", "d").select("doc_id", "tk", "at", "n")
 
         several = lambda t: t.groupBy("fp").agg(F.count("*").alias("many"), F.min("d").alias("lo"), F.max("top").alias("hi"), F.max("k").alias("k")).where("many > 1 and lo < hi and k > 0").select("fp")
         asked = merged.join(several(merged).hint("merge"), "fp").select("d", "tk", "fp").union(merged_hot.join(F.broadcast(several(merged_hot)), "fp").select("d", "tk", "fp"))
         asked = stage_table(asked.groupBy(F.col("d").alias("doc_id"), "tk").agg(F.collect_set("fp").alias("fps")), "asked")
         texts = corpus.join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, ["doc_id", "tk"]).select("doc_id", "text", "fps")
         windows = stage_table(texts.transform(over_arrow, _verify, "fp long, seg long, d long, rel int, h long"), "windows")
-        least = windows.groupBy("fp", "h").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.count("*").alias("many")).where("first < last").drop("last")
-        parts = join_counted(windows, least, ["fp", "h"], "many").where("first < d").select("fp", "seg", "d", "rel").distinct()
-        some = new.join(parts, ["fp", "seg"]).where("doc_id = d").select("doc_id", "tk", (F.col("at") + F.col("rel")).alias("at"), F.lit(1).alias("n"))
+        least = windows.groupBy("fp", "h").agg(F.min("d").alias("first"))
+        parts = not_first(windows, least, ["fp", "h"], "d", "first").select("fp", "seg", "d", "rel").distinct()
+        some = new.join(parts.withColumnRenamed("d", "doc_id"), ["fp", "seg", "doc_id"]).select("doc_id", "tk", (F.col("at") + F.col("rel")).alias("at"), F.lit(1).alias("n"))
         spans = stage_table(whole.union(some), "spans")
         self.keep([run.name for run in self.runs])
         return spans
@@ -309,8 +301,7 @@ def later_copies(known: DataFrame) -> DataFrame:
     """(doc_id, tk) of rows whose text, long enough for a window, is also that of a smaller doc_id."""
     prints = known.where(F.length("text") >= 2 * WINDOW - 1).select("doc_id", "tk", F.unhex(F.sha2("text", 256)).alias("print"))
     prints = stage_table(prints, "prints")
-    facts = prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("many"))
-    return join_counted(prints, facts.where("first < last").drop("last"), ["print"], "many").where("first < doc_id").select("doc_id", "tk")
+    return not_first(prints, prints.groupBy("print").agg(F.min("doc_id").alias("first")), ["print"], "doc_id", "first").select("doc_id", "tk")
 
 
 def remove_repeats(docs: DataFrame, batches: int = 3, fan: int = 1) -> DataFrame:
@@ -327,11 +318,12 @@ def remove_repeats(docs: DataFrame, batches: int = 3, fan: int = 1) -> DataFrame
     fresh = known.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, ["doc_id", "tk"], "left_anti")
     every = stage_table(postings(fresh.withColumn("batch", batch)), "postings", ["batch"])
     index, spans = WindowIndex(docs.sparkSession, fan), copies.select("doc_id", "tk", F.lit(0).alias("at"), F.lit(ALL).alias("n"))
-    for i in range(len(cuts) + 1):
-        seen = known.where(F.col("doc_id") <= cuts[i]) if i < len(cuts) else known
-        found = index.add(every.where(F.col("batch") == i).drop("batch"), seen)
-        spans = spans.union(found)
-    index.close()
+    try:
+        for i in range(len(cuts) + 1):
+            seen = known.where(F.col("doc_id") <= cuts[i]) if i < len(cuts) else known
+            spans = spans.union(index.add(every.where(F.col("batch") == i).drop("batch"), seen))
+    finally:
+        index.close()
     gathered = stage_table(spans.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("at", "n")).alias("spans")), "gathered")
     size = gathered.agg(F.count("*").alias("rows"), F.sum(F.size("spans")).alias("spans")).first()
     if size["rows"] + (size["spans"] or 0) <= BROADCAST_ROWS:
