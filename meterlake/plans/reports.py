@@ -118,7 +118,7 @@ def subagent_stats(spark, sf_dir):
     w = _w(spark, sf_dir)
     usage = w.where("source_kind = 'subagent' or agent is not null").groupBy(F.coalesce("agent", F.lit("subagent")).alias("name")).agg(_sum("volume"))
     calls = _k(spark, sf_dir, "tool").where("tool_name = 'Agent'").groupBy(F.coalesce("subagent_type", F.lit("subagent")).alias("name")).agg(F.count("*").alias("calls"))
-    return usage.join(calls, "name", "full_outer").na.fill(0, ["volume", "calls"])
+    return usage.join(calls, "name", "full_outer").na.fill(0, ["volume", "calls"]).orderBy(F.desc("volume"), F.desc("calls"), "name")
 
 
 def tool_stats(spark, sf_dir):
@@ -126,7 +126,7 @@ def tool_stats(spark, sf_dir):
 
 
 def skill_stats(spark, sf_dir):
-    return _w(spark, sf_dir).where("skill is not null and volume > 0").groupBy("skill").agg(_sum("volume"), _sum("input"), _sum("output"))
+    return _w(spark, sf_dir).where("skill is not null and volume > 0").groupBy("skill").agg(_sum("volume"), _sum("input"), _sum("output")).orderBy(F.desc("volume"), "skill")
 
 
 def recent_window(spark, sf_dir):
@@ -491,6 +491,23 @@ def provider_order(spark, sf_dir):
     return sums.withColumn("place", F.row_number().over(Window.orderBy(F.desc("volume"), "provider")))
 
 
+def providers_shown(spark, sf_dir):
+    """Providers that have anything to show in the window, and what: tokens, sessions, tools, turns, interrupts, context or credits."""
+    w, touches = _w(spark, sf_dir), _k(spark, sf_dir, "touch")
+    has = lambda rows, name: rows.select("provider", F.lit(name).alias("fact"))
+    facts = has(w.where("volume > 0"), "tokens").union(has(w.where("input + cache_creation + cache_read > 0"), "context")).union(has(touches, "sessions"))
+    facts = facts.union(has(w.where("session_id is not null"), "sessions")).union(has(_k(spark, sf_dir, "tool"), "tools")).union(has(_lengths(spark, sf_dir), "turns")).union(has(_k(spark, sf_dir, "interrupt"), "interrupts")).union(has(_k(spark, sf_dir, "credit"), "credits"))
+    return facts.distinct().groupBy("provider").agg(F.array_join(F.sort_array(F.collect_set("fact")), ",").alias("facts"))  # seven at most
+
+
+def weekday_profile(spark, sf_dir):
+    """Tokens and active days by weekday, Monday first; ``card_column`` counts from Sunday."""
+    days = _w(spark, sf_dir).groupBy("d").agg(_sum("volume"))
+    week = calendar(spark, window_of(sf_dir)).join(days, "d", "left").na.fill(0, ["volume"])
+    out = week.groupBy(F.weekday("d").cast("int").alias("weekday")).agg(_sum("volume"), F.count_if(F.col("volume") > 0).alias("active_days"), F.count("*").alias("days"))
+    return out.withColumn("card_column", ((F.col("weekday") + 1) % 7).cast("int")).orderBy("weekday")
+
+
 def cached_share(spark, sf_dir):
     sums = _w(spark, sf_dir).groupBy("provider").agg(F.sum("cache_read").alias("cached"), F.sum(F.col("input") + F.col("cache_creation") + F.col("cache_read")).alias("context"))
     return sums.select("provider", F.round(ratio(F.col("cached"), F.col("context")), 6).alias("share"))
@@ -501,5 +518,5 @@ OF_STREAMS = (
     "total_usage", "daily_usage", "hourly_profile", "provider_hours", "distinct_sessions", "active_days", "daily_sessions", "model_stats", "model_daily", "cost_by_model", "cost_trailing", "tier_pricing", "project_stats", "subagent_stats", "tool_stats", "skill_stats",
     "recent_window", "previous_window_delta", "modes_summary", "interrupts", "active_time", "active_time_merged", "peak_active_day", "credits_history", "limits_history", "turn_length", "turn_buckets", "pace_stats", "heat_levels", "context_calls", "context_bands",
     "context_summary", "context_merged", "models_by_label", "ops_band", "codename_rank", "session_day_bounds", "concurrency_levels", "concurrency_peak", "streaks", "longest_session", "session_report", "ordered_turn_lengths", "event_export", "top_models", "busiest",
-    "provider_order", "cached_share", "pace_semi_join",
+    "provider_order", "cached_share", "pace_semi_join", "providers_shown", "weekday_profile",
 )

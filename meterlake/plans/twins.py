@@ -190,6 +190,8 @@ BODIES = {
     "top_models": ("plain", ", s AS (SELECT model, sum(volume)::bigint AS volume, row_number() OVER (ORDER BY sum(volume) DESC, model) AS n FROM w GROUP BY model) SELECT model, volume FROM s WHERE n <= 3 UNION ALL SELECT '+' || count(*) || ' more', sum(volume)::bigint FROM s WHERE n > 3"),
     "busiest": "SELECT (SELECT d FROM w GROUP BY d ORDER BY sum(volume) DESC, d DESC LIMIT 1) AS d, (SELECT sum(volume)::bigint FROM w GROUP BY d ORDER BY 1 DESC LIMIT 1) AS day_volume, (SELECT h FROM w GROUP BY h ORDER BY sum(volume) DESC, h DESC LIMIT 1) AS h, (SELECT sum(volume)::bigint FROM w GROUP BY h ORDER BY 1 DESC LIMIT 1) AS hour_volume",
     "provider_order": "SELECT provider, sum(volume)::bigint AS volume, count(DISTINCT session_id) AS sessions, row_number() OVER (ORDER BY sum(volume) DESC, provider)::int AS place FROM w GROUP BY provider",
+    "providers_shown": "SELECT provider, string_agg(DISTINCT fact, ',' ORDER BY fact) AS facts FROM (SELECT provider, unnest(['sessions', 'tools', CASE WHEN volume > 0 THEN 'tokens' END, CASE WHEN input + cache_creation + cache_read > 0 THEN 'context' END, CASE WHEN greatest(duration_ms - wait_ms, 0) > 0 THEN 'turns' END, CASE WHEN ordinal % 50 = 0 THEN 'interrupts' END, CASE WHEN provider = 'opencode' THEN 'credits' END]) AS fact FROM w) WHERE fact IS NOT NULL GROUP BY provider",
+    "weekday_profile": "SELECT (isodow(cal.d) - 1)::int AS weekday, coalesce(sum(v), 0)::bigint AS volume, count(*) FILTER (WHERE v > 0) AS active_days, count(*) AS days, (isodow(cal.d) % 7)::int AS card_column FROM cal LEFT JOIN (SELECT d, sum(volume) AS v FROM w GROUP BY d) x USING (d) GROUP BY isodow(cal.d)",
     "cached_share": "SELECT provider, round(sum(cache_read) / sum(input + cache_creation + cache_read), 6) AS share FROM w GROUP BY provider",
 }
 
