@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlake.plans import agy_logs, documents, fork_logs, log_twins, logs, reports, store_logs, stream_logs, twins, work_logs
+from meterlake.plans import agy_logs, documents, fork_logs, log_twins, logs, price_logs, reports, store_logs, stream_logs, twins, work_logs
 
 
 def _dated(report: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -18,7 +18,7 @@ def _dated(report: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     return run
 
 
-MORE = (work_logs, store_logs, fork_logs, agy_logs, stream_logs, documents)
+MORE = (work_logs, store_logs, fork_logs, agy_logs, stream_logs, documents, price_logs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
