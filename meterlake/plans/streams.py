@@ -25,7 +25,7 @@ from meterlake.functions.tables import stored
 from meterlake.operators import turns as turn_machine
 from meterlake.plans.adapter import Stream
 from meterlake.plans.adapter import Window as Dates
-from meterlake.sources import agy, claude, codex, copilot, grok, opencode, text, updates
+from meterlake.sources import agy, claude, codex, copilot, files, grok, opencode, text, updates
 
 #: Columns of the kinds: usage, tool, touch, turn, limit, credit, effort, permission, interrupt, pace, mode.
 COUNTERS = ("input", "output", "reasoning", "cache_read", "cache_creation", "w5m", "w1h", "volume")
@@ -72,9 +72,14 @@ def merged(events: DataFrame) -> DataFrame:
     return folded.select(*events.columns).unionByName(events.where("dedupe_key is null"))
 
 
+def of_people(lines: DataFrame) -> DataFrame:
+    """Without the folders of observers."""
+    return lines.where(~F.col("path").rlike(f"[^/]*{NOISE}[^/]*/"))
+
+
 def _claude(lines: DataFrame, home: str) -> dict[str, DataFrame]:
     """Sessions of observers, which run always, are no one's activity."""
-    rows = stored(claude.rows(text.parse(lines.where(~F.col("path").rlike(f"[^/]*{NOISE}[^/]*/"))), home))
+    rows = stored(claude.rows(text.parse(of_people(lines)), home))
     found = stored(turn_machine.turns(claude.turn_rows(rows)))
     return {
         "usage": claude.usage_events(rows), "tool": claude.tool_events(rows), "touch": claude.touches(rows), "mode": claude.mode_events(rows), "effort": claude.effort_events(rows), "permission": claude.permission_events(rows),
@@ -169,24 +174,38 @@ def _files(folders: list[str], *patterns: str) -> list[str]:
     return sorted(p for folder in folders for pattern in patterns for p in glob.glob(os.path.join(folder, pattern)))
 
 
-def plain_first(spark: SparkSession, lines: DataFrame, folders: list[str], pattern: str) -> DataFrame:
-    """Lines of one physical file for each rollout: the plain one where both are there."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folders)
-    files = listed.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
-    return lines.join(text.prefer_plain(files).select("path"), "path", "left_semi")
+def rollout_lines(spark: SparkSession, folders: list[str], tolerant: bool = False) -> DataFrame:
+    """Lines of one physical file for each rollout of the folders and their archives."""
+    roots = files.with_archives(spark, folders)
+    return files.without(text.read_lines(spark, roots, "*.jsonl*", tolerant=tolerant), files.second_copies(files.listed(spark, roots, "*.jsonl*")))
+
+
+def line_files(spark: SparkSession, provider: str, folders: list[str], tolerant: bool = False) -> DataFrame | None:
+    """path, pos and line of an agent's line logs, or nothing if it keeps only stores."""
+    if provider == "codex":
+        return rollout_lines(spark, folders, tolerant)
+    if provider == "agy":
+        folders = _files(folders, "antigravity-cli/history.jsonl", "antigravity-cli/log/*.log")
+    return text.read_lines(spark, folders, PATTERNS[provider], tolerant=tolerant) if provider in PATTERNS and folders else None
+
+
+# Names of the line logs.
+PATTERNS = {"claude": "*.jsonl", "grok": "updates.jsonl", "copilot": "events.jsonl", "agy": "*"}
+
 
+def read(spark: SparkSession, roots: dict[str, list[str]], home: str, window: Dates, offset_seconds: int = 0, tolerant: bool = False) -> Stream:
+    """The stream of all agents' folders; SQLite stores in them are found by their usual places.
 
-def read(spark: SparkSession, roots: dict[str, list[str]], home: str, window: Dates, offset_seconds: int = 0) -> Stream:
-    """The stream of all agents' folders; SQLite stores in them are found by their usual places."""
+    ``tolerant``: a line log that can't be read to its end counts as far as it was read.
+    """
     parts: dict[str, dict[str, DataFrame]] = {}
     for provider, folders in roots.items():
         if provider in ("claude", "codex"):
-            lines = text.read_lines(spark, folders, "*.jsonl*" if provider == "codex" else "*.jsonl")
-            parts[provider] = LINES[provider](plain_first(spark, lines, folders, "*.jsonl*") if provider == "codex" else lines, home)
+            parts[provider] = LINES[provider](line_files(spark, provider, folders, tolerant), home)
         elif provider == "grok":
-            parts[provider] = _grok(text.read_lines(spark, folders, "updates.jsonl"), grok.read_summaries(spark, folders), home)
+            parts[provider] = _grok(line_files(spark, provider, folders, tolerant), grok.read_summaries(spark, folders), home)
         elif provider == "copilot":
-            parts[provider] = _copilot(text.read_lines(spark, folders, "events.jsonl"), _files(folders, "session-store.db"), home)
+            parts[provider] = _copilot(line_files(spark, provider, folders, tolerant), _files(folders, "session-store.db"), home)
         elif provider == "opencode":
             parts[provider] = _opencode(spark, _files(folders, "opencode*.db"), home)
         elif provider == "agy":
@@ -196,3 +215,39 @@ def read(spark: SparkSession, roots: dict[str, list[str]], home: str, window: Da
         else:
             raise ValueError(f"no agent is named {provider}")
     return stream(event_table(parts), window, offset_seconds)
+
+
+def scan_summary(spark: SparkSession, roots: dict[str, list[str]], events: DataFrame) -> DataFrame:
+    """What the scan of each agent's line logs saw, and last the sum, whose provider is null.
+
+    files, lines, parse_errors (lines that are overlong or no JSON, and read errors, which end
+    a file), unreadable_files, then the usage, tool and turn events of the merged table.
+    Stores tell their own losses (``scan_stats`` of their decoders). Log texts are no JSON and
+    have no errors but those of reading.
+    """
+    kinds = ("usage", "tool", "turn")
+    every = events.groupBy("provider").agg(*[F.count_if(F.col("kind") == k).alias(f"{k}_events") for k in kinds])
+    seen = None
+    for provider, folders in roots.items():
+        lines = line_files(spark, provider, folders, tolerant=True)
+        if lines is None:
+            continue
+        lines = of_people(lines) if provider == "claude" else lines
+        if provider == "codex":
+            found = files.listed(spark, files.with_archives(spark, folders), "*.jsonl*")
+            found = found.join(files.second_copies(found), "path", "left_anti")
+        else:
+            found = files.listed(spark, folders, PATTERNS[provider]) if provider != "agy" else files.listed(spark, _files(folders, "antigravity-cli/history.jsonl", "antigravity-cli/log/*.log"), "*")
+            found = of_people(found) if provider == "claude" else found
+        read_well = F.col("v").isNotNull() | ~F.col("path").endswith(".jsonl") & ~F.col("path").endswith(".zst")
+        good = text.parse(lines).where(F.trim("line") != "").where(read_well).agg(F.count("*").alias("good"))
+        told = files.census(found).agg(F.count("*").alias("files"), F.sum("lines").alias("lines"), F.sum("blank").alias("blank"), F.count("problem").alias("unreadable_files"))
+        both = told.unionByName(good, allowMissingColumns=True).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("files", "lines", "blank", "unreadable_files", "good")])
+        errors = F.col("lines") - F.col("blank") + F.col("unreadable_files") - F.col("good")
+        one = both.select(F.lit(provider).alias("provider"), "files", "lines", errors.alias("parse_errors"), "unreadable_files")
+        seen = one if seen is None else seen.union(one)
+    none = F.lit(0).cast("long")
+    alone = every.select("provider", *[none.alias(c) for c in ("files", "lines", "parse_errors", "unreadable_files")], *[f"{k}_events" for k in kinds])
+    both = alone if seen is None else alone.union(seen.select("*", *[none.alias(f"{k}_events") for k in kinds]))
+    sums = [F.sum(c).cast("long").alias(c) for c in both.columns[1:]]
+    return both.rollup("provider").agg(*sums)

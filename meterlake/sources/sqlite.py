@@ -48,7 +48,9 @@ class SqliteReader(DataSourceReader):
     def partitions(self) -> list[Store]:
         return [Store(p) for p in self.options["paths"].split("\n") if p]
 
-    def read(self, partition: Store) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Store | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's one partition where there are no stores
+            return
         rows, first = [], 0
         problem = None
         try:

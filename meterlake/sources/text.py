@@ -13,18 +13,24 @@ from meterlake.functions.scalar import ID_BYTES, bounded, non_empty
 LINE_BYTES, STRUCTURE = 64 << 20, 262_144
 
 
-def read_lines(spark: SparkSession, roots: list[str], pattern: str = "*.jsonl", since: datetime | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, roots: list[str], pattern: str = "*.jsonl", since: datetime | None = None, most: int = LINE_BYTES, tolerant: bool = False) -> DataFrame:
     """path, pos and line of every text file below ``roots`` (``.zst`` and ``.gz`` by extension).
 
     ``pos`` orders the lines of a file: the block they were read from, then their order in
-    it. A file may be read by several tasks, and no task needs it whole.
+    it. A file may be read by several tasks, and no task needs it whole. The record reader
+    passes over a line of more than ``most`` bytes while reading it, so that it is never in
+    memory whole; at the end of a block the head of such a line is dropped after the read, and
+    its tail may be left, which no JSON parser takes. ``tolerant`` ends a file at a read error (a broken frame) instead of failing;
+    ``files.census`` counts both kinds of losses.
     """
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("lineSep", "\n").option("ignoreCorruptFiles", tolerant)
+    # the limit of the reader counts the line's end and is itself too long
+    reader = reader.option("mapreduce.input.linerecordreader.line.maxlength", most + 2)
     if since is not None:
         reader = reader.option("modifiedAfter", since.strftime("%Y-%m-%dT%H:%M:%S"))
     lines = reader.text(roots)
     pos = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
-    return lines.select(F.col("_metadata.file_path").alias("path"), pos.alias("pos"), F.col("value").alias("line"))
+    return lines.where(F.octet_length("value") <= most).select(F.col("_metadata.file_path").alias("path"), pos.alias("pos"), F.rtrim(F.col("value"), F.lit("\r")).alias("line"))
 
 
 def bounded_json(line: Column) -> Column:
