@@ -11,18 +11,28 @@ def session_days(touches: DataFrame) -> DataFrame:
     return touches.groupBy("session_id", "d").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"))
 
 
-def sweep(spans: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
-    """Segments between neighbouring instants with the number of open spans and whole seconds.
+def sweep(spans: DataFrame, by: list[str], start: str, end: str, slot: str = "MINUTE") -> DataFrame:
+    """Instants where spans begin or end, with the spans open after each and the whole seconds to the next.
 
-    Ends come before starts at one instant; spans without length are left out. Without a
-    grouping column the sweep is over all rows, so callers group by day: spans are cut at
-    midnight, which bounds what one task orders.
+    Ends come before starts at one instant; spans without length are left out. Marks of one
+    instant are summed before they move. Then the instants of a ``slot`` are summed in order,
+    and what is open before each slot comes from the sums of the slots alone, so no task
+    orders all instants of a group.
     """
     real = spans.where(F.col(start) < F.col(end))
-    marks = real.select(*by, F.col(start).alias("t"), F.lit(1).alias("delta")).union(real.select(*by, F.col(end).alias("t"), F.lit(-1).alias("delta")))
-    line = Window.partitionBy(*by).orderBy("t", "delta")
-    open_ = F.sum("delta").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return marks.select(*by, "t", "delta", open_.alias("open"), F.timestamp_diff("SECOND", F.col("t"), F.lead("t").over(line)).alias("seconds"))
+    marks = real.select(*by, F.col(start).alias("t"), F.lit(1).cast("long").alias("delta")).union(real.select(*by, F.col(end).alias("t"), F.lit(-1).cast("long")))
+    marks = marks.groupBy(*by, "t").agg(F.sum("delta").alias("delta")).withColumn("__slot", F.date_trunc(slot, F.col("t")).cast("timestamp_ntz"))
+    slots = marks.groupBy(*by, "__slot").agg(F.sum("delta").alias("__sum"), F.min("t").alias("__first"))
+    line = Window.partitionBy(*by).orderBy("__slot")
+    before = F.coalesce(F.sum("__sum").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slots = slots.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__slot").alias("__at"), before.alias("__before"), F.lead("__first").over(line).alias("__next"))
+    same = F.col("__slot") == F.col("__at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    within = Window.partitionBy(*by, "__slot").orderBy("t")
+    open_ = F.col("__before") + F.sum("delta").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    following = F.coalesce(F.lead("t").over(within), F.col("__next"))
+    return marks.join(slots, same).select(*by, "t", "delta", open_.alias("open"), F.timestamp_diff("SECOND", F.col("t"), following).alias("seconds"))
 
 
 def level(open_: Column) -> Column:

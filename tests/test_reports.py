@@ -56,6 +56,22 @@ def test_sweep(spark, rows, peak, levels):
     assert got == levels
 
 
+def test_sweep_equals_brute_force(spark):
+    rng = random.Random(3)
+    clock = lambda s: f"2026-01-01 10:{s // 60:02d}:{s % 60:02d}"
+    # few instants, so that many meet; the null group and a group of one span stand alone
+    rows = [(rng.choice([None, 1, 2, 2, 2]), *sorted(rng.choices(range(0, 600, 7), k=2))) for _ in range(400)] + [(3, 5, 200)]
+    got = sequence.sweep(spans(spark, [(d, clock(a), clock(b)) for d, a, b in rows]).repartition(5), ["d"], "first_at", "last_at").collect()
+    want = []
+    for d in {r[0] for r in rows}:
+        mine = [(a, b) for x, a, b in rows if x == d and a < b]
+        at = sorted({t for pair in mine for t in pair})
+        want += [(d, clock(t), sum(a <= t < b for a, b in mine), (n - t) if n is not None else None) for t, n in zip(at, [*at[1:], None], strict=True)]
+    key = lambda r: (r[0] or 0, r[1])
+    assert sorted(((r.d, str(r.t), r.open, r.seconds) for r in got), key=key) == sorted(want, key=key)
+    assert sequence.sweep(spans(spark, []), ["d"], "first_at", "last_at").count() == 0
+
+
 def test_price_keys(spark):
     models = spark.createDataFrame([("claude-opus-4-8-latest",), ("claude-opus-4-8-20260101",), ("claude-opus-4-8-fast",), ("claude-opus-4-80",), ("gpt-5-5",), ("codex",), ("Claude-Opus-4-8[1m]",), ("GPT-5.5 (fast)",), (None,)], "model string")
     got = {r.model: r.price_model for r in pricing.resolve(models, pricing.price_table(spark)).collect()}
