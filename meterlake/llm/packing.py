@@ -102,6 +102,13 @@ class Plan:
         self.ends = (last * n + np.arange(n))[order]
         self.gaps = np.concatenate([[0], np.cumsum(short[order])])
 
+    @classmethod
+    def of(cls, served: dict[str, np.ndarray]) -> Plan:
+        """The plan of ``vars(plan)``, which workers can be sent before they know the package."""
+        plan = cls.__new__(cls)
+        vars(plan).update(served)
+        return plan
+
     def _phases(self, weights: list[float] | None) -> np.ndarray:
         if weights is None:
             return self.quanta[None, :].copy()
@@ -167,7 +174,8 @@ class Plan:
 
 def _cut(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, keys, begins = held.value
+        served, keys, begins = held.value
+        plan = Plan.of(served)
         for batch in batches:
             if not len(batch):
                 continue
@@ -219,7 +227,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, weights: dict[str, float
     first = np.searchsorted(queue, np.arange(len(found)))
     upto = np.cumsum(n) - n
     plan = Plan(totals.tolist(), None if weights is None else [weights[s] for s, _ in found])
-    held = spark.sparkContext.broadcast((plan, queue * BLOCKS + block, upto - upto[first][queue]))
+    held = spark.sparkContext.broadcast((vars(plan), queue * BLOCKS + block, upto - upto[first][queue]))
     return placed.transform(over_arrow, _cut(held), PIECES)
 
 

@@ -205,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 
 def score(docs: DataFrame, model: Model, output: str = "toxicity") -> DataFrame:
     """All columns of ``docs`` (one named ``output`` is replaced) and the score of each text, 0 to 1."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(tuple(model))  # plain, for workers that know no package yet
     docs = docs.drop(output)
     names = docs.columns
 
