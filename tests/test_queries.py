@@ -32,3 +32,9 @@ def test_depths_of_more_halvings_than_recursive_sql_takes(spark, tmp_path):
     assert got.count() == 70_003 and dict(got.dtypes) == {"id": "bigint", "depth": "int"}
     want = {i: max(i.bit_length() - 1, 0) for i in (*range(70_000), 2**63 - 1)} | {None: None}
     assert {r.id: r.depth for r in got.collect()} == want
+
+
+def test_session_bounds_of_logs_need_usage_alone(spark, tmp_path):
+    events(spark, tmp_path)
+    got = ours(spark, "log_session_bounds", tmp_path)
+    assert got and got == twin("log_session_bounds", tmp_path, "events")
