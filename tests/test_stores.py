@@ -150,3 +150,23 @@ def test_ledger_replaces_snapshots(spark, store):
     path = store("other.db", LEDGER, assistant_usage_events=[*calls, call(9, None, 1)])
     kept, used = copilot.reconcile(snapshots, copilot.ledger(*copilot.read_ledger(spark, [path]), "/home/me"))
     assert kept.count() == len(shots) and sorted(r.dedupe_key[13:] for r in used.collect()) == ["2", "5", "7", "8"]
+
+
+def test_small_stores_share_a_partition(spark, tmp_path, monkeypatch):
+    paths = []
+    for n in range(7):
+        db = sqlite3.connect(tmp_path / f"{n}.db")
+        db.execute("CREATE TABLE t(a INT)")
+        db.executemany("INSERT INTO t VALUES (?)", [(n * 10 + i,) for i in range(n)])
+        db.commit()
+        db.close()
+        paths.append(str(tmp_path / f"{n}.db"))
+    rows = sqlite.read_store(spark, [*paths, str(tmp_path / "gone.db")], "t", "a long")
+    assert rows.rdd.getNumPartitions() == 1
+    want = [(p, i, n * 10 + i, None) for n, p in enumerate(paths) for i in range(n)] + [(str(tmp_path / "gone.db"), 0, None, "not a file")]
+    assert sorted(((r.store, r.pos, r.a, r.problem) for r in rows.collect()), key=repr) == sorted(want, key=repr)
+    reader = sqlite.SqliteReader(rows.schema, {"paths": "\n".join(paths), "table": "t"})
+    monkeypatch.setattr(sqlite, "PART_STORES", 3)
+    assert [len(p.paths) for p in reader.partitions()] == [3, 3, 1]
+    monkeypatch.setattr(sqlite, "PART_BYTES", 1)
+    assert [p.paths for p in reader.partitions()] == [[p] for p in paths]
