@@ -138,7 +138,7 @@ BODIES = {
     "pace_stats": "SELECT count(*) AS gaps, quantile_disc(g, 0.5) AS p50, quantile_disc(g, 0.9) AS p90, (sum(g) // count(*))::bigint AS mean FROM (SELECT d, date_diff('microsecond', lag([at]) OVER (PARTITION BY session_id ORDER BY [at], ordinal), [at]) // 1000 AS g FROM u) WHERE d BETWEEN DATE '2024-01-17' AND DATE '2024-01-30' AND g > 0 AND g <= 1800000",
     "heat_levels": "SELECT d, volume, (CASE WHEN volume = 0 THEN 0 ELSE 1 + (volume > v[(len(v) - 1) // 4 + 1])::int + (volume > v[(len(v) - 1) * 2 // 4 + 1])::int + (volume > v[(len(v) - 1) * 3 // 4 + 1])::int END)::int AS level FROM (SELECT cal.d, coalesce(sum(volume), 0)::bigint AS volume FROM cal LEFT JOIN w USING (d) GROUP BY cal.d), (SELECT list(x ORDER BY x) AS v FROM (SELECT sum(volume)::bigint AS x FROM w GROUP BY d HAVING sum(volume) > 0))",
     "context_calls": ("context", "SELECT provider, reason, count(*) AS calls, sum(uncached)::bigint AS uncached, sum(cache_read)::bigint AS cached FROM cw GROUP BY provider, reason"),
-    "context_bands": ("context", f""", {WEIGHED} SELECT band, count(*) AS calls, sum(context)::bigint AS context, sum(old)::bigint AS effective FROM r WHERE reason <> 'rest' GROUP BY band"""),
+    "context_bands": ("context", f""", {WEIGHED} SELECT band, count(*) AS calls, sum(context)::bigint AS context, sum(new + old)::bigint AS effective, sum(old)::bigint AS cached_effective FROM r WHERE reason <> 'rest' GROUP BY band"""),
     "context_summary": (
         "context",
         f""", {WEIGHED}, t AS (

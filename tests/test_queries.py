@@ -38,3 +38,13 @@ def test_session_bounds_of_logs_need_usage_alone(spark, tmp_path):
     events(spark, tmp_path)
     got = ours(spark, "log_session_bounds", tmp_path)
     assert got and got == twin("log_session_bounds", tmp_path, "events")
+
+
+def test_bands_weigh_all_tokens_of_their_calls(spark, tmp_path):
+    events(spark, tmp_path)
+    got = ours(spark, "context_bands", tmp_path)
+    assert got == twin("context_bands", tmp_path, "events")
+    summary = catalogue.queries()["context_summary"](spark, str(tmp_path)).collect()
+    # the bands' weighted tokens are all but the remainder, their cached part is the summary's
+    assert sum(r[3] for r in got) == sum(int(r.effective_tokens) - int(r.unclassified_tokens) for r in summary)
+    assert sum(r[4] for r in got) == sum(int(r[f"band{n}_cached"]) for r in summary for n in range(4))
