@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 import duckdb
 from meterlake.plans import catalogue
+from meterlake.sources import agy
 from pyspark.sql import functions as F
 
 
@@ -48,3 +49,16 @@ def test_bands_weigh_all_tokens_of_their_calls(spark, tmp_path):
     # the bands' weighted tokens are all but the remainder, their cached part is the summary's
     assert sum(r[3] for r in got) == sum(int(r.effective_tokens) - int(r.unclassified_tokens) for r in summary)
     assert sum(r[4] for r in got) == sum(int(r[f"band{n}_cached"]) for r in summary for n in range(4))
+
+
+def test_history_lines_are_numbered_across_blocks(spark):
+    """Blocks of places of one file and of another; places with gaps, given in any order."""
+    places = [("/h", 0, n) for n in (0, 3, 65535, 65536, 200000)] + [("/h", 7, n) for n in (1, 65540)] + [("/k", 0, 5)]
+    rows = [(path, (block, n), '{"timestamp":1767312000000}') for path, block, n in reversed(places)]
+    lines = spark.createDataFrame(rows, "path string, pos struct<block:long,n:long>, line string")
+    made = agy.history_touches(lines)
+    got = sorted((r.path, r.pos.block, r.pos.n, r.session_id) for r in made.collect())
+    assert got == [(*p, f"history:{i + 1}") for i, p in enumerate(places[:7])] + [("/k", 0, 5, "history:1")]
+    # no window orders the lines of a whole path: the one over paths alone sees sums of blocks
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(path" in plan and "__part" in plan.split("row_number() windowspecdefinition(", 1)[1].split("]")[0]
