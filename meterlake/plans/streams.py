@@ -65,11 +65,13 @@ def merged(events: DataFrame) -> DataFrame:
     first = F.when(is_("usage"), F.when(record, 0).otherwise(1)).when(is_("turn"), -F.coalesce("duration_ms", F.lit(0))).otherwise(0).cast("long")
     rows = rows.withColumn("line", F.struct(first.alias("a"), F.when(is_("usage") & record, -F.col("n")).otherwise(F.col("n")).alias("b")))
     fact = lambda c: F.min_by(c, F.when(~is_("usage") | F.col(c).isNotNull(), F.col("line")))
-    found = {c: fact(c) if c in METADATA else F.min_by(c, "line") for c in COLUMNS} | {c: F.when(F.first("kind") == "mode", F.bool_or(c)) for c in ("has_thinking", "fast")}
+    # the columns of the first row together, so that rows are compared once for all of them
+    plain = [c for c in COLUMNS if c not in (*METADATA, "has_thinking", "fast")]
+    found = {c: fact(c) for c in METADATA} | {c: F.when(F.first("kind") == "mode", F.bool_or(c)) for c in ("has_thinking", "fast")}
     times = F.when(F.first("kind") == "pace", F.min_by("at", "line")).when(F.first("kind") == "turn", F.min_by("longest_at", F.struct("first", F.col("longest_at").isNull(), "longest_at"))).otherwise(F.min("at"))
     rows = rows.withColumn("longest_at", F.col("at")).withColumn("first", F.col("line.a"))
-    folded = rows.groupBy(*key).agg(F.min_by("path", "n").alias("path"), F.min_by("pos", "n").alias("pos"), F.min_by("rank", "n").alias("rank"), times.alias("at"), *[x.alias(c) for c, x in found.items()])
-    return folded.select(*events.columns).unionByName(events.where("dedupe_key is null"))
+    folded = rows.groupBy(*key).agg(F.min_by(F.struct("path", "pos", "rank"), "n").alias("place"), F.min_by(F.struct(*plain), "line").alias("x"), times.alias("at"), *[x.alias(c) for c, x in found.items()])
+    return folded.select("*", "place.*", "x.*").select(*events.columns).unionByName(events.where("dedupe_key is null"))
 
 
 def of_people(lines: DataFrame) -> DataFrame:
@@ -133,7 +135,7 @@ def _agy(spark: SparkSession, roots: list[list[str]], history: DataFrame | None,
         made["usage"] = stored(agy.usage_events(told, home, stored(agy.generations(told))))
         touch.append(agy.touches(made["usage"]))
     if history is not None:
-        touch.append(agy.history_touches(history).select("at", "session_id"))
+        touch.append(agy.history_touches(stored(history)).select("at", "session_id"))
     if logs is not None:
         rows = stored(agy.log_rows(logs, offset_seconds))
         made["tool"] = agy.log_tools(rows)

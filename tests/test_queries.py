@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 import duckdb
 from meterlake.plans import catalogue
-from meterlake.sources import agy
+from meterlake.sources import agy, codex, text
 from pyspark.sql import functions as F
 
 
@@ -62,3 +62,16 @@ def test_history_lines_are_numbered_across_blocks(spark):
     # no window orders the lines of a whole path: the one over paths alone sees sums of blocks
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number() windowspecdefinition(path" in plan and "__part" in plan.split("row_number() windowspecdefinition(", 1)[1].split("]")[0]
+
+
+def test_a_line_is_parsed_once(spark):
+    lines = spark.createDataFrame([('{"a": "x"}',), ("{",), ("",)], "line string")
+    read = text.parse(lines).where("v is not null").select(text.text_at(F.col("v"), "$.a").alias("a"))
+    assert [r.a for r in read.collect()] == ["x"] and text.parse(lines).count() == 3
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
+def test_windows_of_rollouts_are_two(spark):
+    lines = spark.createDataFrame([("/s/a.jsonl", (0, 1), "{}")], "path string, pos struct<block:long,n:long>, line string")
+    plan = codex.rows(text.parse(lines), "/home/me")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("+- Window") + plan.startswith("Window") == 2
