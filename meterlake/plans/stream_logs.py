@@ -12,38 +12,39 @@ from meterlake.plans.logs import HOME
 LATER = Window(date(2024, 3, 2), date(2024, 12, 31), date(2023, 5, 2))
 
 
-def _stream(spark, sf_dir, lines, window: Window = WINDOW) -> Stream:
-    return streams.from_lines({p: made(spark, sf_dir) for p, made in lines.items()}, HOME, window)
+def _stream(spark, sf_dir, lines, kinds: tuple[str, ...], window: Window = WINDOW) -> Stream:
+    """The stream of the kinds that a report reads; any other would be refused."""
+    return streams.from_lines({p: made(spark, sf_dir) for p, made in lines.items()}, HOME, window, kinds=kinds)
 
 
 def stream_tools(spark, sf_dir):
     """Calls of tools in transcripts and rollouts, shells by their commands."""
-    return reports.tool_stats(spark, _stream(spark, sf_dir, {"claude": logs.transcript_lines, "codex": work_logs.work_lines}))
+    return reports.tool_stats(spark, _stream(spark, sf_dir, {"claude": logs.transcript_lines, "codex": work_logs.work_lines}, ("tool",)))
 
 
 def stream_turn_length(spark, sf_dir):
     """Turns of rollouts and of completed updates."""
-    return reports.turn_length(spark, _stream(spark, sf_dir, {"codex": work_logs.work_lines, "grok": logs.update_lines}))
+    return reports.turn_length(spark, _stream(spark, sf_dir, {"codex": work_logs.work_lines, "grok": logs.update_lines}, ("turn",)))
 
 
 def stream_daily_sessions(spark, sf_dir):
     """Sessions touched on each day in the logs of four agents."""
     made = {"claude": logs.transcript_lines, "codex": logs.rollout_lines, "grok": logs.update_lines, "copilot": logs.snapshot_lines}
-    return reports.daily_sessions(spark, _stream(spark, sf_dir, made))
+    return reports.daily_sessions(spark, _stream(spark, sf_dir, made, ("touch",)))
 
 
 def stream_modes(spark, sf_dir):
     """Thinking and fast answers, efforts and permissions."""
-    return reports.modes_summary(spark, _stream(spark, sf_dir, {"claude": logs.transcript_lines, "codex": logs.rollout_lines}))
+    return reports.modes_summary(spark, _stream(spark, sf_dir, {"claude": logs.transcript_lines, "codex": logs.rollout_lines}, ("mode", "effort", "permission")))
 
 
 def stream_limits(spark, sf_dir):
-    return reports.limits_history(spark, _stream(spark, sf_dir, {"codex": logs.rollout_lines}))
+    return reports.limits_history(spark, _stream(spark, sf_dir, {"codex": logs.rollout_lines}, ("limit", "usage", "touch")))
 
 
 def stream_paces(spark, sf_dir):
     """Pauses before the next prompt in the conversations' transcripts."""
-    return reports.pace_stats(spark, _stream(spark, sf_dir, {"claude": logs.dialogue_lines}, LATER))
+    return reports.pace_stats(spark, _stream(spark, sf_dir, {"claude": logs.dialogue_lines}, ("pace",), LATER))
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,14 +8,16 @@ stands in for the folder of a report::
 All events lie in one table: provider, kind, place, instant, key and the columns of all kinds.
 Replayed records meet by one shuffle on provider, kind and key; the rule of each kind is an
 order of its rows, so a single window and a single aggregate fold all kinds. The table is
-written once, and each stream is a filter of it.
+written once, and each stream is a filter of it. A caller that reads only some kinds names
+them; the others are then not decoded, and asking for one of them is an error.
 """
 
 from __future__ import annotations
 
 import glob
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,12 +41,13 @@ RANK = "struct<fork:int,depth:int>"
 PLACE = "struct<block:bigint,n:bigint>"
 
 
-def tagged(events: DataFrame, provider: str, kind: str) -> DataFrame:
-    """The columns of the event table; an agent's missing counters are 0 and its missing facts null."""
+def tagged(events: DataFrame, provider: str, kind: str, only: Iterable[str] = COLUMNS) -> DataFrame:
+    """The columns of the event table, or ``only`` those; an agent's missing counters are 0 and its missing facts null."""
     place = {"path": "string", "pos": PLACE, "rank": RANK, "at": "timestamp", "dedupe_key": "string"}
     given = set(events.columns)
     stand = {"rank": F.struct(F.lit(0).alias("fork"), F.lit(0).alias("depth")), "source_kind": F.lit("main")} | {c: F.lit(0) for c in ZERO}
-    columns = [F.col(c).cast(t).alias(c) if c in given else stand.get(c, F.lit(None)).cast(t).alias(c) for c, t in (place | COLUMNS).items()]
+    kinds = place | {c: t for c, t in COLUMNS.items() if c in only}
+    columns = [F.col(c).cast(t).alias(c) if c in given else stand.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]
     return events.select(F.lit(provider).alias("provider"), F.lit(kind).alias("kind"), *columns)
 
 
@@ -56,7 +59,14 @@ def merged(events: DataFrame) -> DataFrame:
     the first of equals. Modes: flags of any row. All others: the first row. The time is the
     earliest of the key; of a turn the earliest among its longest rows; of a pace the first row's.
     """
+    return _folded(events).unionByName(events.where("dedupe_key is null"))
+
+
+def _folded(events: DataFrame) -> DataFrame:
+    """The rows with a key of :func:`merged`; columns of the kinds that the table has not are left out."""
     key = ["provider", "kind", "dedupe_key"]
+    has = [c for c in COLUMNS if c in events.columns]
+    events = events.withColumns({c: F.lit(0).cast("long") for c in ("volume", "duration_ms") if c not in has})
     keyed = events.where("dedupe_key is not null")
     arrival = Window.partitionBy(*key).orderBy("rank", "path", "pos")
     rows = keyed.withColumn("n", F.row_number().over(arrival)).withColumn("most", F.max("volume").over(arrival.rowsBetween(Window.unboundedPreceding, -1)))
@@ -66,12 +76,12 @@ def merged(events: DataFrame) -> DataFrame:
     rows = rows.withColumn("line", F.struct(first.alias("a"), F.when(is_("usage") & record, -F.col("n")).otherwise(F.col("n")).alias("b")))
     fact = lambda c: F.min_by(c, F.when(~is_("usage") | F.col(c).isNotNull(), F.col("line")))
     # the columns of the first row together, so that rows are compared once for all of them
-    plain = [c for c in COLUMNS if c not in (*METADATA, "has_thinking", "fast")]
-    found = {c: fact(c) for c in METADATA} | {c: F.when(F.first("kind") == "mode", F.bool_or(c)) for c in ("has_thinking", "fast")}
+    plain = [c for c in has if c not in (*METADATA, "has_thinking", "fast")]
+    found = {c: fact(c) for c in METADATA if c in has} | {c: F.when(F.first("kind") == "mode", F.bool_or(c)) for c in ("has_thinking", "fast") if c in has}
     times = F.when(F.first("kind") == "pace", F.min_by("at", "line")).when(F.first("kind") == "turn", F.min_by("longest_at", F.struct("first", F.col("longest_at").isNull(), "longest_at"))).otherwise(F.min("at"))
     rows = rows.withColumn("longest_at", F.col("at")).withColumn("first", F.col("line.a"))
-    folded = rows.groupBy(*key).agg(F.min_by(F.struct("path", "pos", "rank"), "n").alias("place"), F.min_by(F.struct(*plain), "line").alias("x"), times.alias("at"), *[x.alias(c) for c, x in found.items()])
-    return folded.select("*", "place.*", "x.*").select(*events.columns).unionByName(events.where("dedupe_key is null"))
+    folded = rows.groupBy(*key).agg(F.min_by(F.struct("path", "pos", "rank"), "n").alias("place"), F.min_by(F.struct(F.lit(0).alias("any"), *plain), "line").alias("x"), times.alias("at"), *[x.alias(c) for c, x in found.items()])
+    return folded.select("*", "place.*", "x.*").select(*key, "path", "pos", "rank", "at", *has)
 
 
 def of_people(lines: DataFrame) -> DataFrame:
@@ -79,13 +89,17 @@ def of_people(lines: DataFrame) -> DataFrame:
     return lines.where(~F.col("path").rlike(f"[^/]*{NOISE}[^/]*/"))
 
 
-def _claude(lines: DataFrame, home: str) -> dict[str, DataFrame]:
+#: Events of each kind, decoded when they are asked for.
+Kinds = dict[str, Callable[[], DataFrame]]
+
+
+def _claude(lines: DataFrame, home: str) -> Kinds:
     """Sessions of observers, which run always, are no one's activity."""
-    rows = stored(claude.rows(text.parse(of_people(lines)), home))
-    found = stored(turn_machine.turns(claude.turn_rows(rows)))
+    rows = cache(lambda: stored(claude.rows(text.parse(of_people(lines)), home)))
+    found = cache(lambda: stored(turn_machine.turns(claude.turn_rows(rows()))))
     return {
-        "usage": claude.usage_events(rows), "tool": claude.tool_events(rows), "touch": claude.touches(rows), "mode": claude.mode_events(rows), "effort": claude.effort_events(rows), "permission": claude.permission_events(rows),
-        "interrupt": claude.interrupt_events(rows), "turn": turn_machine.durations(found), "pace": turn_machine.paces(found),
+        "usage": lambda: claude.usage_events(rows()), "tool": lambda: claude.tool_events(rows()), "touch": lambda: claude.touches(rows()), "mode": lambda: claude.mode_events(rows()), "effort": lambda: claude.effort_events(rows()),
+        "permission": lambda: claude.permission_events(rows()), "interrupt": lambda: claude.interrupt_events(rows()), "turn": lambda: turn_machine.durations(found()), "pace": lambda: turn_machine.paces(found()),
     }
 
 
@@ -93,24 +107,30 @@ def _claude(lines: DataFrame, home: str) -> dict[str, DataFrame]:
 NOISE = "claude-mem-observer"
 
 
-def _codex(lines: DataFrame, home: str) -> dict[str, DataFrame]:
-    rows = stored(codex.rows(text.parse(lines), home))
-    told = stored(codex.messages(rows))
+def _codex(lines: DataFrame, home: str) -> Kinds:
+    rows = cache(lambda: stored(codex.rows(text.parse(lines), home)))
+    told = cache(lambda: stored(codex.messages(rows())))
     return {
-        "usage": codex.usage_events(rows), "tool": codex.tool_events(rows), "touch": codex.touches(rows), "turn": codex.turns(told), "pace": codex.paces(told), "limit": codex.rate_limits(rows), "effort": codex.efforts(rows),
-        "permission": codex.permissions(rows), "interrupt": codex.interrupts(rows),
+        "usage": lambda: codex.usage_events(rows()), "tool": lambda: codex.tool_events(rows()), "touch": lambda: codex.touches(rows()), "turn": lambda: codex.turns(told()), "pace": lambda: codex.paces(told()),
+        "limit": lambda: codex.rate_limits(rows()), "effort": lambda: codex.efforts(rows()), "permission": lambda: codex.permissions(rows()), "interrupt": lambda: codex.interrupts(rows()),
     }
 
 
-def _grok(lines: DataFrame, summaries: DataFrame | None, home: str) -> dict[str, DataFrame]:
-    if summaries is None:
-        summaries = lines.sparkSession.createDataFrame([], "path string, text string")
-    known = stored(grok.sessions(lines.select("path").distinct(), summaries, home))
-    rows = stored(grok.rows(text.parse(lines), known))
-    return {"usage": grok.usage_events(rows), "tool": grok.tool_events(rows), "touch": grok.touches(rows), "turn": grok.durations(rows)}
+def _grok(lines: DataFrame, summaries: DataFrame | None, home: str) -> Kinds:
+    @cache
+    def rows() -> DataFrame:
+        told = lines.sparkSession.createDataFrame([], "path string, text string") if summaries is None else summaries
+        known = stored(grok.sessions(lines.select("path").distinct(), told, home))
+        return stored(grok.rows(text.parse(lines), known))
+
+    return {"usage": lambda: grok.usage_events(rows()), "tool": lambda: grok.tool_events(rows()), "touch": lambda: grok.touches(rows()), "turn": lambda: grok.durations(rows())}
 
 
-def _copilot(lines: DataFrame, stores: list[str], home: str) -> dict[str, DataFrame]:
+def _made(kinds: dict[str, DataFrame]) -> Kinds:
+    return {kind: lambda e=events: e for kind, events in kinds.items()}
+
+
+def _copilot(lines: DataFrame, stores: list[str], home: str) -> Kinds:
     rows = stored(updates.copilot_rows(text.parse(lines)))
     usage = stored(updates.copilot_usage(rows).withColumns({"project": F.lit(None).cast("string"), "source_kind": F.lit("main")}))
     touches = rows.where("at is not null and session_id is not null").select("path", "pos", "at", "session_id")
@@ -118,16 +138,16 @@ def _copilot(lines: DataFrame, stores: list[str], home: str) -> dict[str, DataFr
         book = copilot.ledger(*[stored(t) for t in copilot.read_ledger(lines.sparkSession, stores)], home)
         kept, calls = copilot.reconcile(usage, book)
         usage, touches = kept.unionByName(calls, allowMissingColumns=True), touches.unionByName(book.touches, allowMissingColumns=True)
-    return {"usage": usage, "tool": updates.copilot_tools(rows), "touch": touches, "turn": updates.copilot_turns(rows), "credit": updates.copilot_credits(rows)}
+    return _made({"usage": usage, "tool": updates.copilot_tools(rows), "touch": touches, "turn": updates.copilot_turns(rows), "credit": updates.copilot_credits(rows)})
 
 
-def _opencode(spark: SparkSession, stores: list[str], home: str) -> dict[str, DataFrame]:
+def _opencode(spark: SparkSession, stores: list[str], home: str) -> Kinds:
     tables = opencode.Tables(*[stored(t) for t in opencode.read_tables(spark, stores)])
     told = stored(opencode.messages(tables, home))
-    return {"usage": opencode.usage_events(told), "tool": opencode.tool_events(tables, told), "touch": opencode.touches(told), "turn": opencode.durations(told)}
+    return _made({"usage": opencode.usage_events(told), "tool": opencode.tool_events(tables, told), "touch": opencode.touches(told), "turn": opencode.durations(told)})
 
 
-def _agy(spark: SparkSession, roots: list[list[str]], history: DataFrame | None, logs: DataFrame | None, home: str, offset_seconds: int) -> dict[str, DataFrame]:
+def _agy(spark: SparkSession, roots: list[list[str]], history: DataFrame | None, logs: DataFrame | None, home: str, offset_seconds: int) -> Kinds:
     made: dict[str, DataFrame] = {}
     touch = []
     if any(roots):
@@ -142,34 +162,43 @@ def _agy(spark: SparkSession, roots: list[list[str]], history: DataFrame | None,
         touch.append(rows.select("at", "session_id"))
     for t in touch:
         made["touch"] = made["touch"].union(t) if "touch" in made else t
-    return made
+    return _made(made)
 
 
-LINES: dict[str, Callable[[DataFrame, str], dict[str, DataFrame]]] = {
+LINES: dict[str, Callable[[DataFrame, str], Kinds]] = {
     "claude": _claude, "codex": _codex, "grok": lambda lines, home: _grok(lines, None, home), "copilot": lambda lines, home: _copilot(lines, [], home),
 }
 
 
-def event_table(parts: dict[str, dict[str, DataFrame]]) -> DataFrame:
-    """The written table of the merged events of ``{provider: {kind: events}}``."""
+def event_table(parts: dict[str, Kinds], kinds: Iterable[str] | None = None) -> DataFrame:
+    """The written table of the merged events of ``{provider: {kind: events}}``, of ``kinds`` or all.
+
+    Columns that no event gives are left out until the end, where they are constant. Rows
+    without a key meet no others, so they are written once.
+    """
+    wanted = [(provider, kind, made()) for provider, own in parts.items() for kind, made in own.items() if kinds is None or kind in kinds]
+    given = {c for _, _, events in wanted for c in events.columns}
     every = None
-    for provider, kinds in parts.items():
-        for kind, events in kinds.items():
-            one = tagged(events, provider, kind)
-            every = one if every is None else every.unionByName(one)
-    return stored(merged(stored(every)))
+    for provider, kind, events in wanted:
+        one = tagged(events, provider, kind, given)
+        every = one if every is None else every.unionByName(one)
+    every = stored(every)
+    whole = stored(_folded(every)).unionByName(every.where("dedupe_key is null"))
+    absent = {c: F.lit("main" if c == "source_kind" else 0 if c in ZERO else None).cast(t) for c, t in COLUMNS.items() if c not in every.columns}
+    return whole.withColumns(absent).select("provider", "kind", "path", "pos", "rank", "at", "dedupe_key", *COLUMNS)
 
 
-def from_lines(lines: dict[str, DataFrame], home: str, window: Dates, offset_seconds: int = 0) -> Stream:
-    """A stream from path, pos and line of each agent with line logs."""
-    return stream(event_table({p: LINES[p](rows, home) for p, rows in lines.items()}), window, offset_seconds)
+def from_lines(lines: dict[str, DataFrame], home: str, window: Dates, offset_seconds: int = 0, kinds: Iterable[str] | None = None) -> Stream:
+    """A stream from path, pos and line of each agent with line logs; of ``kinds`` alone if they are named."""
+    return stream(event_table({p: LINES[p](rows, home) for p, rows in lines.items()}, kinds), window, offset_seconds, kinds)
 
 
-def stream(events: DataFrame, window: Dates, offset_seconds: int = 0) -> Stream:
+def stream(events: DataFrame, window: Dates, offset_seconds: int = 0, kinds: Iterable[str] | None = None) -> Stream:
     """The table with local, zone-free times; ``ordinal`` numbers the events in the order of their places."""
     local = events.withColumn("at", local_time(F.col("at"), offset_seconds)).withColumns({"d": F.to_date("at"), "h": F.hour("at")})
     local = local.withColumn("ordinal", F.struct("rank", "path", "pos", F.xxhash64("dedupe_key").alias("key")))
-    return Stream(local.where("kind = 'usage'"), window, local)
+    usage = local.where("kind = 'usage'") if kinds is None or "usage" in kinds else None
+    return Stream(usage, window, local, None if kinds is None else frozenset(kinds))
 
 
 def _files(folders: list[str], *patterns: str) -> list[str]:
@@ -200,7 +229,7 @@ def read(spark: SparkSession, roots: dict[str, list[str]], home: str, window: Da
 
     ``tolerant``: a line log that can't be read to its end counts as far as it was read.
     """
-    parts: dict[str, dict[str, DataFrame]] = {}
+    parts: dict[str, Kinds] = {}
     for provider, folders in roots.items():
         if provider in ("claude", "codex"):
             parts[provider] = LINES[provider](line_files(spark, provider, folders, tolerant), home)

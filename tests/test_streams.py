@@ -174,3 +174,18 @@ def test_usage_alone_says_so(spark, stream):
     with pytest.raises(ValueError, match="usage alone"):
         reports.tool_stats(spark, stream._replace(events=None))
 
+
+
+def test_a_stream_of_some_kinds_decodes_no_others(spark):
+    rows = [("/s/x1.jsonl", (0, n), json.dumps(r)) for n, r in enumerate(codex_rows())]
+    lines = spark.createDataFrame(rows, "path string, pos struct<block:long,n:long>, line string")
+    whole = streams.from_lines({"codex": lines}, "/home/me", WINDOW)
+    some = streams.from_lines({"codex": lines}, "/home/me", WINDOW, kinds=("limit", "pace"))
+    assert some.events.columns == whole.events.columns and {r.kind for r in some.events.select("kind").distinct().collect()} == {"limit", "pace"}
+    shown = lambda s: sorted(map(repr, s.events.where("kind in ('limit', 'pace')").collect()))
+    assert shown(some) == shown(whole) and len(shown(some)) == 2
+    assert reports.pace_stats(spark, some).collect() == reports.pace_stats(spark, whole).collect()
+    with pytest.raises(ValueError, match="without turn"):
+        reports.turn_length(spark, some)
+    with pytest.raises(ValueError, match="without usage"):
+        reports.daily_usage(spark, some)
