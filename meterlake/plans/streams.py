@@ -109,7 +109,7 @@ NOISE = "claude-mem-observer"
 
 def _codex(lines: DataFrame, home: str) -> Kinds:
     rows = cache(lambda: stored(codex.rows(text.parse(lines), home)))
-    told = cache(lambda: stored(codex.messages(rows())))
+    told = cache(lambda: stored(codex.told(text.parse(lines), home)))
     return {
         "usage": lambda: codex.usage_events(rows()), "tool": lambda: codex.tool_events(rows()), "touch": lambda: codex.touches(rows()), "turn": lambda: codex.turns(told()), "pace": lambda: codex.paces(told()),
         "limit": lambda: codex.rate_limits(rows()), "effort": lambda: codex.efforts(rows()), "permission": lambda: codex.permissions(rows()), "interrupt": lambda: codex.interrupts(rows()),

@@ -64,14 +64,18 @@ def _decoded(spark, sf_dir) -> DataFrame:
     return codex.rows(text.parse(stored(work_lines(spark, sf_dir))), HOME)
 
 
+def _told(spark, sf_dir) -> DataFrame:
+    return stored(codex.told(text.parse(stored(work_lines(spark, sf_dir))), HOME))
+
+
 def log_rollout_turns(spark, sf_dir):
     """Completed turns and their model time: the length less the union of tool items."""
-    return codex.turns(stored(codex.messages(_decoded(spark, sf_dir)))).select("session_id", F.unix_micros("at").alias("at_us"), "duration_ms", "model_ms")
+    return codex.turns(_told(spark, sf_dir)).select("session_id", F.unix_micros("at").alias("at_us"), "duration_ms", "model_ms")
 
 
 def log_rollout_paces(spark, sf_dir):
     """Pauses from a completion to the next prompt."""
-    return codex.paces(stored(codex.messages(_decoded(spark, sf_dir)))).select("session_id", F.unix_micros("at").alias("at_us"), "gap_ms")
+    return codex.paces(_told(spark, sf_dir)).select("session_id", F.unix_micros("at").alias("at_us"), "gap_ms")
 
 
 def log_rollout_tools(spark, sf_dir):

@@ -1,8 +1,10 @@
 """Queries against their DuckDB twins on small tables of one's own."""
 
+import json
 from datetime import datetime, timedelta
 
 import duckdb
+from meterlake.functions import scalar
 from meterlake.plans import catalogue
 from meterlake.sources import agy, codex, text
 from pyspark.sql import functions as F
@@ -75,3 +77,26 @@ def test_windows_of_rollouts_are_two(spark):
     lines = spark.createDataFrame([("/s/a.jsonl", (0, 1), "{}")], "path string, pos struct<block:long,n:long>, line string")
     plan = codex.rows(text.parse(lines), "/home/me")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("+- Window") + plan.startswith("Window") == 2
+
+
+def test_messages_of_rollouts_are_read_before_lines_are_ordered(spark):
+    e = lambda s, kind, **p: f'{{"timestamp":"2026-01-03T12:00:{s:02d}Z","type":"{kind}","payload":{json.dumps(p)}}}'
+    fork = [e(1, "session_meta", id="x", forked_from_id="y"), e(2, "session_meta", id="y"), e(2, "event_msg", type="task_complete", duration_ms=5), e(9, "event_msg", type="task_complete", duration_ms=6), '{"payload":{"type":"task_started"}}']
+    plain = [e(3, "event_msg", type="token_count"), e(4, "event_msg", type="item_completed", started_at_ms=1, completed_at_ms=4, item={"id": "i", "type": "X"}), e(5, "response_item", type="user_message"), e(6, "event_msg", type="user_message"), "{"]
+    lines = spark.createDataFrame([(f"/s/{name}.jsonl", (0, n), x) for name, own in (("a", fork), ("b", plain)) for n, x in enumerate(own)], "path string, pos struct<block:long,n:long>, line string")
+    parsed = text.parse(lines)
+    made = codex.told(parsed, "/home/me")
+    shown = lambda df: sorted(map(repr, df.collect()))
+    assert shown(made) == shown(codex.messages(codex.rows(parsed, "/home/me"))) and [r.duration_ms for r in made.where("kind = 'task_complete'").collect()] == [6]
+    # no variant is sorted
+    sort = made._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning(path", 1)
+    assert len(sort) == 2 and " v#" not in sort[0].split("Sort [path", 1)[1].split("\n", 1)[0] and "variant" not in sort[0]
+
+
+def test_common_instants_take_one_step(spark):
+    texts = ["2026-01-02T03:04:05Z", "2026-01-02 03:04:05.123456+05:30", "2026-01-02t03:04:05z", "2026-01-02T03:04:05.1234567Z", "1970-01-01T00:00:00+05:00", "1969-12-31T23:00:00-05:00", "3000-01-01T00:00:00Z", "3000-01-01T00:00:00+05:00", "2026-13-02T03:04:05Z", "2026-01-02T03:04:05", "", None]
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", F.unix_micros(scalar.parse_instant(F.col("t"))).alias("us"))
+    got = {r.i: r.us for r in made.collect()}
+    us = lambda *a: int((datetime(*a) - datetime(1970, 1, 1)) / timedelta(microseconds=1))
+    noon = us(2026, 1, 2, 3, 4, 5)
+    assert [got[i] for i in range(12)] == [noon, us(2026, 1, 1, 21, 34, 5, 123456), noon, noon + 123456, None, us(1970, 1, 1, 4), None, us(2999, 12, 31, 19), None, None, None, None]
