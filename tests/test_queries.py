@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 import duckdb
 from meterlake.functions import scalar
-from meterlake.plans import catalogue
+from meterlake.plans import catalogue, logs
 from meterlake.sources import agy, codex, text
 from pyspark.sql import functions as F
 
@@ -100,3 +100,9 @@ def test_common_instants_take_one_step(spark):
     us = lambda *a: int((datetime(*a) - datetime(1970, 1, 1)) / timedelta(microseconds=1))
     noon = us(2026, 1, 2, 3, 4, 5)
     assert [got[i] for i in range(12)] == [noon, us(2026, 1, 1, 21, 34, 5, 123456), noon, noon + 123456, None, us(1970, 1, 1, 4), None, us(2999, 12, 31, 19), None, None, None, None]
+
+
+def test_events_are_dealt_out_before_they_become_lines(spark, tmp_path):
+    events(spark, tmp_path)
+    plan = logs.transcript_lines(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [ordinal") == 2
