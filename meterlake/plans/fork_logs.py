@@ -35,9 +35,13 @@ def _forked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Lines of sessions and their forks, and summaries; every other original is gone."""
     own = update_lines(spark, sf_dir)
     user = F.regexp_extract("path", r"/s(\d+)/", 1).cast("long")
-    copied = lambda folder, days: own.select(F.concat(F.lit(f"/logs/{folder}/{folder}"), user.cast("string"), F.lit("/updates.jsonl")).alias("path"), "pos", F.regexp_replace("line", r'"timestamp":(\d)', f'"timestamp":{days}$1').alias("line"))
-    lines = own.where(user % 12 != 2).union(copied("f", 2)).union(copied("e", 3)).union(copied("a", 1).withColumn("line", F.regexp_replace("line", '"prompt_id":"p', '"prompt_id":"q')))
-    users = own.select(user.alias("u")).distinct()
+    copy = lambda folder, days, body: F.struct(F.concat(F.lit(f"/logs/{folder}/{folder}"), F.col("user").cast("string"), F.lit("/updates.jsonl")).alias("path"), F.regexp_replace(body, r'"timestamp":(\d)', f'"timestamp":{days}$1').alias("line"))
+    line = F.col("line")
+    first = F.when(F.col("user") % 12 != 2, F.struct("path", "line"))
+    # all copies of a line at once, so that the table is read and the line is written once
+    every = F.array(first, copy("f", 2, line), copy("e", 3, line), copy("a", 1, F.regexp_replace("line", '"prompt_id":"p', '"prompt_id":"q')))
+    lines = own.select("path", "pos", "line", user.alias("user")).select("pos", F.explode(every).alias("x")).where("x is not null").select("x.path", "pos", "x.line")
+    users = stored(own.select(user.alias("u")).distinct())
     body = lambda **x: F.to_json(_named(**x))
     place = lambda folder: _text(f"/logs/{folder}/", folder if folder != "g" else "s", F.col("u"), "/summary.json").alias("path")
     told = users.select(place("g"), body(info=_named(cwd=_text(HOME + "/r", F.col("u") % 3))).alias("text"))
@@ -50,11 +54,14 @@ def log_fork_usage(spark, sf_dir):
     """Usage of sessions and forks: each turn once, from the oldest copy that is left; no subagent's."""
     lines, summaries = _forked(spark, sf_dir)
     lines = stored(lines)
-    known = stored(grok.sessions(lines.select("path").distinct(), summaries, HOME))
-    used = stored(grok.usage_events(grok.rows(text.parse(lines), known)))
-    zero = {c: F.lit(0).cast("long") for c in COUNTERS if c not in used.columns} | {c: F.lit(None).cast("string") for c in METADATA if c not in used.columns}
-    merged = dedupe.merge_usage(used.withColumns(zero), ["dedupe_key"], "volume", ["rank", "path", "pos"], "at", ["granularity", *COUNTERS], list(METADATA))
-    return _shown(merged.withColumn("provider", F.lit("grok")))
+    known = stored(grok.sessions(stored(lines.select("path").distinct()), stored(summaries), HOME))
+    used = stored(grok.usage_of(lines, known))
+    # what these logs never tell is the same in all rows and needs no merge
+    same = {"granularity": F.lit("aggregate"), "source_kind": F.lit("main"), "provider": F.lit("grok")}
+    same |= {c: F.lit(0).cast("long") for c in COUNTERS if c not in used.columns} | {c: F.lit(None).cast("string") for c in METADATA if c not in used.columns}
+    told = lambda names: [c for c in names if c not in same]
+    merged = dedupe.merge_usage(used.drop("granularity", "source_kind"), ["dedupe_key"], "volume", ["rank", "path", "pos"], "at", told(COUNTERS), told(METADATA))
+    return _shown(merged.withColumns(same))
 
 
 def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

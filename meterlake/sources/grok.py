@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from meterlake.functions.scalar import bounded, project_from_cwd
 from meterlake.operators.ancestry import depths
-from meterlake.sources import updates
+from meterlake.sources import text, updates
 from meterlake.sources.text import bounded_json, count_at, plain_text_at, text_at
 
 
@@ -57,6 +57,14 @@ def usage_events(told: DataFrame) -> DataFrame:
     return updates.grok_usage(told.where(~_subagent()), ("project", "rank")).withColumn("source_kind", F.lit("main"))
 
 
+def usage_of(lines: DataFrame, known: DataFrame) -> DataFrame:
+    """:func:`usage_events` of lines yet to be parsed: those of unreadable sessions and of subagents are left out before."""
+    mine = known.where("fine").where(~_subagent()).drop("fine", "session_kind")
+    parsed = text.parse(lines.withColumn("folder", F.regexp_replace("path", "/[^/]+$", "")).join(mine, "folder").drop("folder"))
+    kept = ("project", "rank")
+    return updates.grok_usage(updates.grok_rows(parsed, kept), kept).withColumn("source_kind", F.lit("main"))
+
+
 def durations(told: DataFrame) -> DataFrame:
     took = count_at(F.col("v"), "$.params.update.usage.apiDurationMs")
     out = told.where(~_subagent()).where("kind = 'turn_completed' and prompt_id is not null").withColumn("duration_ms", took).where("duration_ms > 0")

@@ -4,6 +4,7 @@ import sqlite3
 
 import pytest
 from meterlake.operators import ancestry
+from meterlake.plans import fork_logs
 from meterlake.sources import copilot, grok, opencode, sqlite, text
 from pyspark.sql import functions as F
 
@@ -170,3 +171,32 @@ def test_small_stores_share_a_partition(spark, tmp_path, monkeypatch):
     assert [len(p.paths) for p in reader.partitions()] == [3, 3, 1]
     monkeypatch.setattr(sqlite, "PART_BYTES", 1)
     assert [p.paths for p in reader.partitions()] == [[p] for p in paths]
+
+
+def test_usage_of_forks_takes_each_value_once(spark):
+    """Lines of odd turns by hand; no line of a subagent is parsed, and no value is decoded again by a filter."""
+    line = lambda usage, at="5", name="p": f'{{"timestamp":{at},"params":{{"update":{{"sessionUpdate":"turn_completed","prompt_id":"{name}","usage":{usage}}}}}}}'
+    bodies = [
+        '{"modelUsage":{"m":{"inputTokens":9,"cachedReadTokens":3,"cacheCreationTokens":2,"outputTokens":1},"n":{"inputTokens":-4,"outputTokens":2.5},"o":{"outputTokens":7}}}', '{"inputTokens":6,"modelUsage":{}}', '{"inputTokens":5,"modelUsage":[1]}',
+        '{"modelUsage":{"m":null}}', '"text"', "null", '{"modelUsage":{"' + "k" * 2000 + '":{"outputTokens":7}}}', '{"inputTokens":"8","outputTokens":99999999999999999999}',
+    ]
+    texts = [line(b) for b in bodies] + [line('{"inputTokens":1}', at, name) for at, name in (("-5", "q"), ("1.5", "r"), ('"5"', "s"), ("32503680000", "t"), ("5", ""))] + ["{", "", '{"params":{"update":{"sessionUpdate":5,"prompt_id":"p","usage":{"inputTokens":1}}}}']
+    lines = spark.createDataFrame([(f"/g/{f}/updates.jsonl", (0, n), x) for f in ("main", "agent", "torn") for n, x in enumerate(texts)], "path string, pos struct<block: long, n: long>, line string")
+    told = [("/g/main/summary.json", '{"info":{"cwd":"/home/me/w"}}'), ("/g/agent/summary.json", '{"session_kind":"subagent"}'), ("/g/torn/summary.json", "{")]
+    known = grok.sessions(lines.select("path"), spark.createDataFrame(told, "path string, text string"), "/home/me")
+    used = grok.usage_of(lines, known)
+    got = [(r.pos.n, r.at and r.at.timestamp(), r.dedupe_key, r.model, r.input, r.output, r.reasoning, r.cache_creation, r.cache_read, r.volume, r.project) for r in used.orderBy("pos", "model").collect()]
+    assert got == [
+        (0, 5.0, "grok:p:m", "m", 4, 1, 0, 2, 3, 10, "w"), (0, 5.0, "grok:p:o", "o", 0, 7, 0, 0, 0, 7, "w"), (1, 5.0, "grok:p", None, 6, 0, 0, 0, 0, 6, "w"), (2, 5.0, "grok:p", None, 5, 0, 0, 0, 0, 5, "w"),
+        *[(n, None, f"grok:{k}", None, 1, 0, 0, 0, 0, 1, "w") for n, k in ((8, "q"), (9, "r"), (10, "s"), (11, "t"))],
+    ]
+    before = grok.usage_events(grok.rows(text.parse(lines), known))
+    assert before.exceptAll(used.select(before.columns)).count() == used.select(before.columns).exceptAll(before).count() == 0
+    plan = used._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("$.params.update.usage.modelUsage") == 1 and plan.count("$.timestamp, LongType") == 1
+
+
+def test_forks_read_their_table_once(spark):
+    lines, summaries = fork_logs._forked(spark, "/root/testdata/sf0.001")
+    scans = lambda rows: rows._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    assert scans(lines) == 1 and "events.parquet" not in "".join(summaries.inputFiles())
