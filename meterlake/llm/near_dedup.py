@@ -9,7 +9,8 @@ is its pivot. Each document is first compared with the pivot that it meets in mo
 The links found make components, and only pairs of a document and another of its pivots
 that lie in different components are compared next: within a group of near copies nearly
 all of them fall away, so every document moves about once. What is still apart from a
-pivot of its is compared with all members of that bucket that are in another component.
+pivot of its is compared with all members of that bucket that are in another component;
+where these are few the pairs are listed, each once over all buckets.
 
 Every comparison is exact, on the full sets, and works by cells: both sides of a bucket are
 dealt into blocks of bounded size, each block meets each of the other side in one cell, and
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.llm import _kernels as K
@@ -41,6 +42,7 @@ BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 19  # of a side of a cell, about (a large
 COLUMNS = 4096  # shingles counted at once
 BROADCAST_ROWS = 200_000  # 32 bytes each
 SALTS = 16
+PAIRS = 4  # rows of pairs for each row that a bucket has in a cell, at most
 U = np.uint64
 
 
@@ -217,12 +219,13 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
     copies = found.where("rep < doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     members = found.where("rep is null or rep = doc_id").select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
 
-    # buckets with the same members count once, with their number as weight
-    mark = F.xxhash64("d")
-    shared = members.groupBy("key").agg(F.min("d").alias("pivot"), F.count("*").alias("size"), F.sum("n").alias("whole"), F.bit_xor(mark).alias("m0"), F.sum(F.shiftrightunsigned(mark, 24)).alias("m1"))
-    shared = shared.where("size > 1").groupBy("pivot", "size", "whole", "m0", "m1").agg(F.min("key").alias("key"), F.count("*").alias("weight"))
-    shared = stage_table(shared.drop("m0", "m1"), "shared")
-    met = stage_table(members.join(shared, "key").select("key", "pivot", "weight", "d", "n"), "members")
+    # buckets with the same members count once, with their number as weight; members move once, and those alone in a bucket go no further
+    mark, bucket = F.xxhash64("d"), Window.partitionBy("key")
+    counted = members.withColumns({"size": F.count("*").over(bucket), "pivot": F.min("d").over(bucket), "whole": F.sum("n").over(bucket), "m0": F.bit_xor(mark).over(bucket), "m1": F.sum(F.shiftrightunsigned(mark, 24)).over(bucket)})
+    met = stage_table(counted.where("size > 1"), "met")
+    same = ["pivot", "size", "whole", "m0", "m1"]
+    shared = met.where("d = pivot").groupBy(*same).agg(F.min("key").alias("key"), F.count("*").alias("weight"))
+    met = stage_table(met.drop(*same).join(shared, "key").select("key", "pivot", "size", "weight", "d", "n"), "members")
     wanted = stage_table(met.select(F.col("d").alias("doc_id")).distinct(), "wanted")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
@@ -263,16 +266,28 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
     others = apart(votes.select("pivot", "d", "n").join(chosen.select("pivot", "d"), ["pivot", "d"], "left_anti"), comps)
     links = links.union(linked(stars(stage_table(others, "others")), comps))
 
-    # members in another component than their bucket's pivot meet all other members of it
+    # members in another component than their bucket's pivot meet all other members of it but the pivot, which they have met
     comps = components(links)
-    buckets = shared.where("size > 2").select("key", "size", "whole")
-    strange = stage_table(apart(met.join(buckets, "key").where("d > pivot"), comps).select("key", "d", "n", "size", "whole"), "strange")
-    dealt = strange.groupBy("key").agg(_blocks(F.count("*"), F.sum("n")).alias("n_i"), _blocks(F.max("size"), F.max("whole")).alias("n_j"))
-    one = strange.join(dealt, "key").select("key", F.explode(_mine("n_i")).alias("i"), "n_j", F.lit(1).alias("side"), "d")
+    hubs = comps.select(F.col("node").alias("pivot"), F.col("component").alias("cp"))
+    rest = marked(met.where("size > 2 and d > pivot"), comps).join(hubs, "pivot", "left")
+    rest = stage_table(rest.select("key", "d", "n", "c", (F.coalesce("cp", "pivot") != F.col("c")).alias("far")), "rest")
+    held = rest.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("whole"), F.count_if("far").alias("s"), F.sum(F.when(F.col("far"), F.col("n"))).alias("own"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    held = stage_table(held.where("s > 0 and c0 < c1").select("key", "s", "m", "own", "whole"), "held")
+    few = F.col("s") * F.col("m") <= PAIRS * (F.col("s") + F.col("m"))
+
+    # in most buckets they are few: a pair counts once over all buckets, and only where the sizes of its sets allow a link
+    side = lambda x: [F.col(c).alias(x + c) for c in ("d", "n", "c")]
+    near = rest.join(held.where(few).select("key"), "key")
+    pairs = near.where("far").select("key", *side("a")).join(near.select("key", *side("b")), "key").where("ac <> bc").where((F.col("an") * den >= F.col("bn") * num) & (F.col("bn") * den >= F.col("an") * num))
+    pairs = pairs.select(F.least("ad", "bd").alias("pivot"), F.greatest("ad", "bd").alias("d"), F.when(F.col("ad") < F.col("bd"), F.col("bn")).otherwise(F.col("an")).alias("n")).distinct()
+
+    # in the others they are dealt into blocks (cells of both kinds may go by one number, which adds comparisons and takes none)
+    dealt = held.where(~few).select("key", _blocks(F.col("s"), F.col("own")).alias("n_i"), _blocks(F.col("m"), F.col("whole")).alias("n_j"))
+    one = rest.where("far").join(dealt, "key").select("key", F.explode(_mine("n_i")).alias("i"), "n_j", F.lit(1).alias("side"), "d")
     one = one.select("key", "i", F.explode(_whole("n_j")).alias("j"), "side", "d")
-    two = met.join(dealt, "key").select("key", F.explode(_mine("n_j")).alias("j"), "n_i", F.lit(0).alias("side"), "d")
+    two = rest.join(dealt, "key").select("key", F.explode(_mine("n_j")).alias("j"), "n_i", F.lit(0).alias("side"), "d")
     two = two.select("key", F.explode(_whole("n_i")).alias("i"), "j", "side", "d")
-    links = links.union(linked(one.union(two).withColumnRenamed("key", "k"), comps))
+    links = links.union(linked(stars(stage_table(pairs, "pairs")).union(one.union(two)), comps))
 
     comps = components(links.union(copies)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles").join(comps, "doc_id", "left")

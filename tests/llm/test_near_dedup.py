@@ -86,6 +86,30 @@ def test_apart_document_meets_every_member_of_a_large_bucket(spark, one_bucket):
     assert set(want.values()) == {0}
 
 
+def test_few_apart_documents_meet_others_once_over_all_buckets(spark, monkeypatch):
+    """Two buckets hold nearly the same members; a short text shares them, but its size allows no link."""
+    whole, stage, staged = near_dedup._sketch, near_dedup.stage_table, {}
+
+    def sketch(batches):
+        for b in whole(batches):
+            bands = pa.array([[7, 8 if d != 2 else -8, *(-1000 * d - k for k in range(2, near_dedup.BANDS))] for d in b.column(0).to_pylist()], b.schema.field("bands").type)
+            yield b.set_column(b.schema.get_field_index("bands"), "bands", bands)
+
+    def kept(rows, name):
+        staged[name] = stage(rows, name)
+        return staged[name]
+
+    monkeypatch.setattr(near_dedup, "_sketch", sketch)
+    monkeypatch.setattr(near_dedup, "stage_table", kept)
+    base = [f"w{i}" for i in range(200)]
+    near = [drifted(base, f"m{i}", [i]) for i in range(2)]
+    far = drifted(near[0], "d", range(22, 27))
+    texts = [base, *near, far, base[:60]]
+    want = check(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string"))
+    assert want == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4}
+    assert sorted((r.pivot, r.d) for r in staged["pairs"].collect()) == [(1, 3), (2, 3)]
+
+
 def test_apart_documents_meet_each_other_in_a_large_bucket(spark, one_bucket):
     texts = [[f"w{i}" for i in range(200)]]
     for i in range(30):
