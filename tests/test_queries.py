@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 import duckdb
 from meterlake.functions import scalar
-from meterlake.plans import catalogue, logs
+from meterlake.plans import catalogue, ingest, logs
 from meterlake.sources import agy, codex, text
 from pyspark.sql import functions as F
 
@@ -106,3 +106,42 @@ def test_events_are_dealt_out_before_they_become_lines(spark, tmp_path):
     events(spark, tmp_path)
     plan = logs.transcript_lines(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression [ordinal") == 2
+
+
+def echoing(spark, folder) -> None:
+    """Events of three users; those of one user that are 11 apart have the same counters, which rollouts then repeat as echoes."""
+    kinds = ("view", "click", "signup", "purchase", "error")
+    rows = [(i, datetime(2024, 1, 16) + timedelta(hours=2 * i, microseconds=i * 1009), i // 11 % 9 // 3, kinds[i % 5], 7.5, f'{{"k": {30 + i // 99}}}') for i in range(198)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{folder}/events.parquet")
+
+
+def written(monkeypatch, module) -> list[str]:
+    """Plans of the tables that the module's steps write."""
+    plans, real = [], module.stored
+    monkeypatch.setattr(module, "stored", lambda rows: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or real(rows))
+    return plans
+
+
+def test_echoes_of_rollouts_meet_their_records_without_a_join(spark):
+    e = lambda s, kind, **p: f'{{"timestamp":"2026-01-03T12:00:{s:02d}Z","type":"{kind}","payload":{json.dumps(p)}}}'
+    use = lambda n: {"input_tokens": n, "output_tokens": 1, "total_tokens": n + 1}
+    record = lambda s, n, owner="a": e(s, "token_usage_record", thread_id=owner, response_id=f"r{s}", usage=use(n))
+    count = lambda s, n: e(s, "event_msg", type="token_count", info={"last_token_usage": use(n)})
+    one = [e(0, "session_meta", id="a"), count(1, 10), record(2, 10), count(3, 10), count(4, 10), record(5, 20, "other"), count(6, 20), count(7, 30), count(8, 0), record(9, 10)]
+    two = [e(0, "session_meta", id="b"), count(1, 10), e(2, "token_usage_record", usage={"input_tokens": 40, "output_tokens": 1}), count(3, 40), record(4, 50, "b")]
+    lines = spark.createDataFrame([(f"/s/{name}.jsonl", (0, n), x) for name, own in (("a", one), ("b", two)) for n, x in enumerate(own)], "path string, pos struct<block:long,n:long>, line string")
+    made = codex.usage_events(codex.rows(text.parse(lines), "/home/me"))
+    # a count is left out after a record of its file with its counters, also another thread's; not before one, and not for a line without a total
+    assert sorted((r.path[3], r.pos.n, r.input, r.dedupe_key.split(":")[0]) for r in made.collect()) == [
+        ("a", 1, 10, "codex"), ("a", 2, 10, "codex-usage"), ("a", 7, 30, "codex"), ("a", 8, 0, "codex"), ("a", 9, 10, "codex-usage"),
+        ("b", 1, 10, "codex"), ("b", 3, 40, "codex"), ("b", 4, 50, "codex-usage"),
+    ]
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_model_stats_of_logs_broadcast_no_records(spark, tmp_path, monkeypatch):
+    echoing(spark, tmp_path)
+    plans = written(monkeypatch, ingest)
+    got = ours(spark, "log_model_stats", tmp_path)
+    assert got and got == twin("log_model_stats", tmp_path, "events")
+    assert plans and not [p for p in plans if "Join" in p]
