@@ -145,3 +145,11 @@ def test_model_stats_of_logs_broadcast_no_records(spark, tmp_path, monkeypatch):
     got = ours(spark, "log_model_stats", tmp_path)
     assert got and got == twin("log_model_stats", tmp_path, "events")
     assert plans and not [p for p in plans if "Join" in p]
+
+
+def test_session_bounds_of_logs_broadcast_no_records(spark, tmp_path, monkeypatch):
+    echoing(spark, tmp_path)
+    plans = written(monkeypatch, ingest)
+    got = ours(spark, "log_session_bounds", tmp_path)
+    assert got and got == twin("log_session_bounds", tmp_path, "events")
+    assert plans and not [p for p in plans if "Join" in p]
