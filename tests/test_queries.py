@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 import duckdb
 from meterlake.functions import scalar
-from meterlake.plans import catalogue, ingest, logs
+from meterlake.plans import catalogue, ingest, logs, streams
 from meterlake.sources import agy, codex, text
 from pyspark.sql import functions as F
 
@@ -153,3 +153,11 @@ def test_session_bounds_of_logs_broadcast_no_records(spark, tmp_path, monkeypatc
     got = ours(spark, "log_session_bounds", tmp_path)
     assert got and got == twin("log_session_bounds", tmp_path, "events")
     assert plans and not [p for p in plans if "Join" in p]
+
+
+def test_limits_of_a_stream_broadcast_no_records(spark, tmp_path, monkeypatch):
+    echoing(spark, tmp_path)
+    plans = written(monkeypatch, streams)
+    got = ours(spark, "stream_limits", tmp_path)
+    assert got and got == twin("stream_limits", tmp_path, "events")
+    assert plans and not [p for p in plans if "Join" in p]
